@@ -126,9 +126,15 @@ class Words:
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
 
+    @property
+    def ranges(self) -> RangeHash:
+        """Hashes of any ranges of the slice's bytes."""
+        if not hasattr(self, "_ranges"):
+            self._ranges = RangeHash(self.bytes.astype(np.uint64) + np.uint64(1))
+        return self._ranges
+
     def hashes(self) -> np.ndarray:
-        units = self.bytes.astype(np.uint64) + np.uint64(1)
-        return RangeHash(units).of(self.start, self.end)
+        return self.ranges.of(self.start, self.end)
 
 
 def run_starts(rows: np.ndarray, first: np.ndarray, length: int) -> np.ndarray:
