@@ -31,7 +31,7 @@ WHITE = r"\t-\r \x85\xa0  -     　"
 #: Splits a text at places where every match of the pattern ends: a run of other characters with the
 #: space before it, or a run of white space. Matches lie within one such chunk.
 CHUNK = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-#: Chunks and token groups that a worker remembers; rows that one recursion may produce.
+#: Chunks, their words and token groups that a worker remembers, each; rows that one recursion may produce.
 REMEMBER, STEP_ROWS = 800_000, 3_000_000
 #: Words of up to so many bytes contract one pair a step; in longer ones a step contracts every
 #: occurrence of the least pair where that provably comes to the same.
@@ -120,6 +120,7 @@ class Codec:
             self.opens[rank] = token[:1] in (b" ", b"\n")
         self.decimal = np.array([str(k) for k in range(size)], object)
         self.chunks: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
         self.groups: dict[int, bytes] = {}
 
     def _table(self, name: str, rows: pa.Table) -> None:
@@ -162,8 +163,11 @@ class Codec:
         split = {c: [m.encode() for m in self.pattern.findall(c)] for c in chunks}
         words = {w for ws in split.values() for w in ws}
         ids = {w: self.ranks[w].to_bytes(4, "little") for w in words if w in self.ranks}
-        rest = sorted(words - ids.keys())
-        ids |= dict(zip(rest, self._contract(rest), strict=True))
+        rest = sorted(words - ids.keys() - self.words.keys())
+        if len(self.words) + len(rest) > REMEMBER:
+            self.words, rest = {}, sorted(words - ids.keys())
+        self.words.update(zip(rest, self._contract(rest), strict=True))
+        ids |= {w: self.words[w] for w in words if w not in ids}
         self.chunks.update((c, ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])) for c, ws in split.items())
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
