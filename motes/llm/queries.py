@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, bpe, decontaminate, licenses, quality_model, quality_rules, simhash, toxicity
+from . import archives, bpe, decontaminate, licenses, quality_model, quality_rules, simhash, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -64,10 +68,11 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontamination": op5_decontamination,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op7_toxicity": op7_toxicity,
+        "op8_substring_dedup": op8_substring_dedup,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_warc": op10_warc,
     }
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontaminate.SQL}
+    return {"op5_decontamination": decontaminate.SQL, "op8_substring_dedup": substrings.SQL, "op10_warc": archives.SQL}
