@@ -275,9 +275,8 @@ SQL = """
 with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
 d as (select page_id, cast(octet_length(encode(html)) as bigint) as payload_bytes, h,
     max(page_id) over (partition by h) as top,
-    array_to_string(list_transform(range(0, 8), g -> list_reduce(list_transform([15, 10, 5, 0],
-        s -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((cast(concat('0x', substr(h, 5 * g + 1, 5)) as bigint) >> s) & 31) + 1, 1)),
-        (a, b) -> concat(a, b))), '') as payload_digest from p)
+    array_to_string(list_transform([k for k in range(0, 32)],
+        lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((cast(concat('0x', substr(h, 5 * (k // 4) + 1, 5)) as bigint) >> (5 * (3 - k % 4))) & 31) + 1, 1)), '') as payload_digest from p)
 select page_id, payload_bytes, payload_digest, case when page_id = top then 'response' else 'revisit' end as record_type,
     case when page_id = top then null else top end as refers_to from d
 """
