@@ -1,7 +1,62 @@
-"""Placeholder until the stages exist."""
+"""A training corpus from raw documents in five stages, each over all that the stage before it kept.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet in the shared
+folder and read again as the next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from motes.llm import bpe, decontaminate, quality_model, simhash, substrings
+from motes.llm.queries import table
+from motes.llm.scratch import written
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts; it learns from the labels of this input."""
+    return quality_model.good_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    return simhash.near_duplicates_removed(docs)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that a document of smaller id holds; emptied ones stay as empty texts."""
+    return substrings.without_repeats(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the benchmark does not contaminate."""
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of every document."""
+    import public_tokenizers
+
+    return bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality_stage),
+    ("near duplicates", near_duplicate_stage),
+    ("repeated substrings", substring_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("byte-level BPE", token_stage),
+]
+
+#: A fitted model and a fingerprint graph are in it, which SQL cannot express; tests hold it against plain readings.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = written(stage(spark, docs, sf_dir), f"stage{k}")
+    return docs

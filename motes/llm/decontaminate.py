@@ -190,6 +190,16 @@ def contamination(docs: DataFrame, items: DataFrame, broadcast_shingles: int = B
     )
 
 
+def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with their columns."""
+    uid = F.xxhash64(F.col("doc_id").cast("long"), "text")
+    judged = contamination(docs.select(uid.alias("doc_id"), "text"), items)
+    bad = written(judged.where("contaminated").select(F.col("doc_id").alias("bad_uid")).distinct(), "contaminated")
+    small = bad.limit(BROADCAST_SHINGLES + 1).count() <= BROADCAST_SHINGLES
+    rest = docs.withColumn("own_uid", uid).join(F.broadcast(bad) if small else bad, F.col("own_uid") == F.col("bad_uid"), "left_anti")
+    return rest.select(docs.columns)
+
+
 #: Fixed SQL of the contract over the same tables: every window compared as text.
 SQL = r"""
 with d as (select row_number() over () as r, doc_id,

@@ -107,6 +107,15 @@ def near_links(prints: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [pairs.select("u", "v"), starred]).distinct()
 
 
+def _classes(prints: DataFrame) -> DataFrame:
+    """(fp, root, head) of the distinct fingerprints of ``prints``: the class each is in, and the smallest ``head`` in the class."""
+    distinct = prints.groupBy("fp").agg(F.min("head").alias("first"))
+    roots = components(near_links(distinct))
+    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("first").alias("head"))
+    return rooted.join(named, "root").select("fp", "root", "head")
+
+
 def simhash_components(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``: near-duplicate classes of whole texts.
 
@@ -115,16 +124,17 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     An empty table gives an empty table.
     """
     prints = written(fingerprints(docs), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = components(near_links(distinct))
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
-    )
-    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return prints.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    classes = _classes(prints.withColumn("head", F.col("doc_id")))
+    return prints.join(classes, "fp").select("doc_id", "fp", F.col("head").alias("component_id"))
 
 
 def near_duplicates_removed(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each class, the one with the smallest doc_id; of repeated rows one."""
-    kept = simhash_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(docs.columns)
+    """``docs`` with one document of each class: the smallest doc_id, null last. Of rows equal in id and text one stays."""
+    uid = F.xxhash64(F.col("doc_id").cast("long"), "text")
+    prints = written(fingerprints(docs.select(uid.alias("doc_id"), "text")).withColumnRenamed("doc_id", "own_uid"), "fingerprints")
+    ids = docs.select(uid.alias("own_uid"), F.col("doc_id").cast("long").alias("id")).dropDuplicates(["own_uid"])
+    head = F.struct(F.col("id").isNull().alias("last"), "id", "own_uid")
+    classes = _classes(prints.join(ids, "own_uid").select("fp", head.alias("head")))
+    kept = classes.select(F.col("head.own_uid").alias("kept_uid")).distinct()
+    single = docs.withColumn("own_uid", uid).dropDuplicates(["own_uid"])
+    return single.join(kept, F.col("own_uid") == F.col("kept_uid"), "left_semi").select(docs.columns)

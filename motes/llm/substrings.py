@@ -146,14 +146,35 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated passages cut from their texts, and n_chars made to fit where one went; ids are unique here."""
-    cut = substring_dedup(docs).where("n_removed > 0").select(F.col("doc_id").alias("cut_id"), "kept")
-    joined = docs.join(cut, docs.doc_id == cut.cut_id, "left")
-    changed = F.col("kept").isNotNull()
-    new = {"text": F.coalesce("kept", "text")}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.length("kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return joined.withColumns(new).select(docs.columns)
+    """``docs`` with repeated passages cut from their texts (the words that stay, joined by a space) and
+    n_chars made to fit; a text that keeps all its words stays as it is."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    marks = marked_pieces(own).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "content", "places")).alias("marks"))
+    marks = marks.withColumnRenamed("doc_id", "marked_id")
+    names, schema = docs.columns, docs.schema
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column(len(names))
+            texts = batch.column(names.index("text")).to_pylist()
+            chars = batch.column(names.index("n_chars")).to_pylist() if "n_chars" in names else None
+            for row in range(batch.num_rows):
+                if found[row].is_valid and texts[row]:
+                    data = texts[row].encode()
+                    words = Words(data, np.array([0, len(data)]), SPACE)
+                    gone = _removed(words, words.hashes(), 0, found[row].as_py())
+                    if gone.any():
+                        texts[row] = b" ".join(w for w, g in zip(data.split(), gone.tolist(), strict=True) if not g).decode()
+                        if chars is not None:
+                            chars[row] = len(texts[row])
+            cols = list(batch.columns[: len(names)])
+            cols[names.index("text")] = pa.array(texts, cols[names.index("text")].type)
+            if chars is not None:
+                cols[names.index("n_chars")] = pa.array(chars, cols[names.index("n_chars")].type)
+            yield pa.record_batch(cols, names)
+
+    joined = docs.join(marks, F.col("doc_id") == F.col("marked_id"), "left").select(*(docs[c] for c in names), "marks")
+    return joined.mapInArrow(cut, schema)
 
 
 #: Fixed SQL of the contract: every window compared as text.
