@@ -1,11 +1,576 @@
-"""Registered queries of the particle engine and the SQL that states the same results."""
+"""Registered queries of the particle engine over the given tables, and the SQL that states the same results.
+
+Sums of doubles are rounded to six places: their order is not fixed.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import kernels as K
+from .domain import AXES, shell
+from .functions import potentials
+from .operators import coulomb, dynamics, multipole
+from .operators import pairs as P
+from .particles import Edit, wrapped_by_minimum
+from .plans.tables import CUTOFF, SQL, part, particles
+from .sources import lattices
+
+LJ = potentials.lennard_jones(1.0, 0.9, CUTOFF)
+DT = 0.001
+_found: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def query(sql: str | None = None, bare: bool = False):
+    def put(f):
+        _found[f.__name__] = (f, sql if bare or sql is None else SQL + sql)
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: f for k, (f, _) in _found.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: sql for k, (_, sql) in _found.items() if sql}
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: r6(c) for c in columns})
+
+
+# --- rows: loops, reductions, edits
+
+
+@query(f"select gid, round(vx + 0.5e0 * {DT!r}e0 * q / mass, 6) + 0e0 as vx, round(vy, 6) + 0e0 as vy, round(vz, 6) + 0e0 as vz from p")
+def particle_loop_kick(spark, sf):
+    kernel = K.Kernel("kick", {"vx": "vx + half_dt * q / mass"}, (K.Constant("half_dt", 0.5 * DT),))
+    out = K.particle_loop(particles(spark, sf).df, kernel, {"vx": K.RW})
+    return rounded(out.select("gid", "vx", "vy", "vz"), "vx", "vy", "vz")
+
+
+@query("select round(sum(0.5e0 * mass * (vx * vx + vy * vy + vz * vz)), 6) as kinetic from p")
+def global_sum_ke(spark, sf):
+    return rounded(dynamics.kinetic_energy(particles(spark, sf).df), "kinetic")
+
+
+@query("select gid, 3e0 as pw, 3e0 + vx as prw, q + 2e0 as pinc, 2e0 as pinc0 from p")
+def access_modes(spark, sf):
+    df = particles(spark, sf).df.select("gid", F.col("vx").alias("prw"), F.col("q").alias("pinc"), F.lit(9.0).alias("pw"), F.lit(9.0).alias("pinc0"))
+    kernel = K.Kernel("modes", {"pw": "a1", "prw": "prw + a1", "pinc": "two", "pinc0": "two"}, (K.Constant("two", 2.0),), ("a1",))
+    return K.particle_loop(df, kernel, {"pw": K.WRITE, "prw": K.RW, "pinc": K.INC, "pinc0": K.INC_ZERO}, a1=3.0)
+
+
+@query("select 5e0 + 2e0 * count(*) as si, 2e0 * count(*) as si0 from p")
+def access_inc_zero(spark, sf):
+    kernel = K.Kernel("count", {"si": "two", "si0": "two"}, (K.Constant("two", 2.0),))
+    return K.reduce_loop(particles(spark, sf).df, kernel, {"si": K.INC, "si0": K.INC_ZERO}, {"si": 5.0})
+
+
+@query("select gid, case when gid < 100 then vx * 2e0 else vx end as vx from p")
+def first_n_execution(spark, sf):
+    out = K.particle_loop(particles(spark, sf).df, K.Kernel("double", {"vx": "vx * 2"}), {"vx": K.RW}, first=100)
+    return out.select("gid", "vx")
+
+
+@query("select gid, case gid % 4 when 0 then 1.5e0 when 1 then -2e0 when 2 then 0.25e0 else 8e0 end as value from p")
+def scalar_gather(spark, sf):
+    df = particles(spark, sf).df
+    return df.select("gid", K.gather([1.5, -2.0, 0.25, 8.0], F.col("gid") % 4).alias("value"))
+
+
+@query("select gid, least(x, y, z) as low, greatest(x, y, z) as high, round(x + y + z, 6) + 0e0 as total, round((x + y + z) / 3e0, 6) + 0e0 as mean from p")
+def array_algebra(spark, sf):
+    got = K.array_algebra(F.array("x", "y", "z"))
+    df = particles(spark, sf).df
+    return df.select("gid", got["min"].alias("low"), got["max"].alias("high"), r6(got["sum"]).alias("total"), r6(got["mean"]).alias("mean"))
+
+
+@query("select gid, x, y, z from p where x >= -1e0 and x < 2e0 and y >= -2e0 and y < 1e0 and z >= -1.5e0 and z < 1.5e0")
+def filter_subdomain(spark, sf):
+    return particles(spark, sf).within((-1.0, -2.0, -1.5), (2.0, 1.0, 1.5)).df.select("gid", "x", "y", "z")
+
+
+@query("select gid, q, mass from p where gid % 7 <> 0")
+def remove_particles(spark, sf):
+    s = particles(spark, sf)
+    return s.removed(s.df.where("gid % 7 = 0").select("gid")).df.select("gid", "q", "mass")
+
+
+@query("select gid, x, q, mass from p union all select gid + 1000000, x, 0e0, 0e0 from p where gid % 5 = 0")
+def insert_missing_zero(spark, sf):
+    s = particles(spark, sf)
+    new = s.df.where("gid % 5 = 0").select((F.col("gid") + 1000000).alias("gid"), *AXES)
+    return s.inserted(new).df.select("gid", "x", "q", "mass")
+
+
+@query("select gid, q from p where gid % 3 <> 0 union all select gid + 1000000, q from p where gid % 5 = 0")
+def modify_transaction(spark, sf):
+    s = particles(spark, sf)
+    edit = Edit(s)
+    edit.add(s.df.where("gid % 5 = 0").withColumn("gid", F.col("gid") + 1000000))
+    edit.remove(s.df.where("gid % 3 = 0"))
+    edit.apply()
+    return edit.result.df.select("gid", "q")
+
+
+@query("select count(*) as n from p")
+def lost_row_check(spark, sf):
+    s = particles(spark, sf)
+    return s.checked(part(spark, sf).count())
+
+
+@query("select greatest(max(abs(vx)), max(abs(vy)), max(abs(vz))) as norm_linf from p")
+def norm_linf(spark, sf):
+    return K.norm_linf(particles(spark, sf).df, ["vx", "vy", "vz"])
+
+
+@query(f"select round(greatest(max(abs(vx)), max(abs(vy)), max(abs(vz))) * {DT!r}e0, 9) as moved from p")
+def max_displacement(spark, sf):
+    out = dynamics.max_displacement(particles(spark, sf).df, DT)
+    return out.select(F.round("moved", 9).alias("moved"))
+
+
+@query("""select gid, f.x - 0.5e0 * max(f.x) over () as x, f.y - 0.5e0 * max(f.y) over () as y, f.z - 0.5e0 * max(f.z) over () as z from (
+    select gid, fmod(1.5e0 * x - min(1.5e0 * x) over (), e) as x, fmod(1.5e0 * y - min(1.5e0 * y) over (), e) as y, fmod(1.5e0 * z - min(1.5e0 * z) over (), e) as z from p) f""")
+def wrap_by_minimum(spark, sf):
+    s = particles(spark, sf)
+    return wrapped_by_minimum(s.df.select("gid", *[(1.5 * F.col(a)).alias(a) for a in AXES]), s.domain)
+
+
+@query("""select bool_or(abs(vx) > 0.98e0) as rebuild, cast(sum(gid) as bigint) as total, cast(sum(gid) as bigint) as scan from p""")
+def logical_or_reduction(spark, sf):
+    out = particles(spark, sf).df.agg(F.bool_or(F.abs("vx") > 0.98).alias("rebuild"), F.sum("gid").alias("total"))
+    return out.withColumn("scan", F.col("total"))
+
+
+@query("""select cx, n, coalesce(cast(sum(n) over (order by cx rows between unbounded preceding and 1 preceding) as bigint), 0) as before
+    from (select least(floor((x + e / 2e0) * n / e), n - 1)::int as cx, count(*) as n from p group by 1)""")
+def exclusive_scan(spark, sf):
+    from pyspark.sql import Window
+
+    s = particles(spark, sf)
+    n = s.domain.cell_counts(1.0)[0]
+    counts = s.df.groupBy(s.domain.cell("x", n).alias("cx")).agg(F.count("*").alias("n"))  # a row a slab of the box
+    return counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("cx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+
+# --- boundaries and cells
+
+_MOVED = "select gid, e, x + 3e0 * vx as x, y + 3e0 * vy as y, z + 3e0 * vz as z from p"
+
+
+def _moved(spark, sf):
+    s = particles(spark, sf)
+    return s.with_df(s.df.withColumns({a: F.col(a) + 3.0 * F.col(f"v{a}") for a in AXES}))
+
+
+@query(
+    f"select gid, {', '.join(f'round({a} + e / 2e0 - e * floor(({a} + e / 2e0) / e) - e / 2e0, 6) + 0e0 as {a}' for a in AXES)} from ({_MOVED})"
+)
+def wrap_periodic(spark, sf):
+    return rounded(_moved(spark, sf).wrapped().df.select("gid", *AXES), *AXES)
+
+
+@query(
+    "select direction, count(*) as n from (select "
+    + " + ".join(f"case when {a} < -e / 2e0 then {1 << 2 * k} when {a} >= e / 2e0 then {2 << 2 * k} else 0 end" for k, a in enumerate(AXES))
+    + f" as direction from ({_MOVED})) group by direction"
+)
+def escape_histogram(spark, sf):
+    return _moved(spark, sf).escapes()
+
+
+_CELLS = ", ".join(f"least(floor(({a} + e / 2e0) * floor(e / 2e0) / e), floor(e / 2e0) - 1)::int as c{a}" for a in AXES)
+
+
+@query(f"select cx, cy, cz, count(*) as n from (select {_CELLS} from p) group by all")
+def cell_occupancy(spark, sf):
+    return P.occupancy(particles(spark, sf), CUTOFF)
+
+
+@query(f"select max(n) as most, count(*) as cells from (select cx, cy, cz, count(*) as n from (select {_CELLS} from p) group by all)")
+def max_occupancy(spark, sf):
+    return P.occupancy(particles(spark, sf), CUTOFF).agg(F.max("n").alias("most"), F.count("*").alias("cells"))
+
+
+@query(f"select gid, case when abs(x) <= e / 2e0 then least(floor((x + e / 2e0) * floor(e / 2e0) / e), floor(e / 2e0) - 1)::int else -1 end as cx from ({_MOVED})")
+def plain_cell_list(spark, sf):
+    s = _moved(spark, sf)
+    return s.df.select("gid", s.domain.cell_or_none("x", s.domain.cell_counts(CUTOFF)[0]).alias("cx"))
+
+
+@query(
+    """select count(*) as images, cast(sum(abs(o.a) + abs(o.b) + abs(o.c)) as bigint) as boxes from (select """ + _CELLS + """, floor(e / 2e0) as m from p) q,
+    (select a.v as i, b.v as j, c.v as k from (values (-1), (0), (1)) a(v), (values (-1), (0), (1)) b(v), (values (-1), (0), (1)) c(v)) s,
+    lateral (select floor((cx + i) / m) as a, floor((cy + j) / m) as b, floor((cz + k) / m) as c) o"""
+)
+def halo_images(spark, sf):
+    s = particles(spark, sf)
+    out = P.listed(s.df.select("gid", *AXES), s.domain, s.domain.cell_counts(CUTOFF), [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
+    return out.agg(F.count("*").alias("images"), F.sum(F.abs("sx") + F.abs("sy") + F.abs("sz")).alias("boxes"))
+
+
+@query(
+    "select cx, cy, cz, cast(coalesce(sum(n), 0) as bigint) as n from (select a.cx, a.cy, a.cz, b.n from (select cx, cy, cz, any_value(m) as m from g group by all) a "
+    "join (select cx, cy, cz, count(*) as n from g group by all) b on abs(b.cx - a.cx) in (0, 1, m - 1) and abs(b.cy - a.cy) in (0, 1, m - 1) and abs(b.cz - a.cz) in (0, 1, m - 1)) group by all"
+)
+def grid_halo_sum(spark, sf):
+    """Each occupied cell with what its 27 neighbours on the periodic grid hold."""
+    s = particles(spark, sf)
+    n = s.domain.cell_counts(CUTOFF)
+    grid = P.occupancy(s, CUTOFF)
+    around = grid.select(
+        *[F.explode(F.array_distinct(F.array(*[F.pmod(F.col("cx") + o, F.lit(n[0])) for o in (-1, 0, 1)]))).alias("cx")], F.col("cy").alias("by"), F.col("cz").alias("bz"), "n"
+    )
+    around = around.select("cx", F.explode(F.array_distinct(F.array(*[F.pmod(F.col("by") + o, F.lit(n[1])) for o in (-1, 0, 1)]))).alias("cy"), "bz", "n")
+    around = around.select("cx", "cy", F.explode(F.array_distinct(F.array(*[F.pmod(F.col("bz") + o, F.lit(n[2])) for o in (-1, 0, 1)]))).alias("cz"), "n")
+    return around.join(grid.select("cx", "cy", "cz"), ["cx", "cy", "cz"], "left_semi").groupBy("cx", "cy", "cz").agg(F.sum("n").alias("n"))
+
+
+_found["grid_halo_sum"] = (
+    grid_halo_sum,
+    SQL + f", g as (select {_CELLS}, floor(e / 2e0) as m from p) " + _found["grid_halo_sum"][1].removeprefix(SQL),
+)
+
+
+# --- pairs
+
+
+@query("select gid, count(j) as n from p left join pairs on gid = i group by gid")
+def neighbour_count(spark, sf):
+    s = particles(spark, sf)
+    return P.accumulated(s.df, P.pair_table(s, CUTOFF), {"n": F.lit(1).cast("long")})
+
+
+@query("select gid, count(j) as n, coalesce(string_agg(j, ',' order by j), '') as neighbours from p left join pairs on gid = i group by gid")
+def neighbour_list_collect(spark, sf):
+    out = P.neighbour_list(particles(spark, sf), CUTOFF)
+    return out.select("gid", F.col("n").cast("long").alias("n"), F.array_join("neighbours", ",").alias("neighbours"))
+
+
+@query("select count(*) as n, round(sum(r2), 6) as total from pairs where i < j")
+def half_pairs(spark, sf):
+    return rounded(P.pair_table(particles(spark, sf), CUTOFF, mode="half").agg(F.count("*").alias("n"), F.sum("r2").alias("total")), "total")
+
+
+@query("select count(*) as n, round(sum(r2), 6) as total from pairs")
+def sub_cell_pairs(spark, sf):
+    return rounded(P.pair_table(particles(spark, sf), CUTOFF, sub=2).agg(F.count("*").alias("n"), F.sum("r2").alias("total")), "total")
+
+
+@query("select count(*) as n, round(sum(r2), 6) as total from pairs")
+def salted_pairs(spark, sf):
+    return rounded(P.pair_table(particles(spark, sf), CUTOFF, salt=4).agg(F.count("*").alias("n"), F.sum("r2").alias("total")), "total")
+
+
+@query(
+    "select count(*) - (select count(*) from p) as n from (select a.m, a.cx, a.cy, a.cz, b.cx, b.cy, b.cz, s1.v, s2.v, s3.v from g a, g b, t s1, t s2, t s3 "
+    "where (a.cx + s1.v + a.m) % a.m = b.cx and (a.cy + s2.v + a.m) % a.m = b.cy and (a.cz + s3.v + a.m) % a.m = b.cz)"
+)
+def cell_by_cell_pairs(spark, sf):
+    return P.pair_table(particles(spark, sf), CUTOFF, mode="cells").agg(F.count("*").alias("n"))
+
+
+_found["cell_by_cell_pairs"] = (
+    cell_by_cell_pairs,
+    SQL + f", t as (select unnest([-1, 0, 1]) as v), g as (select {_CELLS}, floor(e / 2e0)::int as m from p) " + _found["cell_by_cell_pairs"][1].removeprefix(SQL),
+)
+
+
+@query("select gid, count(j) as n, round(coalesce(sum(q_j), 0e0), 6) as charge from p left join pairs on gid = i where gid = 17 group by gid")
+def single_particle_pairs(spark, sf):
+    s = particles(spark, sf)
+    pairs = P.pair_table(s, CUTOFF, ["q"], only=17)
+    return P.accumulated(s.df.where("gid = 17"), pairs, {"n": F.lit(1).cast("long"), "charge": F.col("q_j")})
+
+
+@query("select gid, cast((select sum(gid) from p) - gid as bigint) as b from p")
+def all_to_all_sum(spark, sf):
+    df = particles(spark, sf).df.select("gid")
+    pairs = P.all_pairs(df.withColumn("a", F.col("gid")), ["a"])
+    return P.accumulated(df, pairs, {"b": F.col("a_j")})
+
+
+@query("select count(*) as n, round(sum(a.vx * b.vx), 6) as dot from p a join p b on a.gid < b.gid")
+def all_to_all_half(spark, sf):
+    pairs = P.all_pairs(particles(spark, sf).df, ["vx"], half=True)
+    return rounded(pairs.agg(F.count("*").alias("n"), F.sum(F.col("vx_i") * F.col("vx_j")).alias("dot")), "dot")
+
+
+def _pair_sums(u: str, f: str) -> str:
+    """SQL of energy (u) and force factor (f) texts in r2, summed by particle."""
+    inside = lambda t: f"coalesce(sum(case when r2 < 4e0 then {t} else 0e0 end), 0e0)"
+    cols = [f"round({inside(u)}, 6) + 0e0 as u"] + [f"round({inside(f'({f}) * d{a}')}, 6) + 0e0 as f{a}" for a in AXES]
+    return f"select gid, {', '.join(cols)} from p left join (select *, 0.81e0 / r2 as s2, pow(0.81e0 / r2, 3) as s6, sqrt(r2) as r from pairs) on gid = i group by gid"
+
+
+_LJ_SHIFT = (0.9 / 2) ** 6 - (0.9 / 2) ** 12
+_LJ_U = f"2e0 * ((s6 - 1) * s6 + {_LJ_SHIFT!r})"
+_LJ_F = f"{-48 / 0.81!r} * (s6 - 0.5e0) * s6 * s2"
+_FOUR = ("u", "fx", "fy", "fz")
+
+
+@query(_pair_sums(_LJ_U, _LJ_F))
+def lj_energy_force(spark, sf):
+    return rounded(dynamics.energy_and_force(particles(spark, sf), LJ), *_FOUR)
+
+
+@query(_pair_sums(_LJ_U, _LJ_F))
+def lj_symmetric(spark, sf):
+    return rounded(dynamics.symmetric_energy_and_force(particles(spark, sf), LJ), *_FOUR)
+
+
+@query("select count(*) as candidates, count(*) filter (r2 < 1.5e0 * 1.5e0) as accepted from pairs")
+def lj_counter(spark, sf):
+    lj = potentials.lennard_jones(1.0, 0.9, 1.5)
+    return P.pair_table(particles(spark, sf), CUTOFF).agg(F.count("*").alias("candidates"), F.sum(lj.counted()).cast("long").alias("accepted"))
+
+
+_RC = 2 ** (1 / 6)
+
+
+@query(f"select round(sum(case when r2 < {_RC**2!r} then 2e0 * ((pow(1 / r2, 3) - 1) * pow(1 / r2, 3) + {_RC**-6 - _RC**-12!r}) else 0e0 end), 6) as u from pairs")
+def lj_repulsive_energy(spark, sf):
+    lj = potentials.lennard_jones_repulsive(1.0, 1.0)
+    return rounded(P.pair_table(particles(spark, sf), CUTOFF).agg(F.sum(lj.energy_column()).alias("u")), "u")
+
+
+_B_SHIFT, _P_SHIFT = -5.0 * math.exp(-1.5 / 2.0) + 0.3 / 2.0**6, -(5.0 * math.exp(-1.5 * 2.0) - 0.3 / 2.0**6)
+
+
+@query(_pair_sums(f"0.5e0 * (5e0 * exp(-1.5e0 * r) - 0.3e0 / pow(r2, 3) + {_B_SHIFT!r})", "7.5e0 * exp(-1.5e0 * r) - 1.8e0 / (pow(r2, 3) * r)"))
+def buckingham_coded(spark, sf):
+    return rounded(dynamics.energy_and_force(particles(spark, sf), potentials.buckingham(5.0, 1.5, 0.3, CUTOFF)), *_FOUR)
+
+
+@query(_pair_sums(f"0.5e0 * (5e0 * exp(-1.5e0 * r) - 0.3e0 / pow(r2, 3) + {_B_SHIFT!r})", "7.5e0 * exp(-1.5e0 * r) - 1.8e0 / (pow(r2, 3) * r)"))
+def buckingham_symmetric(spark, sf):
+    return rounded(dynamics.symmetric_energy_and_force(particles(spark, sf), potentials.buckingham(5.0, 1.5, 0.3, CUTOFF)), *_FOUR)
+
+
+@query(_pair_sums(f"0.5e0 * (5e0 * exp(-1.5e0 * r) - 0.3e0 / pow(r2, 3) + {_P_SHIFT!r})", "-(7.5e0 * exp(-1.5e0 * r) / r - 1.8e0 / pow(r2, 4))"))
+def buckingham_physical(spark, sf):
+    return rounded(dynamics.energy_and_force(particles(spark, sf), potentials.buckingham_physical(5.0, 1.5, 0.3, CUTOFF)), *_FOUR)
+
+
+@query(_pair_sums("0.5e0 * (1 / r2 - 0.25e0)", "-2 / (r2 * r2)"))
+def symbolic_potential(spark, sf):
+    symbolic = potentials.symbolic(CUTOFF, "1 / r2", "2 / (r2 * r2)", 0.25)
+    return rounded(dynamics.energy_and_force(particles(spark, sf), symbolic), *_FOUR)
+
+
+@query("select gid, round(coalesce(sum(case when r2 < 4e0 then ((0.5e0 * sqrt(r2) - 1e0) * sqrt(r2) + 0.25e0) * sqrt(r2) + 2e0 else 0e0 end), 0e0), 6) + 0e0 as u from p left join pairs on gid = i group by gid")
+def polynomial_potential(spark, sf):
+    s = particles(spark, sf)
+    poly = potentials.polynomial([2.0, 0.25, -1.0, 0.5], CUTOFF)
+    return rounded(P.accumulated(s.df, P.pair_table(s, CUTOFF), {"u": poly.energy_column(half=False)}), "u")
+
+
+@query("select count(*) as n, 0e0 as u from pairs")
+def null_potential(spark, sf):
+    return P.pair_table(particles(spark, sf), CUTOFF).agg(F.count("*").alias("n"), F.sum(potentials.null(CUTOFF).energy_column()).alias("u"))
+
+
+# --- dynamics
+
+
+@query(
+    "select gid, " + ", ".join(f"round({a} + {DT!r}e0 * (v{a} + 0.5e0 * {DT!r}e0 * q / mass), 11) + 0e0 as {a}, round(v{a} + 0.5e0 * {DT!r}e0 * q / mass, 11) + 0e0 as v{a}" for a in AXES) + " from p"
+)
+def verlet_step1(spark, sf):
+    df = particles(spark, sf).df.withColumns({f"f{a}": F.col("q") for a in AXES})
+    out = dynamics.verlet_first(df, DT).select("gid", *AXES, *[f"v{a}" for a in AXES])
+    return out.withColumns({c: F.round(c, 11) + F.lit(0.0) for c in out.columns[1:]})
+
+
+@query(
+    "select round(sum(0.5e0 * mass * (vx * vx + vy * vy + vz * vz)), 6) as kinetic from (select mass, "
+    + ", ".join(f"v{a} + 0.5e0 * {DT!r}e0 * q / mass as v{a}" for a in AXES) + " from p)"
+)
+def verlet_step2(spark, sf):
+    df = particles(spark, sf).df.withColumns({f"f{a}": F.col("q") for a in AXES})
+    return rounded(dynamics.kinetic_energy(dynamics.verlet_second(df, DT)), "kinetic")
+
+
+@query("select round(avg(vx * (vx + 0.5e0 * q) + vy * vy + vz * vz), 6) as vaf from p")
+def vaf(spark, sf):
+    df = particles(spark, sf).df
+    return rounded(dynamics.velocity_autocorrelation(df, df.withColumn("vx", F.col("vx") + 0.5 * F.col("q"))), "vaf")
+
+
+@query(
+    "select floor(sqrt(r2) / 0.1e0)::int as bin, count(*) as n, "
+    "round(count(*) * pow(any_value(e), 3) / ((select count(*) * (count(*) - 1) from p) * 2 * pi() * pow((floor(sqrt(r2) / 0.1e0) + 0.5e0) * 0.1e0, 2) * 0.1e0), 6) as g "
+    "from pairs, b where i < j and r2 < 4e0 group by floor(sqrt(r2) / 0.1e0)"
+)
+def rdf_histogram(spark, sf):
+    out = dynamics.radial_distribution(particles(spark, sf), 2.0, 20)
+    return rounded(out.select("bin", "n", "g"), "g")
+
+
+@query("select count(*) as n, round(sum(x), 6) + 0e0 as total, round(stddev_samp(vx), 1) > 0.4e0 as moving from p")
+def thermostat_frame(spark, sf):
+    s = particles(spark, sf)
+    out = dynamics.thermostat(s.df, 1.0, 0.25, 1.0, seed=3)
+    return out.agg(F.count("*").alias("n"), r6(F.sum("x")).alias("total"), (F.round(F.stddev_samp("vx"), 1) > 0.4).alias("moving"))
+
+
+# --- electrostatics
+
+_ALPHA, _KMAX = 0.35, 2
+
+
+def _ewald(s):
+    return coulomb.EwaldParameters(s.domain, _ALPHA, CUTOFF, (_KMAX,) * 3)
+
+
+_K = f""", r as (select unnest(range({-_KMAX}, {_KMAX + 1})) as v),
+kt as (select 2 * pi() * a.v / e as kx, 2 * pi() * b2.v / e as ky, 2 * pi() * c.v / e as kz, e, a.v as nx, b2.v as ny, c.v as nz from r a, r b2, r c, b
+    where a.v * a.v + b2.v * b2.v + c.v * c.v between 1 and {_KMAX * _KMAX}),
+sk as (select nx, ny, nz, any_value(kx) as kx, any_value(ky) as ky, any_value(kz) as kz, any_value(kt.e) as e, sum(q * cos(kx * x + ky * y + kz * z)) as re, -sum(q * sin(kx * x + ky * y + kz * z)) as im from p, kt group by nx, ny, nz),
+sc as (select *, 4 * pi() / pow(e, 3) * exp(-(kx * kx + ky * ky + kz * kz) / (4 * {_ALPHA}e0)) / (kx * kx + ky * ky + kz * kz) as c from sk)
+"""
+
+
+@query("select round(sum(a.q * b.q / sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))), 6) as energy from p a join p b on a.gid < b.gid")
+def coulomb_free_direct(spark, sf):
+    return rounded(coulomb.free_space(particles(spark, sf).df), "energy")
+
+
+@query(
+    "select round(sum(a.q * b.q * case when o.a = 0 and o.b = 0 and o.c = 0 then case when a.gid < b.gid then 1e0 else 0e0 end else 0.5e0 end "
+    "/ nullif(sqrt(pow(b.x - a.x + o.a * a.e, 2) + pow(b.y - a.y + o.b * a.e, 2) + pow(b.z - a.z + o.c * a.e, 2)), 0)), 6) as energy from p a, p b, "
+    "(select t1.v as a, t2.v as b, t3.v as c from t t1, t t2, t t3 where abs(t1.v) + abs(t2.v) + abs(t3.v) <= 1) o"
+)
+def coulomb_nearest_direct(spark, sf):
+    six = [o for o in shell(1) if sum(map(abs, o)) == 1]
+    return rounded(coulomb.nearest_images(particles(spark, sf), six), "energy")
+
+
+_found["coulomb_nearest_direct"] = (coulomb_nearest_direct, SQL + ", t as (select unnest([-1, 0, 1]) as v) " + _found["coulomb_nearest_direct"][1].removeprefix(SQL))
+
+
+@query(_K + "select nx, ny, nz, round(re, 6) + 0e0 as re, round(im, 6) + 0e0 as im from sk")
+def ewald_structure_factor(spark, sf):
+    s = particles(spark, sf)
+    n = {f"n{a}": F.round(F.col(f"k{a}") * s.domain.extent[0] / (2 * math.pi)).cast("long") for a in AXES}
+    return coulomb.structure_factor(s.df, _ewald(s)).select(*[v.alias(k) for k, v in n.items()], r6("re").alias("re"), r6("im").alias("im"))
+
+
+@query(_K + "select round(sum(0.5e0 * c * (re * re + im * im)), 6) as energy from sc")
+def ewald_recip_energy(spark, sf):
+    s = particles(spark, sf)
+    return rounded(coulomb.reciprocal_energy(s.df, _ewald(s)), "energy")
+
+
+@query(_K + "select round(sum(0.5e0 * c * (re * re + im * im)), 6) as energy from sc")
+def ewald_half_energy(spark, sf):
+    s = particles(spark, sf)
+    return rounded(coulomb.reciprocal_energy(s.df, _ewald(s), half=True), "energy")
+
+
+@query(
+    _K + "select gid, round(sum(c * (re * cos(ph) - im * sin(ph))), 6) + 0e0 as potential, round(0.5e0 * any_value(q) * sum(c * (re * cos(ph) - im * sin(ph))), 6) + 0e0 as u, "
+    + ", ".join(f"round(any_value(q) * sum(c * k{a} * (re * sin(ph) + im * cos(ph))), 6) + 0e0 as f{a}" for a in AXES)
+    + " from (select gid, q, sc.*, kx * x + ky * y + kz * z as ph from p, sc) group by gid"
+)
+def ewald_recip_rows(spark, sf):
+    s = particles(spark, sf)
+    return rounded(coulomb.reciprocal_rows(s.df, _ewald(s)), "u", "potential", "fx", "fy", "fz")
+
+
+@query(f"select round(-sqrt({_ALPHA}e0 / pi()) * sum(q * q), 6) as energy from p")
+def ewald_self(spark, sf):
+    s = particles(spark, sf)
+    return rounded(coulomb.self_energy(s.df, _ewald(s)), "energy")
+
+
+@query()
+def ewald_total(spark, sf):
+    """Rows only: the complementary error function is in neither SQL; tests hold it against direct sums."""
+    s = particles(spark, sf)
+    return coulomb.ewald(s, coulomb.EwaldParameters.of(s.domain, CUTOFF, 1e-4))
+
+
+@query()
+def potential_field_probe(spark, sf):
+    """Rows only, for the same reason: the potential at every eighth particle's place moved by half a cell."""
+    s = particles(spark, sf)
+    probes = s.wrapped().df.where("gid % 8 = 0").select("gid", *[s.domain.wrap(a, F.col(a) + 0.5).alias(a) for a in AXES])
+    return coulomb.potential_field(s, probes, coulomb.EwaldParameters.of(s.domain, CUTOFF, 1e-4))
+
+
+# --- multipoles
+
+_LEAF = ", ".join(f"least(floor(({a} + e / 2e0) * 4 / e), 3)::int as c{a}" for a in AXES)
+_LOCAL = ", ".join(f"{a} - (((c{a} + 0.5e0) / 4) * e - e / 2e0) as d{a}" for a in AXES)
+
+
+@query(
+    f"""select cx, cy, cz, round(sum(q), 6) + 0e0 as m00, round(sum(q * dz), 6) + 0e0 as m10, round(-sum(q * dx) / sqrt(2e0), 6) + 0e0 as m11_re, round(sum(q * dy) / sqrt(2e0), 6) + 0e0 as m11_im,
+    round(sum(q * (2 * dz * dz - dx * dx - dy * dy) / 2e0), 6) + 0e0 as m20 from (select *, {_LOCAL} from (select *, {_LEAF} from p)) group by cx, cy, cz"""
+)
+def multipole_p2m_l3(spark, sf):
+    s = particles(spark, sf)
+    out = multipole.moments(s, 3, 3)
+    at = lambda l, m: (F.col("l") == l) & (F.col("m") == m)
+    pick = lambda l, m, c: r6(F.max(F.when(at(l, m), F.col(c))))
+    return out.groupBy("cx", "cy", "cz").agg(pick(0, 0, "re").alias("m00"), pick(1, 0, "re").alias("m10"), pick(1, 1, "re").alias("m11_re"), pick(1, 1, "im").alias("m11_im"), pick(2, 0, "re").alias("m20"))
+
+
+@query("select level, cx, cy, cz, round(sum(q), 6) + 0e0 as q, count(*) as n from (" + " union all ".join(
+    f"select {lv} as level, q, " + ", ".join(f"least(floor(({a} + e / 2e0) * {2**lv} / e), {2**lv - 1})::int as c{a}" for a in AXES) + " from p" for lv in range(4)) + ") group by all")
+def octree_rollup_charge(spark, sf):
+    return rounded(multipole.charge_by_level(particles(spark, sf), 4), "q")
+
+
+@query()
+def multilevel_energy(spark, sf):
+    """Rows only: an approximation of ``coulomb_free_direct``, held against it in tests."""
+    return multipole.multilevel_energy(particles(spark, sf), 3, 6)
+
+
+@query()
+def fast_multipole_energy(spark, sf):
+    """Rows only: a truncated expansion; tests hold it against the direct sum."""
+    return multipole.fmm(particles(spark, sf), levels=3, order=6).agg(F.sum("u").alias("energy"))
+
+
+@query(
+    "select gid, round(sqrt(x * x + y * y + z * z), 9) as r, round(atan2(sqrt(x * x + y * y), z), 9) as theta, round(atan2(y, x), 9) as phi from p"
+)
+def spherical_coordinates(spark, sf):
+    from .functions.harmonics import spherical
+
+    r, theta, phi = spherical(F.col("x"), F.col("y"), F.col("z"))
+    return particles(spark, sf).df.select("gid", F.round(r, 9).alias("r"), F.round(theta, 9).alias("theta"), F.round(phi, 9).alias("phi"))
+
+
+# --- lattices: as large as the table
+
 
-def queries() -> dict:
-    return {}
+@query("select k as gid, " + ", ".join(f"round(-e / 2e0 + 0.5e0 + (cast(floor(k / cast(pow(n, {2 - i}) as bigint)) as bigint) % n), 9) + 0e0 as {a}" for i, a in enumerate(AXES)) + " from (select unnest(range(0, n * n * n)) as k, e, n from b)")
+def cubic_lattice(spark, sf):
+    n = int(particles(spark, sf).domain.extent[0])
+    out = lattices.cubic_lattice(spark, (n, n, n), (float(n),) * 3)
+    return out.select("gid", *[(F.round(a, 9) + F.lit(0.0)).alias(a) for a in AXES])
 
 
-def oracle_sql() -> dict:
-    return {}
+@query("""select c * 4 + t as gid, """ + ", ".join(f"round(case when {a} >= e / 2e0 then -e / 2e0 else {a} end, 9) + 0e0 as {a}" for a in AXES) + """ from (
+    select c, t, e, (c % n) + 0.5e0 - e / 2e0 + case when t in (1, 2) then 0.5e0 else 0e0 end as x, (cast(floor(c / n) as bigint) % n) + 0.5e0 - e / 2e0 + case when t in (1, 3) then 0.5e0 else 0e0 end as y,
+    cast(floor(c / (n * n)) as bigint) + 0.5e0 - e / 2e0 + case when t in (2, 3) then 0.5e0 else 0e0 end as z from (select unnest(range(0, n * n * n)) as c, e, n from b), (select unnest([0, 1, 2, 3]) as t))""")
+def fcc_lattice(spark, sf):
+    n = int(particles(spark, sf).domain.extent[0])
+    out = lattices.fcc_lattice(spark, (n, n, n), (float(n),) * 3)
+    return out.select("gid", *[(F.round(a, 9) + F.lit(0.0)).alias(a) for a in AXES])
