@@ -69,7 +69,7 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def marked_pieces(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, windows, content, places): pieces to remove; null ``places`` means all their windows."""
+    """(doc_id, marks): each document's pieces to remove (start, windows, content, places); null ``places`` means all their windows."""
     pieces = docs.mapInArrow(_pieces, _PIECES)
     repeated = pieces.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     shared = written(pieces.join(repeated, "anchor"), "pieces")
@@ -90,7 +90,8 @@ def marked_pieces(docs: DataFrame) -> DataFrame:
     )
     firsts = paths.select("anchor", "content", "first_id").join(partly, ["anchor", "content"], "left")
     met = shared.join(firsts, ["anchor", "content"]).where("doc_id > first_id or (doc_id = first_id and places is not null)")
-    return met.select("doc_id", "start", "windows", "content", F.expr("if(doc_id = first_id, places, null)").alias("places"))
+    marks = met.select("doc_id", F.struct("start", "windows", "content", F.expr("if(doc_id = first_id, places, null)").alias("places")).alias("mark"))
+    return written(marks.groupBy("doc_id").agg(F.collect_list("mark").alias("marks")), "marks")
 
 
 def _removed(words: Words, hashes: np.ndarray, row: int, marks: list[dict] | None) -> np.ndarray:
@@ -141,16 +142,14 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     that repeat an id do not count against each other.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marks = marked_pieces(own).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "content", "places")).alias("marks"))
-    return own.join(marks, "doc_id", "left").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return own.join(marked_pieces(own), "doc_id", "left").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages cut from their texts (the words that stay, joined by a space) and
     n_chars made to fit; a text that keeps all its words stays as it is."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marks = marked_pieces(own).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "content", "places")).alias("marks"))
-    marks = marks.withColumnRenamed("doc_id", "marked_id")
+    marks = marked_pieces(own).withColumnRenamed("doc_id", "marked_id")
     names, schema = docs.columns, docs.schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
