@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..domain import AXES, Domain
 from ..particles import ParticleSet
@@ -121,7 +122,7 @@ def reciprocal_rows(df: DataFrame, params: EwaldParameters, half: bool = True) -
     return out.select("gid", (0.5 * F.col("q") * F.col("potential")).alias("u"), "potential", *[(F.col("q") * F.col(f"f{a}")).alias(f"f{a}") for a in AXES])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _erfc(x: pd.Series) -> pd.Series:
     return pd.Series(np.fromiter(map(math.erfc, x), float, len(x)))
 

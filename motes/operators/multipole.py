@@ -301,8 +301,8 @@ def fmm(particles: ParticleSet, levels: int = 3, order: int = 8, boundary: str =
             scale = 4 * np.pi / (3 * domain.volume)
             dipole = np.array([-2 * whole[place(1, 1)].real, 2 * whole[place(1, 1)].imag, whole[place(1, 0)].real])
             far[place(1, 0)] -= scale * dipole[2]
-            far[place(1, 1)] -= scale * complex(-dipole[0], dipole[1])
-            far[place(1, -1)] -= scale * complex(dipole[0], dipole[1])
+            far[place(1, 1)] += scale * complex(dipole[0], dipole[1])
+            far[place(1, -1)] -= scale * complex(dipole[0], -dipole[1])
         local = particles.df.sparkSession.createDataFrame([(0, 0, 0, *_cut(order, far))], _EXPANSION)
     steps = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"o{a}") for a, v in zip(AXES, o, strict=True)]) for o in exclusion_list()]))
     for level in range(1, finest + 1):

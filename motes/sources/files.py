@@ -15,7 +15,7 @@ from ..domain import Domain
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, text, tokens): the trimmed lines of files, counted from 0."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\r?\n").alias("rows"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\r?\n").alias("rows"))
     out = whole.select("file", F.posexplode("rows").alias("line", "text"))
     clean = F.trim(F.translate("text", "\t", " "))
     return out.select("file", "line", clean.alias("text"), F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " +")).alias("tokens"))
