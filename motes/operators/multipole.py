@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..domain import AXES, Domain
 from ..functions.harmonics import degrees, irregular, local_shift, multipole_shift, multipole_to_local, place, regular, regular_columns, to_normalised
 from ..particles import ParticleSet
+from .coulomb import nearest_images
 
 CELL = ("cx", "cy", "cz")
 
@@ -269,6 +270,34 @@ def far_field(order: int, extent: float, whole: np.ndarray) -> np.ndarray:
     return out
 
 
+def _whole_box(level0: DataFrame, order: int) -> np.ndarray:
+    """The one expansion of the whole box; zero for an empty set."""
+    row = level0.first()
+    return _full(order, row.re, row.im) if row else np.zeros(order * order, complex)
+
+
+def _periodic_local(domain: Domain, whole: np.ndarray, order: int, tin_foil: bool) -> np.ndarray:
+    """``far_field``, with the dipole's field 4 pi D / 3V taken off as a local expansion of degree 1 for ``tin_foil``."""
+    far = far_field(order, domain.extent[0], whole)
+    if tin_foil:
+        scale = 4 * np.pi / (3 * domain.volume)
+        dipole = np.array([-2 * whole[place(1, 1)].real, 2 * whole[place(1, 1)].imag, whole[place(1, 0)].real])
+        far[place(1, 0)] -= scale * dipole[2]
+        far[place(1, 1)] += scale * complex(dipole[0], dipole[1])
+        far[place(1, -1)] -= scale * complex(dipole[0], -dipole[1])
+    return far
+
+
+def periodic_direct(particles: ParticleSet, order: int = 12, tin_foil: bool = True) -> float:
+    """The energy of a neutral periodic cube: the direct sum over the box and its 26 nearest images, and all
+    further ones through the box's multipoles."""
+    if len(set(particles.domain.extent)) > 1:
+        raise ValueError("the periodic far field is for cubic boxes")
+    whole = _whole_box(multipoles(particles, 0, order), order)
+    far = _periodic_local(particles.domain, whole, order, tin_foil)
+    return nearest_images(particles).first()[0] + 0.5 * float((far * whole).sum().real)
+
+
 def fmm(particles: ParticleSet, levels: int = 3, order: int = 8, boundary: str = "free", tin_foil: bool = True) -> DataFrame:
     """(gid, u, potential, fx, fy, fz) of every particle by the fast multipole method; u is half of q times the potential.
 
@@ -293,16 +322,7 @@ def fmm(particles: ParticleSet, levels: int = 3, order: int = 8, boundary: str =
     local = None
     lowest = 1 if periodic else 2
     if boundary == "pbc":
-        row = at_level[0].first()  # one expansion, of the whole box
-        whole = _full(order, row.re, row.im) if row else np.zeros(order * order, complex)
-        far = far_field(order, domain.extent[0], whole)
-        if tin_foil:
-            # the dipole's field 4 pi D / 3V, taken off as a local expansion of degree 1
-            scale = 4 * np.pi / (3 * domain.volume)
-            dipole = np.array([-2 * whole[place(1, 1)].real, 2 * whole[place(1, 1)].imag, whole[place(1, 0)].real])
-            far[place(1, 0)] -= scale * dipole[2]
-            far[place(1, 1)] += scale * complex(dipole[0], dipole[1])
-            far[place(1, -1)] -= scale * complex(dipole[0], -dipole[1])
+        far = _periodic_local(domain, _whole_box(at_level[0], order), order, tin_foil)
         local = particles.df.sparkSession.createDataFrame([(0, 0, 0, *_cut(order, far))], _EXPANSION)
     steps = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"o{a}") for a, v in zip(AXES, o, strict=True)]) for o in exclusion_list()]))
     for level in range(1, finest + 1):

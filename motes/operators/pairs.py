@@ -112,6 +112,12 @@ def neighbour_list(particles: ParticleSet, cutoff: float) -> DataFrame:
     return joined.select("gid", F.coalesce(F.size("found"), F.lit(0)).alias("n"), F.coalesce("found", F.array().cast("array<bigint>")).alias("neighbours"))
 
 
+def native_kernel(pairs: DataFrame, kernel, schema: str) -> DataFrame:
+    """A pair table through a function of Arrow batches, for kernels that need code of their own: ``kernel`` takes an
+    iterator of record batches of pairs and yields record batches of ``schema``, to be summed by ``accumulated``."""
+    return pairs.mapInArrow(kernel, schema)
+
+
 class PairCache:
     """Pair tables by cutoff, kept while the particles' version stays; a skin lets them outlive small moves."""
 

@@ -294,6 +294,42 @@ def test_fmm(spark, boundary):
     assert len(multipole.interaction_list((0, 0, 0))) == len(multipole.interaction_list((1, 0, 1))) == 189
 
 
+def test_periodic_direct_agrees_with_ewald(spark):
+    s, *_ = random_set(spark, 10, (19, 19, 19), 8123)
+    ewald = coulomb.ewald(s, coulomb.EwaldParameters.of(s.domain, 9.0, 1e-8)).agg(F.sum("u")).first()[0]
+    assert multipole.periodic_direct(s, 12) == pytest.approx(ewald, rel=1e-4)
+
+
+def test_wigner_matrices():
+    b = 0.7
+    c, s = math.cos(b), math.sin(b)
+    want = [[(1 + c) / 2, s / math.sqrt(2), (1 - c) / 2], [-s / math.sqrt(2), c, s / math.sqrt(2)], [(1 - c) / 2, -s / math.sqrt(2), (1 + c) / 2]]
+    assert np.allclose(np.abs(harmonics.wigner_d(1, b)), np.abs(want))
+    for l in (2, 7, 12):
+        assert np.allclose(harmonics.wigner_d(l, 0.3) @ harmonics.wigner_d(l, 0.5), harmonics.wigner_d(l, 0.8))
+        # degree l of a rotated point is a rotation matrix times that of the point
+        f = harmonics.to_normalised(l + 1)[l * l :]
+        p = np.array([[0.3, -0.4, 0.5]])
+        turn = np.array([[math.cos(0.9), 0, math.sin(0.9)], [0, 1, 0], [-math.sin(0.9), 0, math.cos(0.9)]])
+        y, z = (harmonics.regular(l + 1, *q.T)[0][l * l :] * f for q in (p, p @ turn.T))
+        assert np.allclose(harmonics.wigner_d(l, 0.9) @ y, z)
+
+
+def test_native_kernel(spark):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    s, *_ = random_set(spark, 50, (6, 6, 6), 2)
+
+    def double(batches):
+        for b in batches:
+            yield pa.record_batch([b.column(b.schema.get_field_index("i")), pc.multiply(b.column(b.schema.get_field_index("r2")), 2.0)], ["i", "w"])
+
+    pairs = P.pair_table(s, 1.5)
+    got = P.accumulated(s.df, P.native_kernel(pairs, double, "i long, w double"), {"w": F.col("w")}).agg(F.sum("w")).first()[0]
+    assert got == pytest.approx(2 * pairs.agg(F.sum("r2")).first()[0])
+
+
 # --- files
 
 
