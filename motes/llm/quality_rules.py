@@ -30,7 +30,8 @@ _LETTER = np.array([bool(_UPPER[b] or 97 <= b <= 122 or b >= 0xC0) for b in rang
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: The posterior at which a document stays.
 KEEP_AT = 0.5
-ROUNDS, SMOOTH = 60, 1.0
+#: Few rounds on purpose: run to the end, correlated rules pull the classes apart by what they share.
+ROUNDS, SMOOTH, START = 60, 1.0, 0.9
 
 
 def _vote(bad: str, good: str) -> Column:
@@ -105,19 +106,19 @@ def counted(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_count_batches, schema)
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rules: int) -> tuple[float, list[dict[int, float]]]:
+def fit(patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = ROUNDS) -> tuple[float, list[dict[int, float]]]:
     """(prior log-odds, each rule's log-odds by its vote) by EM over counted vote patterns.
 
-    A rule's three outcomes are independent given the class; abstaining is an outcome too. The start is
-    the plain majority, which also fixes which class is the good one.
+    A rule's three outcomes are independent given the class; abstaining is an outcome too. It starts from
+    documents that no rule votes against as likely good, which also fixes which class is the good one.
     """
     if not patterns:
         return 0.0, [{v: 0.0 for v in (-1, 0, 1)} for _ in range(rules)]
     votes_at = np.array([p for p, _ in patterns])
     n = np.array([c for _, c in patterns], float)
-    good = 1 / (1 + np.exp(-votes_at.sum(1).astype(float)))
+    good = np.where((votes_at < 0).any(1), 1 - START, START)
     prior, weights = 0.0, []
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         up, down = n * good, n * (1 - good)
         prior = math.log((up.sum() + SMOOTH) / (down.sum() + SMOOTH))
         weights = []
@@ -142,12 +143,13 @@ def judged(docs: DataFrame) -> DataFrame:
     rules = votes()
     table = written(counted(docs).withColumns({f"vote_{k}": v for k, v in rules.items()}), "votes")
     names = [f"vote_{k}" for k in rules]
-    patterns = [(tuple(r[:-1]), r[-1]) for r in table.groupBy(*names).agg(F.count("*").alias("n")).collect()]
+    failed = F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words")
+    # accuracies are judged on what the base rules leave to judge
+    patterns = [(tuple(r[:-1]), r[-1]) for r in table.where(~failed).groupBy(*names).agg(F.count("*").alias("n")).collect()]
     prior, weights = fit(sorted(patterns), len(names))
     log_odds = F.lit(float(prior))
     for name, w in zip(names, weights, strict=True):
         log_odds = log_odds + F.when(F.col(name) > 0, float(w[1])).when(F.col(name) < 0, float(w[-1])).otherwise(float(w[0]))
-    failed = F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words")
     return table.withColumns({"base_failed": failed, "posterior": 1 / (1 + F.exp(-log_odds))}).withColumn(
         "kept", ~F.col("base_failed") & (F.col("posterior") >= KEEP_AT)
     )
