@@ -15,6 +15,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import duckdb
 import numpy as np
@@ -31,12 +32,13 @@ WHITE = r"\t-\r \x85\xa0  -     　"
 #: Splits a text at places where every match of the pattern ends: a run of other characters with the
 #: space before it, or a run of white space. Matches lie within one such chunk.
 CHUNK = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-#: Chunks, their words and token groups that a worker remembers, each; rows that one recursion may produce.
-REMEMBER, STEP_ROWS = 800_000, 3_000_000
+#: Chunks, their words and token groups that a worker remembers, each, and how many of the first met, mostly the
+#: commonest, outlast a full table or a partition; rows that one recursion may produce.
+REMEMBER, OUTLAST, STEP_ROWS = 400_000, 120_000, 1_500_000
 #: Words of up to so many bytes contract one pair a step; in longer ones a step contracts every
 #: occurrence of the least pair where that provably comes to the same.
 SHORT = 32
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 21
 
 #: A row's place g is 64 * word + position in the word.
 _STEP = """
@@ -92,13 +94,17 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines()) if token}
 
 
+def first_of(table: dict) -> dict:
+    return dict(islice(table.items(), OUTLAST))
+
+
 class Codec:
     """Encoder and decoder of one vocabulary, with a DuckDB database of its own in memory."""
 
     def __init__(self, raw: bytes, pattern: str):
         self.ranks = read_ranks(raw)
         self.pattern = regex.compile(pattern)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         left, right, merged = [], [], []
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
@@ -165,7 +171,8 @@ class Codec:
         ids = {w: self.ranks[w].to_bytes(4, "little") for w in words if w in self.ranks}
         rest = sorted(words - ids.keys() - self.words.keys())
         if len(self.words) + len(rest) > REMEMBER:
-            self.words, rest = {}, sorted(words - ids.keys())
+            self.words = first_of(self.words)
+            rest = sorted(words - ids.keys() - self.words.keys())
         self.words.update(zip(rest, self._contract(rest), strict=True))
         ids |= {w: self.words[w] for w in words if w not in ids}
         self.chunks.update((c, ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])) for c, ws in split.items())
@@ -176,11 +183,16 @@ class Codec:
         wanted = set().union(*split) if split else set()
         new = wanted - self.chunks.keys()
         if len(self.chunks) + len(new) > REMEMBER:
-            self.chunks, new = {}, wanted
+            self.chunks = first_of(self.chunks)
+            new = wanted - self.chunks.keys()
         if new:
             self.learn(new)
         return [np.frombuffer(b"".join([self.chunks[c] for c in chunks]), np.uint32) for chunks in split]
 
+    def rest(self) -> None:
+        """Lets go of most of what is remembered, at the end of a partition: other work follows in this worker."""
+        self.chunks, self.words, self.groups = first_of(self.chunks), first_of(self.words), first_of(self.groups)
+
     def decimals(self, ids: np.ndarray) -> str:
         """The decimal ids joined by one space."""
         return " ".join(self.decimal[ids])
@@ -198,7 +210,7 @@ class Codec:
         keys = RangeHash(flat.astype(np.uint64) + np.uint64(1)).of(start, end)
         distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.groups) + len(distinct) > REMEMBER:
-            self.groups = {}
+            self.groups = first_of(self.groups)
         new = np.array([k for k, key in enumerate(distinct.tolist()) if key not in self.groups], np.int64)
         if len(new):
             a, b = start[first[new]], end[first[new]]
@@ -268,6 +280,7 @@ def encoded(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = True
                     cols.append(pa.ListArray.from_arrays(pa.array(edges), pa.array(flat)))
                     names.append("ids")
                 yield pa.record_batch(cols, names)
+        own.rest()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

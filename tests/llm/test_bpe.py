@@ -64,11 +64,14 @@ def test_long_words_in_several_recursions(raw, library, monkeypatch):
 
 def test_forgetting_changes_nothing(raw, library, monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBER", 50)
+    monkeypatch.setattr(bpe, "OUTLAST", 20)
     own = bpe.Codec(raw, public_tokenizers.PATTERN)
     texts = [LONG[k : k + 600] for k in range(0, 6000, 600)]
     for t in texts:
         assert own.encode([t])[0].tolist() == library.encode_ordinary(t)
         assert own.decode(own.encode([t])) == [t.encode()]
+        own.rest()
+        assert max(map(len, (own.chunks, own.words, own.groups))) <= 20
 
 
 def test_empty(spark):
