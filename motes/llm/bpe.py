@@ -34,7 +34,7 @@ WHITE = r"\t-\r \x85\xa0  -     　"
 CHUNK = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Chunks, their words and token groups that a worker remembers, each, and how many of the first met, mostly the
 #: commonest, outlast a full table or a partition; rows that one recursion may produce.
-REMEMBER, OUTLAST, STEP_ROWS = 400_000, 120_000, 1_500_000
+REMEMBER, OUTLAST, STEP_ROWS = 400_000, 80_000, 1_500_000
 #: Words of up to so many bytes contract one pair a step; in longer ones a step contracts every
 #: occurrence of the least pair where that provably comes to the same.
 SHORT = 32
@@ -104,7 +104,7 @@ class Codec:
     def __init__(self, raw: bytes, pattern: str):
         self.ranks = read_ranks(raw)
         self.pattern = regex.compile(pattern)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         left, right, merged = [], [], []
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
@@ -192,6 +192,8 @@ class Codec:
     def rest(self) -> None:
         """Lets go of most of what is remembered, at the end of a partition: other work follows in this worker."""
         self.chunks, self.words, self.groups = first_of(self.chunks), first_of(self.words), first_of(self.groups)
+        for name in ("base", "coded"):
+            self.db.execute(f"DROP TABLE IF EXISTS {name}")
 
     def decimals(self, ids: np.ndarray) -> str:
         """The decimal ids joined by one space."""
