@@ -40,8 +40,7 @@ def runs(spans: RangeHash, n: int, first: np.ndarray, gram: int, length: int, pl
     none = np.zeros(0, np.int64)
     if n < length:
         return Runs(none, none, none, none.view(np.uint64), none.view(np.uint64), none, none)
-    at = np.arange(n - gram + 1)
-    grams = spans.of(at, at + gram)
+    grams = spans.grams(gram)
     width = length - gram + 1
     least = sliding_min(grams, width)
     start = np.arange(len(least))

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from .textops import RangeHash, covered, mix, slices
 LENGTH, GRAM = 200, 32
 SIDE = (LENGTH - GRAM) // 2
 #: Bytes of a block, and of contents in a bucket at most that go to one.
-BLOCK, BUCKET = 1 << 20, 1 << 19
+BLOCK, BUCKET = 1 << 17, 1 << 18
 _RUNS = "anchor long, content long, uid long, start int, windows int, twice boolean, keys array<long>"
 
 
@@ -82,16 +83,22 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """The suffixes of ``text`` (integers) in order of their first ``depth`` symbols or more, by doubling."""
+    """The suffixes of ``text`` (integers from 0) in order of their first ``depth`` symbols or more, by doubling
+    from as many symbols as one machine word holds."""
     n = len(text)
-    order = np.argsort(text, kind="stable")
+    bits = max(1, int(text.max() + 1).bit_length())
+    size = max(1, min(n, 62 // bits))
+    key = np.zeros(n, np.int64)
+    for k in range(size):
+        key <<= bits
+        key[: n - k] |= text[k:] + 1
+    order = np.argsort(key)
     rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(np.concatenate([[0], np.diff(text[order]) != 0]))
-    size = 1
+    rank[order] = np.cumsum(np.concatenate([[0], np.diff(key[order]) != 0]))
     while size < depth and rank[order[-1]] < n - 1:
         key = rank * (n + 1)
         key[: n - size] += rank[size:] + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         rank[order] = np.cumsum(np.concatenate([[0], np.diff(key[order]) != 0]))
         size *= 2
     return order
@@ -100,14 +107,14 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
 def long_prefixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(suffixes in order, open): ``open[i]`` if suffixes i - 1 and i share ``length`` symbols or more.
 
-    ``text`` ends with a symbol that it holds nowhere else, and separators within are unique too.
+    ``text`` ends with a symbol that it holds nowhere else.
     """
     n = len(text)
     order = suffix_order(text, length + 1)
     last = text[order - 1]
     # the place of each suffix extended backward by the symbol before it
     back = np.empty(n, np.int64)
-    back[np.argsort(last, kind="stable")] = np.arange(n)
+    back[np.argsort(last.astype(np.uint16) if last.max() < 1 << 16 else last, kind="stable")] = np.arange(n)
     undone = np.ones(n + 1, bool)
     undone[[0, n]] = False
     low, high = np.array([0]), np.array([n])
@@ -115,21 +122,18 @@ def long_prefixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
     while len(low) and step < length:
         size = high - low
         owner = np.repeat(np.arange(len(low)), size)
-        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
-        # within an interval, equal symbols lead to neighbouring places in the same order
+        at = np.arange(len(owner)) + np.repeat(low - (np.cumsum(size) - size), size)
+        # members of an interval with the same symbol before them lead to neighbouring places in the same order
         to = back[at]
-        by = np.lexsort((to, owner)) if len(low) > 1 else np.argsort(to)
-        to, owner = to[by], owner[by]
-        symbol = last[at[by]]
+        by = np.argsort(to)
+        to, owner, symbol = to[by], owner[by], last[at[by]]
         new = np.ones(len(to), bool)
-        new[1:] = (owner[1:] != owner[:-1]) | (symbol[1:] != symbol[:-1])
+        new[1:] = (owner[1:] != owner[:-1]) | (symbol[1:] != symbol[:-1]) | (to[1:] != to[:-1] + 1)
         first = np.flatnonzero(new)
         low, high = to[first], to[np.append(first[1:], len(to)) - 1] + 1
         # a boundary is given its prefix length, step, by the first interval that ends there
         fresh = undone[high]
         low, high = low[fresh], high[fresh]
-        high, pick = np.unique(high, return_index=True)
-        low = low[pick]
         undone[high] = False
         step += 1
     return order, undone[:n]
@@ -140,12 +144,15 @@ def repeats(contents: list[bytes], place: np.ndarray, length: int = LENGTH) -> l
     each content's first byte in the corpus (contents may overlap in it)."""
     m = len(contents)
     sizes = np.array([len(c) for c in contents])
-    text = np.empty(sizes.sum() + m, np.int64)
+    text = np.ones(sizes.sum() + m, np.int64)
     ends = np.cumsum(sizes + 1) - 1
     inside = np.ones(len(text), bool)
     inside[ends] = False
-    text[inside] = np.frombuffer(b"".join(contents), np.uint8).astype(np.int64) + m
-    text[ends] = np.arange(m)[::-1]
+    raw = np.frombuffer(b"".join(contents), np.uint8)
+    used = np.zeros(256, np.int64)
+    used[raw] = 1
+    text[inside] = (np.cumsum(used) + 1)[raw]  # the bytes in use from 2 on; 1 parts contents and 0 ends the block
+    text[-1] = 0
     begin = ends - sizes
     owner = np.repeat(np.arange(m), sizes + 1)
     source = place[owner] + (np.arange(len(text)) - begin[owner]).astype(np.uint64)
@@ -155,6 +162,7 @@ def repeats(contents: list[bytes], place: np.ndarray, length: int = LENGTH) -> l
     at = source[order]
     several = np.minimum.reduceat(at, first) != np.maximum.reduceat(at, first)
     found = np.sort(order[several[group]])
+    found = found[found + length <= ends[owner[found]]]  # strings within one content
     cut = np.searchsorted(found, np.append(begin, len(text)))
     return [found[a:b] - begin[k] for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False))]
 
@@ -227,7 +235,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def marked_runs(docs: DataFrame) -> DataFrame:
-    """(uid, start, windows, content, places): runs with repeats; null ``places`` means all their windows."""
+    """(uid, marks): each text's runs with repeats (start, windows, places); null ``places`` means all their windows."""
     found = docs.mapInArrow(_runs, _RUNS)
     repeated = found.select("anchor", "twice").groupBy("anchor").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("n")).where("n > 1").select("anchor")
     shared = written(found.join(repeated, "anchor"), "runs")
@@ -240,15 +248,19 @@ def marked_runs(docs: DataFrame) -> DataFrame:
         keyed.groupBy("key").agg(F.count("*").alias("n"), F.max("single").alias("single"), F.max("twice").alias("twice"), F.sum("bytes").alias("bytes"))
         .where("single and (n > 1 or twice)").select("key", (F.col("bytes") > BUCKET).alias("large")), "buckets",
     )
-    wanted = keyed.join(buckets, "key").groupBy("anchor", "content").agg(F.collect_set("key").alias("open_keys"))
+    wanted = keyed.join(buckets, "key").groupBy("anchor", "content", "bytes").agg(F.collect_set("key").alias("open_keys"))
+    # an anchor whose contents fit one bucket is one: a content then isn't met under both of its sides
+    total = wanted.groupBy("anchor").agg(F.sum("bytes").alias("total"))
+    keys = F.when(F.col("total") <= BUCKET, F.array("anchor")).otherwise(F.col("open_keys"))
     by_text = (
-        grouped.join(wanted, ["anchor", "content"])
-        .groupBy("run.uid").agg(F.collect_list(F.struct("anchor", "content", "run.start", "run.windows", F.col("open_keys").alias("keys"))).alias("runs"))
+        grouped.join(wanted.join(total, "anchor").select("anchor", "content", keys.alias("deal")), ["anchor", "content"])
+        .groupBy("run.uid").agg(F.collect_list(F.struct("anchor", "content", "run.start", "run.windows", F.col("deal").alias("keys"))).alias("runs"))
     )
     cut = docs.join(by_text, "uid").select("uid", F.col("text").cast("binary").alias("text"), "runs").mapInArrow(
         _cut, "anchor long, content long, uid long, start int, keys array<long>, data binary"
     )
-    dealt = written(cut.withColumn("key", F.explode("keys")).drop("keys").join(buckets, "key"), "dealt")
+    dealt = cut.withColumn("key", F.explode("keys")).drop("keys").join(buckets, "key", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    dealt = written(dealt, "dealt")
     small = dealt.where("not large").repartition("key").sortWithinPartitions("key")
     settled = small.mapInArrow(_settle, "anchor long, content long, places array<int>")
     windows = dealt.where("large").mapInArrow(_windows, "key long, anchor long, content long, window long, source long, place int")
@@ -257,10 +269,11 @@ def marked_runs(docs: DataFrame) -> DataFrame:
     partly = settled.unionByName(counted).groupBy("anchor", "content").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
     judged = grouped.select("anchor", "content", "n").join(partly, ["anchor", "content"], "left").where("n > 1 or places is not null")
     met = shared.join(judged, ["anchor", "content"])
-    return met.select("uid", "start", "windows", "content", F.expr("if(n > 1, null, places)").alias("places"))
+    marks = met.select("uid", F.struct("start", "windows", F.expr("if(n > 1, null, places)").alias("places")).alias("mark"))
+    return written(marks.groupBy("uid").agg(F.collect_set("mark").alias("marks")), "marks")
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _kept(texts_too: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         marks = _column(batch, "marks")
         texts = _column(batch, "text")
@@ -275,21 +288,22 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 width = [np.array([m["windows"] - 1 + LENGTH for m in whole], np.int64)] + [np.full(len(m["places"]), LENGTH) for m in own if m["places"] is not None]
                 removed = covered(len(raw), np.concatenate(start), np.concatenate(width))
                 n = int((removed & ~np.concatenate([[False], removed[:-1]])).sum())
-            rest = np.frombuffer(raw, np.uint8)[~removed].tobytes()
-            sizes.append(len(raw)), gone.append(int(removed.sum())), spans.append(n), sha.append(hashlib.sha256(rest).hexdigest()), kept.append(rest)
-        yield pa.record_batch(
-            [_column(batch, "doc_id"), *(pa.array(x, pa.int64()) for x in (sizes, gone, spans)), pa.array(sha, pa.string()), pa.array(kept, pa.binary())],
-            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
-        )
+            rest = np.frombuffer(raw, np.uint8)[~removed].tobytes() if n else raw
+            sizes.append(len(raw)), gone.append(int(removed.sum()) if n else 0), spans.append(n), sha.append(hashlib.sha256(rest).hexdigest())
+            if texts_too:
+                kept.append(rest)
+        cols = [_column(batch, "doc_id"), *(pa.array(x, pa.int64()) for x in (sizes, gone, spans)), pa.array(sha, pa.string())]
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        yield pa.record_batch([*cols, *[pa.array(kept, pa.binary())] * texts_too], names + ["kept"] * texts_too)
 
 
-def suffix_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay) per row of ``docs``.
+def suffix_dedup(docs: DataFrame, texts: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``texts``, kept (the bytes that stay) per row of ``docs``.
 
     A byte goes if a 200-byte string over it also starts anywhere else. Null texts are empty; rows that
     repeat, id and all, are other places, so texts of 200 bytes in them go; null ids are documents as any.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("uid", F.xxhash64("doc_id", "text"))
-    marks = marked_runs(own.select("uid", "text")).groupBy("uid").agg(F.collect_set(F.struct("start", "windows", "content", "places")).alias("marks"))
-    joined = own.join(marks, "uid", "left").select("doc_id", F.col("text").cast("binary").alias("text"), "marks")
-    return joined.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    joined = own.join(marked_runs(own.select("uid", "text")), "uid", "left").select("doc_id", F.col("text").cast("binary").alias("text"), "marks")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
+    return joined.mapInArrow(partial(_kept, texts), schema)

@@ -68,6 +68,11 @@ class RangeHash:
         value = (self.prefix[end] - self.prefix[start]) * self.inverse[start]
         return mix(value ^ ((end - start).astype(np.uint64) << np.uint64(40)))
 
+    def grams(self, size: int) -> np.ndarray:
+        """``of`` for every range of ``size`` units."""
+        n = len(self.prefix) - size
+        return mix((self.prefix[size:] - self.prefix[:n]) * self.inverse[:n] ^ (np.uint64(size) << np.uint64(40)))
+
 
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int, bytes, np.ndarray]]:
     """(first row, end row, UTF-8 bytes, row boundaries in them) for slices of a batch; null is empty."""
