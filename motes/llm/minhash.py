@@ -1,0 +1,123 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles; minhash bands only propose the pairs.
+
+Texts with the same set of shingles are one node. A node is listed under ``BANDS`` cells, each named by
+``ROWS`` minima of its set under random orders. A pair of similarity s misses every cell with probability
+(1 - s^ROWS)^BANDS, below one in a million at 0.8, and every pair that is proposed is verified on the
+whole sets.
+
+A cell's members are first held against its smallest one, which joins a large group without its square of
+pairs. Then the members of a cell that are not yet in one class are held against each other, so no
+proposed pair is left out but those whose classes are joined already.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .components import components
+from .scratch import written
+from .textops import LOWER, SPACE, RangeHash, Words, mix, run_starts, slices
+
+SHINGLE, SIMILARITY = 5, 0.8
+BANDS, ROWS, SEED = 36, 5, 42
+_ORDERS = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(data: bytes, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct shingles of each row, and the rows' bounds in them (fewer words: one shingle; none: none)."""
+    words = Words(data.translate(LOWER), bounds, SPACE)
+    rows, first, spans = words.row_of(), words.first, RangeHash(words.hashes())
+    at = run_starts(rows, first, size)
+    short = np.flatnonzero((words.counts() > 0) & (words.counts() < size))
+    value = np.concatenate([spans.of(at, at + size), spans.of(first[short], first[short + 1])])
+    row = np.concatenate([rows[at], short])
+    order = np.lexsort((value, row))
+    value, row = value[order], row[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
+    return value[new], np.searchsorted(row[new], np.arange(len(bounds)))
+
+
+def _sketches(size: int):
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, end, data, bounds in slices(batch):
+                value, first = shingles(data, bounds, size)
+                n = np.diff(first)
+                full = np.flatnonzero(n)
+                node = np.zeros(end - at, np.uint64)
+                cells = np.zeros((len(full), BANDS), np.uint64)
+                if len(full):
+                    node[full] = mix(np.add.reduceat(mix(value), first[full]) ^ n[full].astype(np.uint64))
+                    for band in range(BANDS):
+                        key = np.full(len(full), band + 1, np.uint64)
+                        for order in _ORDERS[band]:
+                            key = mix(key * order + np.minimum.reduceat(value * order, first[full]))
+                        cells[:, band] = key
+                held = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
+                listed = pa.ListArray.from_arrays(held, pa.array(cells.ravel().view(np.int64)))
+                yield pa.record_batch(
+                    [*(batch.column(k).slice(at, end - at) for k in (0, 1)), pa.array(node.view(np.int64)), pa.array(n.astype(np.int32)), listed],
+                    ["own_uid", "id", "node", "n", "cells"],
+                )
+
+    return sketch
+
+
+def _sets(size: int):
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, end, data, bounds in slices(batch):
+                value, first = shingles(data, bounds, size)
+                held = pa.ListArray.from_arrays(first.astype(np.int32), pa.array(value.view(np.int64)))
+                yield pa.record_batch([batch.column(0).slice(at, end - at), held], ["node", "members"])
+
+    return sets
+
+
+def near_links(nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(u, v) between ``nodes`` (node, n, cells): enough links to connect all of at least ``similarity``.
+    ``texts`` (node, text) has the text of every node."""
+    share = round(1000 * similarity)
+    alike = lambda a, b: f"least({a}, {b}) * 1000L >= greatest({a}, {b}) * {share}L"
+    cells = nodes.where("n > 0").select("node", "n", F.explode("cells").alias("cell"))
+    groups = cells.groupBy("cell").agg(F.count("*").alias("held"), F.min(F.struct("node", "n")).alias("lead")).where("held > 1")
+    shared = written(cells.join(groups.select("cell", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")), "cell"), "cells")
+    wanted = texts.join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    members = written(wanted.select("node", "text").mapInArrow(_sets(size), "node long, members array<long>"), "members")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        a, b = (members.select(F.col("node").alias(x), F.col("members").alias(f"m{x}")) for x in "uv")
+        both = pairs.join(a, "u").join(b, "v").select("u", "v", F.expr("size(mu) + size(mv)").alias("total"), F.size(F.array_intersect("mu", "mv")).alias("same"))
+        return both.where(f"same * 1000L >= (total - same) * {share}L").select("u", "v")
+
+    led = shared.where("node <> lead").where(alike("n", "lead_n")).select(F.col("node").alias("u"), F.col("lead").alias("v")).distinct()
+    links = written(verified(led), "led")
+    roots = components(links).withColumnRenamed("node", "own")
+    rooted = written(shared.join(roots, F.col("node") == F.col("own"), "left").select("cell", "node", "n", "lead", F.coalesce("root", "node").alias("root")), "rooted")
+    parted = rooted.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell")
+    left = written(rooted.join(parted, "cell"), "parted")
+    a, b = (left.select("cell", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}"), F.col("lead").alias(f"l{x}")) for x in "uv")
+    rest = a.join(b, "cell").where("u > v and ru <> rv and v <> lv").where(alike("nu", "nv")).select("u", "v").distinct()
+    return links.unionByName(verified(rest))
+
+
+def near_duplicates_removed(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one document of each class that links of at least ``similarity`` of ``size``-word shingles
+    connect: the smallest doc_id, null last. Of rows equal in id and text one stays; texts without words are one class."""
+    uid = F.xxhash64(F.col("doc_id").cast("long"), "text")
+    own = docs.select(uid.alias("own_uid"), F.col("doc_id").cast("long").alias("id"), "text")
+    sketches = own.mapInArrow(_sketches(size), "own_uid long, id long, node long, n int, cells array<long>")
+    head = F.struct(F.col("id").isNull().alias("last"), "id", "own_uid")
+    nodes = written(sketches.groupBy("node").agg(F.min(head).alias("head"), F.first("n").alias("n"), F.first("cells").alias("cells")), "nodes")
+    texts = own.join(nodes.select("node", F.col("head.own_uid").alias("own_uid")), "own_uid").select("node", "text")
+    roots = components(near_links(nodes, texts, size, similarity)).withColumnRenamed("node", "own")
+    rooted = nodes.join(roots, F.col("node") == F.col("own"), "left").select("head", F.coalesce("root", "node").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("head").alias("head")).select(F.col("head.own_uid").alias("kept_uid"))
+    single = docs.withColumn("own_uid", uid).dropDuplicates(["own_uid"])
+    return single.join(kept, F.col("own_uid") == F.col("kept_uid"), "left_semi").select(docs.columns)

@@ -1,0 +1,55 @@
+from helpers import TEXTS, UPPER, WORDS, frame, real
+
+import corpus_pipeline as P
+from motes.llm.minhash import near_duplicates_removed
+
+
+def plain_set(text):
+    w = WORDS.findall((text or "").translate(UPPER))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+
+
+def plain_kept(rows):
+    """Ids left of each class linked by a Jaccard similarity of 0.8 or more, by all pairs."""
+    sets = [plain_set(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                parent[root(i)] = root(j)
+    heads = {}
+    for k, (d, _) in enumerate(rows):
+        heads[root(k)] = min(heads.get(root(k), (True, 0)), (d is None, d or 0))
+    return sorted((d for _, d in heads.values()))
+
+
+def test_stage_removes_all_of_similarity(spark):
+    docs = real(spark, "0.01")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    expected = plain_kept(rows)
+    assert sorted(r.doc_id for r in P.near_duplicate_stage(spark, docs, "").collect()) == expected
+
+
+def test_chains_and_edges_of_similarity(spark):
+    """A chain of copies whose ends differ is one class; a large group beside one of just too little likeness is two."""
+    base = [f"w{k}" for k in range(84)]
+    chain = [(k, " ".join([*base[2 * k :], *(f"x{j}" for j in range(2 * k))])) for k in range(10)]
+    many = [(100 + k, " ".join([f"v{j}" for j in range(100)] + [f"end{k}"])) for k in range(120)]
+    at = [(300, " ".join(f"a{j}" for j in range(14))), (301, " ".join(f"a{j}" for j in range(12))), (302, " ".join(f"a{j}" for j in range(2, 11)))]
+    rows = [*chain, *many, *at]
+    kept = near_duplicates_removed(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == plain_kept(rows) == [0, 100, 300, 302]
+
+
+def test_awkward_rows(spark):
+    kept = near_duplicates_removed(frame(spark))
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == plain_kept(TEXTS) == [0, 1, 2, 5, 7, 8, 10, 11]
+    assert kept.columns == frame(spark).columns
+    assert near_duplicates_removed(frame(spark).limit(0)).count() == 0
