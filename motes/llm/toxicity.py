@@ -31,7 +31,7 @@ COST_SIGN, COST_GAP, COST_REPEAT = 1.0, 0.3, 0.7
 #: Beginnings of words that count as features, in bytes; features kept at most; association
 #: (log-likelihood ratio) and log-odds they need.
 BEGINNINGS, MARKS, ASSOCIATION, ODDS = (4, 5, 6), 20_000, 20.0, 2.5
-#: Longest disguised span that is decoded as one lattice; a longer one is decoded in pieces of this size.
+#: Longest disguised span whose reading is remembered; a longer one is decoded each time, whole as well.
 SPAN = 40
 REMEMBER = 200_000
 _GAPS = " .-_*~,/\\'"
@@ -104,9 +104,10 @@ def lattice(span: bytes, gaps: bool = True) -> list[list[tuple[int, float]]]:
 
 def decode(span: bytes, model: Language, gaps: bool = True) -> bytes:
     """The likeliest reading of a disguised span: Viterbi over its lattice; states are the last two bytes read."""
-    best: dict[tuple[int, int], tuple[float, bytes]] = {(32, 32): (0.0, b"")}
+    # what is read is a chain (before, byte), so that a long span costs no copies
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(32, 32): (0.0, None)}
     for options in lattice(span, gaps):
-        after: dict[tuple[int, int], tuple[float, bytes]] = {}
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, read) in best.items():
             for c, cost in options:
                 if c < 0:
@@ -114,26 +115,36 @@ def decode(span: bytes, model: Language, gaps: bool = True) -> bytes:
                 elif c == 32 and b == 32:
                     state, value, text = (a, b), score - cost, read
                 else:
-                    state, value, text = (b, c), score - cost + model.log(a, b, c), read + bytes([c])
+                    state, value, text = (b, c), score - cost + model.log(a, b, c), (read, c)
                 old = after.get(state)
                 if old is None or value > old[0]:
                     after[state] = (value, text)
         best = after
-    ends = ((score + model.log(a, b, 32), read) for (a, b), (score, read) in best.items())
+    ends = ((score + model.log(a, b, 32), _bytes(read)) for (a, b), (score, read) in best.items())
     return max(ends)[1]
 
 
+def _bytes(read: tuple | None) -> bytes:
+    out = bytearray()
+    while read is not None:
+        read, c = read
+        out.append(c)
+    return bytes(out[::-1])
+
+
 def disguised(words: Words) -> list[tuple[int, int, int]]:
-    """(row, start, end) of byte spans that may hide words: signs between letters, letters written apart,
-    or a letter three times in a row."""
+    """(row, start, end) of byte spans that may hide words: signs beside a letter, letters written apart,
+    or a letter twice in a row."""
     b = words.bytes
     if not len(words):
         return []
     letter = _LETTER[b]
+    # both bytes of a pair are in one word; words of two rows may stand side by side
+    joined = words.inside[1:] & words.inside[:-1]
+    joined[words.start[words.start > 0] - 1] = False
     flag = np.zeros(len(b), bool)
-    flag[1:-1] = _SIGN[b[1:-1]] & (letter[:-2] & letter[2:])
-    flag[1:-1] |= letter[1:-1] & (b[:-2] == b[1:-1]) & (b[1:-1] == b[2:])
-    flag[2:-1] |= _SIGN[b[2:-1]] & _SIGN[b[1:-2]] & letter[:-3] & letter[3:] if len(b) > 3 else False
+    flag[1:] = joined & (_SIGN[b[1:]] & letter[:-1] | letter[1:] & (b[1:] == b[:-1]))
+    flag[:-1] |= joined & _SIGN[b[:-1]] & letter[1:]
     count = np.concatenate([[0], np.cumsum(flag)])
     hit = np.flatnonzero(count[words.end] > count[words.start])
     rows = words.row_of()
@@ -145,14 +156,11 @@ def disguised(words: Words) -> list[tuple[int, int, int]]:
     parted[1:-1] = letter[:-2] & letter[2:] & np.isin(b[1:-1], [ord(c) for c in _GAPS if c not in " ,'"])
     parts = np.concatenate([[0], np.cumsum(parted)])
     out += [(int(rows[k]), int(words.start[k]), int(words.end[k])) for k in np.flatnonzero(parts[words.end] - parts[words.start] >= 2)]
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], (single & (letter | _SIGN[b])[words.start]).astype(np.int8), [0]])))
-    for a, z in zip(edge[::2], edge[1::2], strict=True):
-        for row in {int(rows[a]), int(rows[z - 1])} if z - a >= 3 else ():
-            own = [k for k in range(a, z) if rows[k] == row]
-            for part in range(0, len(own), SPAN // 2):
-                piece = own[part : part + SPAN // 2]
-                if len(piece) >= 3:
-                    out.append((row, int(words.start[piece[0]]), int(words.end[piece[-1]])))
+    apart = np.where(single & (letter | _SIGN[b])[words.start], rows, -1)
+    edge = np.flatnonzero(np.diff(np.concatenate([[-1], apart, [-1]])))
+    for a, z in zip(edge[:-1], edge[1:], strict=True):
+        if apart[a] >= 0 and z - a >= 3:
+            out.append((int(apart[a]), int(words.start[a]), int(words.end[z - 1])))
     return sorted(set(out))
 
 
@@ -164,12 +172,14 @@ def restored(span: bytes, model: Language) -> bytes:
     known = _decoded.setdefault(id(model), {})
     if len(known) > REMEMBER:
         known.clear()
-    if span not in known:
-        pieces = [span[k : k + SPAN] for k in range(0, len(span), SPAN)]
-        known[span] = b"".join(decode(x, model) for x in pieces)
+    read = known.get(span)
+    if read is None:
+        read = decode(span, model)
         if any(chr(b) in _GAPS for b in span):
-            known[span] += b" " + b"".join(decode(x, model, False) for x in pieces)
-    return known[span]
+            read += b" " + decode(span, model, False)
+        if len(span) <= SPAN:
+            known[span] = read
+    return read
 
 
 def _keys(words: Words) -> tuple[np.ndarray, np.ndarray]:

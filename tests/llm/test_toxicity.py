@@ -1,6 +1,7 @@
 import itertools
 import zlib
 
+import numpy as np
 import pytest
 from helpers import TEXTS, frame, real
 
@@ -40,6 +41,22 @@ def test_disguises(language, span, meant):
     assert meant in T.restored(span, language).split()
 
 
+@pytest.mark.parametrize(
+    ("text", "meant"),
+    [("so $tupid", "stupid"), ("an 1diot", "idiot"), ("a stuupid", "stupid"), ("such a looser", "loser"), ("+rash", "trash"), ("lo$$", "los"), ("y o u a r e s u c h a s t u p i d i d i o t", "idiot")],
+)
+def test_the_gate_passes_disguises_whole(language, text, meant):
+    low = text.encode()
+    spans = T.disguised(T.Words(low, np.array([0, len(low)]), T.SPACE))
+    assert spans and any(meant.encode() in T.restored(low[a:b], language) for _, a, b in spans)
+
+
+def test_letters_apart_stay_in_their_row():
+    texts = [b"x y a b c d", b"e f g", b"h i", b"j sa", b"$b"]
+    spans = T.disguised(T.Words(b"".join(texts), np.cumsum([0, *map(len, texts)]), T.SPACE))
+    assert spans == [(0, 0, 11), (1, 11, 16), (4, 23, 25)]
+
+
 def test_disguised_texts_score_as_plain_ones(spark):
     docs = real(spark, "0.1")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
