@@ -496,6 +496,37 @@ def ewald_self(spark, sf):
     return rounded(coulomb.self_energy(s.df, _ewald(s)), "energy")
 
 
+def _whole(s):
+    """The splitting of ``ewald_total``: the wave vectors grow with the box."""
+    return coulomb.EwaldParameters.of(s.domain, CUTOFF, 1e-4)
+
+
+@query()
+def ewald_structure_factor_whole(spark, sf):
+    """Rows only, as the next three: too many wave vectors for SQL over whole tables; tests hold them against brute force."""
+    s = particles(spark, sf)
+    n = {f"n{a}": F.round(F.col(f"k{a}") * s.domain.extent[0] / (2 * math.pi)).cast("long") for a in AXES}
+    return coulomb.structure_factor(s.df, _whole(s)).select(*[v.alias(k) for k, v in n.items()], r6("re").alias("re"), r6("im").alias("im"))
+
+
+@query()
+def ewald_recip_energy_whole(spark, sf):
+    s = particles(spark, sf)
+    return rounded(coulomb.reciprocal_energy(s.df, _whole(s)), "energy")
+
+
+@query()
+def ewald_half_energy_whole(spark, sf):
+    s = particles(spark, sf)
+    return rounded(coulomb.reciprocal_energy(s.df, _whole(s), half=True), "energy")
+
+
+@query()
+def ewald_recip_rows_whole(spark, sf):
+    s = particles(spark, sf)
+    return rounded(coulomb.reciprocal_rows(s.df, _whole(s)), "u", "potential", "fx", "fy", "fz")
+
+
 @query()
 def ewald_total(spark, sf):
     """Rows only: the complementary error function is in neither SQL; tests hold it against direct sums."""
