@@ -461,6 +461,12 @@ def coulomb_nearest_direct(spark, sf):
 _found["coulomb_nearest_direct"] = (coulomb_nearest_direct, SQL + ", t as (select unnest([-1, 0, 1]) as v) " + _found["coulomb_nearest_direct"][1].removeprefix(SQL))
 
 
+@query()
+def coulomb_images_direct(spark, sf):
+    """Rows only: all 26 nearest images; tests hold it against brute force."""
+    return rounded(coulomb.nearest_images(particles(spark, sf)), "energy")
+
+
 @query(_K + "select nx, ny, nz, round(re, 6) + 0e0 as re, round(im, 6) + 0e0 as im from sk")
 def ewald_structure_factor(spark, sf):
     s = particles(spark, sf)
@@ -536,9 +542,9 @@ def ewald_total(spark, sf):
 
 @query()
 def potential_field_probe(spark, sf):
-    """Rows only, for the same reason: the potential at every eighth particle's place moved by half a cell."""
+    """Rows only, for the same reason: the potential at every particle's place moved by half a cell."""
     s = particles(spark, sf)
-    probes = s.wrapped().df.where("gid % 8 = 0").select("gid", *[s.domain.wrap(a, F.col(a) + 0.5).alias(a) for a in AXES])
+    probes = s.wrapped().df.select("gid", *[s.domain.wrap(a, F.col(a) + 0.5).alias(a) for a in AXES])
     return coulomb.potential_field(s, probes, coulomb.EwaldParameters.of(s.domain, CUTOFF, 1e-4))
 
 
