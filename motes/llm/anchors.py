@@ -3,7 +3,7 @@
 The anchor of a window of ``length`` units is the least hash of its grams of ``gram`` units. Equal windows
 have equal anchors wherever they stand, so grouping by anchor loses no pair of equal windows; and since
 neighbouring windows mostly share their anchor, a run of them makes one row: some 2 / (length - gram + 2)
-rows a unit. Runs equal as a whole are told by the hash of their content.
+rows a unit. Two grams under one hash only make a group larger.
 """
 
 from __future__ import annotations
@@ -12,8 +12,6 @@ from typing import NamedTuple
 
 import numpy as np
 
-from .textops import RangeHash
-
 
 class Runs(NamedTuple):
     row: np.ndarray
@@ -21,7 +19,6 @@ class Runs(NamedTuple):
     start: np.ndarray
     windows: np.ndarray
     anchor: np.ndarray
-    content: np.ndarray
     #: First and last place of the anchor's gram in the run, in the slice.
     low: np.ndarray
     high: np.ndarray
@@ -35,17 +32,15 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
-def runs(spans: RangeHash, n: int, first: np.ndarray, gram: int, length: int, places: bool = False) -> Runs:
-    """The runs of a slice of ``n`` units whose rows ``first`` bounds. ``places``: also find the anchors."""
+def runs(grams: np.ndarray, first: np.ndarray, gram: int, length: int, places: bool = False) -> Runs:
+    """The runs of a slice whose rows ``first`` bounds; ``grams`` has the hash of the gram at each place. ``places``: also find the anchors."""
     none = np.zeros(0, np.int64)
-    if n < length:
-        return Runs(none, none, none, none.view(np.uint64), none.view(np.uint64), none, none)
-    grams = spans.grams(gram)
     width = length - gram + 1
+    if len(grams) < width:
+        return Runs(none, none, none, none.view(np.uint64), none, none)
     least = sliding_min(grams, width)
-    start = np.arange(len(least))
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))[: len(least)]
-    valid = start + length <= first[1:][row]
+    valid = np.arange(length, len(least) + length) <= first[1:][row]
     begins = valid.copy()
     begins[1:] &= ~valid[:-1] | (least[1:] != least[:-1])
     ends = valid.copy()
@@ -55,9 +50,9 @@ def runs(spans: RangeHash, n: int, first: np.ndarray, gram: int, length: int, pl
     if places:
         low, high = np.empty(len(a), np.int64), np.empty(len(a), np.int64)
         step = np.arange(width)
-        for part in range(0, len(a), 4096):
-            own = slice(part, part + 4096)
+        for part in range(0, len(a), 512):
+            own = slice(part, part + 512)
             value = least[a[own]][:, None]
             low[own] = a[own] + np.argmax(grams[a[own][:, None] + step] == value, axis=1)
             high[own] = z[own] + width - 1 - np.argmax(grams[z[own][:, None] + step[::-1]] == value, axis=1)
-    return Runs(row[a], a - first[row[a]], z - a + 1, least[a], spans.of(a, z + length), low, high)
+    return Runs(row[a], a - first[row[a]], z - a + 1, least[a], low, high)

@@ -2,20 +2,18 @@
 
 A text is split into matches of the vocabulary's pattern; each distinct match becomes token-position
 rows, one a byte. A recursive query joins neighbouring rows with the merge table and contracts, in every
-step and word, the leftmost pair of least rank, until no pair is left. Decoding joins token positions
-with the vocabulary and concatenates by an ordered aggregation.
+step and word, the leftmost pair of least rank, until no pair is left. Decoding joins the token positions of
+whole texts with the vocabulary and concatenates by an ordered aggregation.
 
-Distinct pieces are encoded once a worker and remembered in a bounded table, so the recursion sees the
-vocabulary of a partition rather than its running text. The merge table follows from the rank file.
+A worker remembers the ids of the words it met lately, so the recursion sees the new words of a partition
+rather than its running text. The merge table follows from the rank file.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
-from itertools import islice
 
 import duckdb
 import numpy as np
@@ -24,21 +22,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import textops
-from .textops import RangeHash
-
-#: White space as the pattern's \s has it, as text of a character class.
-WHITE = r"\t-\r \x85\xa0  -     　"
-#: Splits a text at places where every match of the pattern ends: a run of other characters with the
-#: space before it, or a run of white space. Matches lie within one such chunk.
-CHUNK = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-#: Chunks, their words and token groups that a worker remembers, each, and how many of the first met, mostly the
-#: commonest, outlast a full table or a partition; rows that one recursion may produce.
-REMEMBER, OUTLAST, STEP_ROWS = 400_000, 80_000, 1_500_000
+#: Words of each of two generations that a worker remembers; rows that one recursion may produce; characters
+#: of texts coded at once (a longer text makes a slice of its own); DuckDB's memory in a worker.
+REMEMBER, STEP_ROWS, SLICE_CHARS, MEMORY = 200_000, 600_000, 1 << 20, "96MB"
 #: Words of up to so many bytes contract one pair a step; in longer ones a step contracts every
 #: occurrence of the least pair where that provably comes to the same.
 SHORT = 32
-SLICE_BYTES = 1 << 21
 
 #: A row's place g is 64 * word + position in the word.
 _STEP = """
@@ -94,17 +83,12 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines()) if token}
 
 
-def first_of(table: dict) -> dict:
-    return dict(islice(table.items(), OUTLAST))
-
-
 class Codec:
     """Encoder and decoder of one vocabulary, with a DuckDB database of its own in memory."""
 
     def __init__(self, raw: bytes, pattern: str):
         self.ranks = read_ranks(raw)
         self.pattern = regex.compile(pattern)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         left, right, merged = [], [], []
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
@@ -112,22 +96,30 @@ class Codec:
                 if a is not None and b is not None:
                     left.append(a), right.append(b), merged.append(rank)
         merges = {"l": np.array(left), "r": np.array(right), "rank": np.array(merged)}
-        least = np.full(max(self.ranks.values(), default=0) + 1, np.iinfo(np.int64).max)
+        size = max(self.ranks.values(), default=0) + 1
+        least = np.full(size, np.iinfo(np.int64).max)
         for side in ("l", "r"):
             np.minimum.at(least, merges[side], merges["rank"])
         # safe: no pair with the merged token ranks below the merge that made it
         merges["safe"] = least[merges["rank"]] > merges["rank"]
-        self._table("merges", pa.table(merges))
-        self._table("vocabulary", pa.table({"tok": list(self.ranks.values()), "hex": [t.hex() for t in self.ranks]}))
+        self.merges = pa.table(merges)
+        self.vocabulary = pa.table({"tok": list(self.ranks.values()), "hex": [t.hex() for t in self.ranks]})
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)])
-        size = max(self.ranks.values()) + 1
-        self.opens = np.zeros(size, bool)
-        for token, rank in self.ranks.items():
-            self.opens[rank] = token[:1] in (b" ", b"\n")
         self.decimal = np.array([str(k) for k in range(size)], object)
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
-        self.groups: dict[int, bytes] = {}
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.open()
+
+    def open(self) -> None:
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY})
+        self._table("merges", self.merges)
+        self._table("vocabulary", self.vocabulary)
+
+    def rest(self) -> None:
+        """Lets go of what the database gathered, at a partition's end: other work follows in this worker."""
+        self.db.close()
+        self.open()
+        pa.default_memory_pool().release_unused()
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.db.register("incoming", rows)
@@ -164,70 +156,49 @@ class Codec:
             at = end
         return out
 
-    def learn(self, chunks: set[str]) -> None:
-        """Adds chunks to the table of known ones."""
-        split = {c: [m.encode() for m in self.pattern.findall(c)] for c in chunks}
-        words = {w for ws in split.values() for w in ws}
-        ids = {w: self.ranks[w].to_bytes(4, "little") for w in words if w in self.ranks}
-        rest = sorted(words - ids.keys() - self.words.keys())
-        if len(self.words) + len(rest) > REMEMBER:
-            self.words = first_of(self.words)
-            rest = sorted(words - ids.keys() - self.words.keys())
-        self.words.update(zip(rest, self._contract(rest), strict=True))
-        ids |= {w: self.words[w] for w in words if w not in ids}
-        self.chunks.update((c, ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])) for c, ws in split.items())
+    def _turn(self) -> None:
+        if len(self.recent) > REMEMBER:
+            self.older, self.recent = self.recent, {}
+
+    def learn(self, words: set[str]) -> None:
+        """Sees to it that all of ``words`` are in the table of recent ones."""
+        new = words - self.recent.keys()
+        known = new & self.older.keys()
+        self.recent.update([(w, self.older[w]) for w in known])
+        names = list(new - known)
+        raws = [w.encode() for w in names]
+        rest = [k for k, raw in enumerate(raws) if raw not in self.ranks]
+        self.recent.update((names[k], self.ranks[raw].to_bytes(4, "little")) for k, raw in enumerate(raws) if raw in self.ranks)
+        self.recent.update(zip([names[k] for k in rest], self._contract([raws[k] for k in rest]), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        split = [CHUNK.findall(t) for t in texts]
-        wanted = set().union(*split) if split else set()
-        new = wanted - self.chunks.keys()
-        if len(self.chunks) + len(new) > REMEMBER:
-            self.chunks = first_of(self.chunks)
-            new = wanted - self.chunks.keys()
-        if new:
-            self.learn(new)
-        return [np.frombuffer(b"".join([self.chunks[c] for c in chunks]), np.uint32) for chunks in split]
-
-    def rest(self) -> None:
-        """Lets go of most of what is remembered, at the end of a partition: other work follows in this worker."""
-        self.chunks, self.words, self.groups = first_of(self.chunks), first_of(self.words), first_of(self.groups)
-        for name in ("base", "coded"):
-            self.db.execute(f"DROP TABLE IF EXISTS {name}")
+        split = [self.pattern.findall(t) for t in texts]
+        self._turn()
+        self.learn(set().union(*split) if split else set())
+        get = self.recent.__getitem__
+        return [np.frombuffer(b"".join(map(get, words)), np.uint32) for words in split]
 
     def decimals(self, ids: np.ndarray) -> str:
         """The decimal ids joined by one space."""
         return " ".join(self.decimal[ids])
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
-        """The bytes of each sequence of ids: equal groups of tokens, cut before each that opens with a
-        space or a line end, are aggregated once."""
-        flat = np.concatenate(ids).astype(np.int64) if ids else np.zeros(0, np.int64)
+        """The bytes of each sequence of ids; an id that the vocabulary lacks raises ValueError."""
         sizes = np.array([len(x) for x in ids], np.int64)
-        edges = np.concatenate([[0], np.cumsum(sizes)])
-        cut = self.opens[flat] if len(flat) else np.zeros(0, bool)
-        cut[edges[:-1][sizes > 0]] = True
-        start = np.flatnonzero(cut)
-        end = np.append(start[1:], len(flat))[: len(start)]
-        keys = RangeHash(flat.astype(np.uint64) + np.uint64(1)).of(start, end)
-        distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.groups) + len(distinct) > REMEMBER:
-            self.groups = first_of(self.groups)
-        new = np.array([k for k, key in enumerate(distinct.tolist()) if key not in self.groups], np.int64)
-        if len(new):
-            a, b = start[first[new]], end[first[new]]
-            group = np.repeat(np.arange(len(new)), b - a)
-            pos = np.arange(len(group)) - np.repeat(np.cumsum(b - a) - (b - a), b - a)
-            self._table("coded", pa.table({"word": group, "pos": pos, "tok": flat[np.repeat(a, b - a) + pos]}))
+        out = [b""] * len(ids)
+        if sizes.sum():
+            rows = {"text": np.repeat(np.arange(len(ids)), sizes), "pos": np.arange(sizes.sum()), "tok": np.concatenate(ids).astype(np.int64)}
+            self._table("coded", pa.table(rows))
             found = self.db.execute(
-                "SELECT word, unhex(string_agg(hex, '' ORDER BY pos)) FROM coded JOIN vocabulary USING (tok) GROUP BY word"
+                "SELECT text, unhex(string_agg(hex, '' ORDER BY pos)) AS raw, count(*) AS n FROM coded JOIN vocabulary USING (tok) GROUP BY text"
             ).fetchall()
-            names = distinct[new].tolist()
-            self.groups.update((names[word], raw) for word, raw in found)
-        table = [self.groups[k] for k in distinct.tolist()]
-        pieces = [table[k] for k in inverse.tolist()]
-        at = np.searchsorted(start, edges).tolist()
-        return [b"".join(pieces[a:b]) for a, b in zip(at, at[1:], strict=False)]
+            self.db.execute("DROP TABLE coded")
+            if sum(n for _, _, n in found) < sizes.sum():
+                raise ValueError("ids that are not in the vocabulary")
+            for text, raw, _ in found:
+                out[text] = raw
+        return out
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -248,7 +219,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
         value = text.as_py() or ""
         rows.append(value)
         size += len(value)
-        if size >= SLICE_BYTES:
+        if size >= SLICE_CHARS:
             yield at, rows
             at, size, rows = k + 1, 0, []
     yield at, rows
@@ -257,8 +228,9 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
 def encoded(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = True) -> DataFrame:
     """Per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if wanted, the ids.
 
-    A null text counts as empty: no tokens. Repeated rows are encoded each; nothing is shuffled. The
-    rank file is read by the driver and broadcast: a vocabulary has a fixed size.
+    A null text counts as empty: no tokens; a null id is kept. Repeated rows are encoded each; an empty table gives an
+    empty table; other columns are ignored. Nothing is shuffled. The rank file is read by the driver and broadcast: a
+    vocabulary has a fixed size. A text is coded whole, so the longest one bounds a worker's memory.
     """
     with open(rank_file, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())

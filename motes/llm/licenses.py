@@ -3,8 +3,8 @@ matching by the ``regex`` library.
 
 A notice that occurs with at most k edits, cut into k + 1 pieces, holds at least one piece unchanged. So
 exact finds of the pieces in the normalised text (A-Z lower-cased, each run of other characters one
-space) meet every candidate, and only their surroundings go to the fuzzy pattern, which reports the
-edits and the span.
+space) meet every candidate, and only the whole words that a match around them may reach go to the fuzzy
+pattern, which reports the edits and the span. An edit is of a character, of up to four bytes.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import LOWER, NOT_ALNUM, RangeHash, Words, slices
+from .textops import LOWER, NOT_ALNUM, Words, byte_hash, slices
 
 #: Fixed values of the base labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -56,7 +56,9 @@ def pieces(notice: Notice) -> list[tuple[int, bytes]]:
     return [(a, raw[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-_PATTERNS = {n: regex.compile(rf"(?<![^ ])(?:{regex.escape(n.text)}){{e<={n.edits}}}(?![^ ])", regex.BESTMATCH) for n in NOTICES}
+_PATTERNS = {n: regex.compile(rf"(?<![^ ])(?:{regex.escape(n.text)}){{e<={n.edits}}}(?![^ ])", regex.ENHANCEMATCH) for n in NOTICES}
+#: Bytes that a character of the normalised text has at most: what an edit may add to a match.
+WIDEST = 4
 
 
 def _finds(text: bytes, piece: bytes) -> Iterator[int]:
@@ -66,24 +68,33 @@ def _finds(text: bytes, piece: bytes) -> Iterator[int]:
         at = text.find(piece, at + 1)
 
 
-def fuzzy(text: bytes, windows: dict[Notice, list[tuple[int, int]]]) -> list[tuple[str, int, int, int, float]]:
+def window(text: bytes, at: int, notice: Notice, place: int) -> tuple[int, int]:
+    """The whole words of a normalised text that a match of a notice may reach whose piece from ``place`` stands at ``at``."""
+    slack = WIDEST * notice.edits
+    a, b = max(0, at - place - slack), min(len(text), at + len(notice.text) - place + slack)
+    b = text.find(b" ", b)
+    return text.rfind(b" ", 0, a) + 1, len(text) if b < 0 else b
+
+
+def matches(text: bytes, windows: dict[Notice, list[tuple[int, int]]]) -> list[tuple[str, int, int, int, float]]:
     """(label, first word, last word, edits, similarity) of each notice within its windows of a normalised text."""
     found = []
     for notice, spans in windows.items():
-        for a, b in _merged(spans, len(text)):
-            part = text[a:b].decode(errors="replace")
+        for a, b in _merged(spans):
+            part = text[a:b].decode()
+            before = text.count(b" ", 0, a)
             for m in _PATTERNS[notice].finditer(part):
-                start = text.count(b" ", 0, a) + part.count(" ", 0, m.start())
+                start = before + part.count(" ", 0, m.start())
                 errors = sum(m.fuzzy_counts)
                 found.append((notice.label, start, start + m.group().count(" "), errors, 1 - errors / len(notice.text)))
     return sorted(set(found))
 
 
-def _merged(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans as few as can be; those that only a space parts are one."""
     out: list[list[int]] = []
-    for a, b in sorted(spans):
-        a, b = max(0, a), min(n, b)
-        if out and a <= out[-1][1]:
+    for a, b in sorted(set(spans)):
+        if out and a <= out[-1][1] + 1:
             out[-1][1] = max(b, out[-1][1])
         else:
             out.append([a, b])
@@ -116,24 +127,26 @@ class _Slice:
         keep[1:] |= words.inside[:-1]
         flat = np.where(words.inside, words.bytes, 32).astype(np.uint8)[keep].tobytes()
         edges = np.concatenate([[0], np.cumsum(keep)])[bounds]
-        windows: dict[int, dict[Notice, list[tuple[int, int]]]] = {}
+        found: dict[int, list[tuple[Notice, int, int]]] = {}
         for notice, place, piece in _SEEDS:
-            reach = len(notice.text) + 2 * notice.edits
             for at in _finds(flat, piece):
                 row = int(np.searchsorted(edges, at, side="right")) - 1
-                a = at - place - notice.edits - 1 - int(edges[row])
-                windows.setdefault(row, {}).setdefault(notice, []).append((a, a + reach + 2))
+                if at + len(piece) <= edges[row + 1]:
+                    found.setdefault(row, []).append((notice, at - int(edges[row]), place))
         self.fuzzy: dict[int, list] = {}
-        for row, at in windows.items():
-            text = flat[edges[row] : edges[row + 1]]
-            text, cut = (text[1:], 1) if text[:1] == b" " else (text, 0)
-            if got := fuzzy(text, {n: [(a - cut, b - cut) for a, b in spans] for n, spans in at.items()}):
+        for row, seeds in found.items():
+            text = flat[edges[row] : edges[row + 1]].rstrip(b" ")
+            cut = text[:1] == b" "
+            text = text[cut:]
+            windows: dict[Notice, list[tuple[int, int]]] = {}
+            for notice, at, place in seeds:
+                windows.setdefault(notice, []).append(window(text, at - cut, notice, place))
+            if got := matches(text, windows):
                 self.fuzzy[row] = got
 
 
 def _word_hash(token: bytes) -> np.uint64:
-    units = np.frombuffer(token, np.uint8).astype(np.uint64) + np.uint64(1)
-    return RangeHash(units).of(np.array([0]), np.array([len(token)]))[0]
+    return byte_hash(np.frombuffer(token, np.uint8)).of(np.array([0]), np.array([len(token)]))[0]
 
 
 SCHEMA = (
@@ -175,6 +188,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def license_scan(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: base places, labels, score and every fuzzy match with its span and edits.
 
-    Null and empty texts have no words and no labels; a repeated row is scanned as a row; a null doc_id is kept.
+    Null and empty texts have no words and no labels; a repeated row is scanned as a row; a null doc_id is kept; an
+    empty table gives an empty table; other columns are ignored.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, SCHEMA)

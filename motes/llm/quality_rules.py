@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import written
-from .textops import SPACE, RangeHash, Words, byte_table, covered, mix, row_sums, run_starts, slices
+from .textops import SPACE, Words, byte_table, covered, interned, paired, row_sums, run_starts, slices
 
 SYMBOLS = byte_table("#*$%&|<>")
 COUNTS = (
@@ -30,8 +30,8 @@ _LETTER = np.array([bool(_UPPER[b] or 97 <= b <= 122 or b >= 0xC0) for b in rang
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: The posterior at which a document stays.
 KEEP_AT = 0.5
-#: Few rounds on purpose: run to the end, correlated rules pull the classes apart by what they share.
-ROUNDS, SMOOTH, START = 60, 1.0, 0.9
+#: The estimation stops once no pattern's posterior moves by more than ``SETTLED``, or after so many rounds.
+ROUNDS, SETTLED, SMOOTH, START = 60, 1e-6, 1.0, 0.9
 
 
 def _vote(bad: str, good: str) -> Column:
@@ -52,19 +52,26 @@ def votes() -> dict[str, Column]:
     }
 
 
-def _repeat_words(hashes: np.ndarray, words: Words, rows: np.ndarray) -> np.ndarray:
-    """Which words lie in a 3-word window that the same row holds twice or more."""
+def _repeat_words(names: np.ndarray, words: Words, rows: np.ndarray) -> np.ndarray:
+    """Which words lie in a 3-word window that the same row holds twice or more; ``names`` tells words apart."""
     at = run_starts(rows, words.first, 3)
     if not len(at):
         return np.zeros(len(rows), bool)
-    grams = mix(RangeHash(hashes).of(at, at + 3) ^ mix(rows[at] + 1))
-    _, inverse, n = np.unique(grams, return_inverse=True, return_counts=True)
-    return covered(len(rows), at[n[inverse] > 1], 3)
+    grams = paired(paired(paired(names[at], names[at + 1]), names[at + 2]), rows[at])
+    return covered(len(rows), at[np.bincount(grams)[grams] > 1], 3)
+
+
+def _first_of(keys: np.ndarray) -> np.ndarray:
+    """Which places hold a number for the first time."""
+    first = np.zeros(len(keys), bool)
+    first[np.unique(keys, return_index=True)[1]] = True
+    return first
 
 
 def _counts(data: bytes, bounds: np.ndarray) -> list[np.ndarray]:
     words = Words(data, bounds, SPACE)
-    raw, hashes, rows = words.bytes, words.hashes(), words.row_of()
+    raw, rows = words.bytes, words.row_of()
+    names = interned(raw, words.start, words.end, words.hashes())
     n = words.counts()
     whole = (raw & 0xC0) != 0x80
     starts = np.union1d(bounds[:-1], np.flatnonzero(raw == 10) + 1)
@@ -74,20 +81,18 @@ def _counts(data: bytes, bounds: np.ndarray) -> list[np.ndarray]:
     ends = ends - ((ends > starts) & (raw[np.maximum(ends - 1, 0)] == 10) if len(raw) else 0)
     inside = np.concatenate([[0], np.cumsum(words.inside)])
     full = inside[ends] > inside[starts]
-    lines = mix(words.ranges.of(starts, ends) ^ mix(line_row + 1))[full]
-    again = np.ones(len(lines), bool)
-    again[np.unique(lines, return_index=True)[1]] = False
-    per_line = np.searchsorted(line_row[full], np.arange(len(bounds)))
+    starts, ends, line_row = starts[full], ends[full], line_row[full]
+    again = ~_first_of(paired(interned(raw, starts, ends, words.ranges.of(starts, ends)), line_row))
+    per_line = np.searchsorted(line_row, np.arange(len(bounds)))
     upper = _UPPER[raw]
     latin = np.zeros_like(upper)
     latin[1:] = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E)
-    distinct = np.zeros(len(hashes), bool)
-    distinct[np.unique(mix(hashes ^ mix(rows + 1)), return_index=True)[1]] = True
+    distinct = _first_of(paired(names, rows))
     letters = np.concatenate([[0], np.cumsum(_LETTER[raw])])
     lettered = 2 * (letters[words.end] - letters[words.start]) >= words.end - words.start
     return [
         n, row_sums(whole & words.inside, bounds), row_sums(SYMBOLS[raw], bounds), row_sums(again, per_line),
-        row_sums(_repeat_words(hashes, words, rows), words.first), row_sums(np.ones(len(lines), bool), per_line),
+        row_sums(_repeat_words(names, words, rows), words.first), row_sums(np.ones(len(again), bool), per_line),
         row_sums(_LETTER[raw], bounds), row_sums(upper | latin, bounds), row_sums(distinct, words.first),
         row_sums(lettered, words.first),
     ]
@@ -130,7 +135,9 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = R
             }
             weights.append(w)
         log_odds = prior + sum(np.select([votes_at[:, j] == v for v in (-1, 0, 1)], [weights[j][v] for v in (-1, 0, 1)]) for j in range(rules))
-        good = 1 / (1 + np.exp(-np.clip(log_odds, -50, 50)))
+        before, good = good, 1 / (1 + np.exp(-np.clip(log_odds, -50, 50)))
+        if np.abs(good - before).max() < SETTLED:
+            break
     return prior, weights
 
 

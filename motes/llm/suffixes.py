@@ -1,82 +1,120 @@
 """Exact removal of repeated 200-byte strings by interval expansion on Burrows-Wheeler transforms.
 
-Windows of 200 bytes are met as runs with one anchor (``anchors``). A run whose whole content occurs
-twice is repeated throughout. What is left, the places where a repeat begins or ends, is settled in
-buckets: a window around an anchor reaches at least 84 bytes to its left or to its right, so two contents
+Windows of 200 bytes are met as runs with one anchor (``anchors``). Runs with the same content, told by a
+128-bit digest of their bytes, are repeated throughout. What is left, the places where a repeat begins or ends, is
+settled in buckets: a window around an anchor reaches at least 84 bytes to its left or to its right, so two contents
 that share a window share the anchor with its left or its right neighbourhood, and are dealt by either.
 
 A task packs buckets into blocks of bounded size. Of a block's suffix order it derives the common prefixes
 by a breadth-first search over the transform: intervals of suffixes that start with the same string are extended
 backward by one byte at a time, so the boundary between two neighbours gets its common prefix length the
 first time an interval ends there, in increasing order. The search stops at the minimum length: boundaries
-still open by then lie between suffixes that share it. Those suffixes are repeats if they come from different places.
+still open by then lie between suffixes that share it, and such suffixes are repeats.
 
-A bucket beyond the block size (a template that very many texts share) is settled by counting
-the hashes of its windows in a shuffle instead.
+A bucket beyond the block size (a template that very many texts share) is dealt again by longer neighbourhoods,
+which part its contents or, at 200 bytes, are the repeated string itself.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import runs
+from .rows import row_key
 from .scratch import written
-from .textops import RangeHash, covered, mix, slices
+from .textops import covered, mix, slices
 
 LENGTH, GRAM = 200, 32
-SIDE = (LENGTH - GRAM) // 2
-#: Bytes of a block, and of contents in a bucket at most that go to one.
-BLOCK, BUCKET = 1 << 17, 1 << 18
-_RUNS = "anchor long, content long, uid long, start int, windows int, twice boolean, keys array<long>"
-
-
-def _side_keys(spans: RangeHash, anchor: np.ndarray, place: np.ndarray, a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the anchor with what is left and right of it; 0 where the run does not reach that far."""
-    left, right = np.zeros(len(place), np.uint64), np.zeros(len(place), np.uint64)
-    own = place - SIDE >= a
-    left[own] = mix(anchor[own] ^ mix(spans.of(place[own] - SIDE, place[own]) ^ np.uint64(1))) | np.uint64(1)
-    own = place + GRAM + SIDE <= z
-    right[own] = mix(anchor[own] ^ mix(spans.of(place[own] + GRAM, place[own] + GRAM + SIDE) ^ np.uint64(2))) | np.uint64(1)
-    return left, right
+#: Bytes beside an anchor of which either its left or its right side has to hold half.
+SPARE = LENGTH - GRAM
+#: Bytes of a block, and of contents in a bucket at most that go to one; parts that a larger bucket's spare bytes are cut into.
+BLOCK, BUCKET, PARTS = 1 << 17, 1 << 18, 4
+#: Bytes of contents for each task that settles buckets.
+TASK_BYTES = 1 << 21
+_MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+_RUNS = "anchor long, content binary, uid binary, start int, windows int, twice boolean, keys array<long>"
+
+
+def gram_hashes(raw: np.ndarray) -> np.ndarray:
+    """The hash of the ``GRAM`` = 32 bytes from each place, as four words of eight bytes."""
+    n = len(raw) - 7
+    if n < GRAM - 7:
+        return np.zeros(0, np.uint64)
+    words = np.empty(n, np.uint64)
+    for k in range(min(8, n)):
+        size = (len(raw) - k) // 8
+        words[k::8] = raw[k : k + 8 * size].view("<u8")[: len(words[k::8])]
+    m = len(raw) - GRAM + 1
+    total = words[:m] * _MULTIPLIERS[0]
+    for k in (1, 2, 3):
+        total += words[8 * k : 8 * k + m] * _MULTIPLIERS[k]
+    return mix(total)
+
+
+def context_key(data: bytes, place: int, left: int, right: int) -> int:
+    """A hash of an anchor's gram with ``left`` and ``right`` bytes beside it; even for more left than right."""
+    h = xxhash.xxh3_64_intdigest(data[place - left : place + GRAM + right], seed=left << 8 | right)
+    return (h >> 1 << 1 | (left < right)) - (1 << 63)
+
+
+def contexts(left: int, right: int, parts: int) -> list[tuple[int, int]]:
+    """Longer neighbourhoods of which every window has one that has (``left``, ``right``)."""
+    spare = SPARE - left - right
+    cuts = [spare * k // parts for k in range(parts + 1)]
+    return sorted({(left + a, right + spare - b) for a, b in zip(cuts, cuts[1:], strict=False)})
+
+
+def _keys_at(data: bytes, places: list[int], a: int, z: int, sides: list[tuple[int, int]]) -> dict[tuple[int, int, int], list[int]]:
+    """(key, left, right) -> window starts before the contexts of the anchors at ``places`` that lie within [a, z)."""
+    found: dict[tuple[int, int, int], list[int]] = {}
+    for p in places:
+        for left, right in sides:
+            if p - left >= a and p + GRAM + right <= z:
+                found.setdefault((context_key(data, p, left, right), left, right), []).append(p - left)
+    return found
+
+
+def _anchor_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often the anchors of runs stand in a slice: twice and more counts as two."""
+    for batch in batches:
+        for _, _, data, bounds in slices(batch):
+            found = runs(gram_hashes(np.frombuffer(data, np.uint8)), bounds, GRAM, LENGTH, places=True)
+            anchor, number = np.unique(found.anchor, return_inverse=True)
+            n = np.minimum(np.bincount(number, 1 + (found.low != found.high), len(anchor)), 2)
+            yield pa.record_batch([pa.array(anchor.view(np.int64)), pa.array(n.astype(np.int32))], ["anchor", "n"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sides = contexts(0, 0, 2)
     for batch in batches:
         ids = batch.column(0)
         for at, end, data, bounds in slices(batch):
-            raw = np.frombuffer(data, np.uint8)
-            spans = RangeHash(raw.astype(np.uint64) + np.uint64(1))
-            found = runs(spans, len(raw), bounds, GRAM, LENGTH, places=True)
-            a = bounds[found.row] + found.start
-            z = a + found.windows - 1 + LENGTH
-            left, right = _side_keys(spans, found.anchor, found.low, a, z)
+            grams = gram_hashes(np.frombuffer(data, np.uint8))
+            found = runs(grams, bounds, GRAM, LENGTH, places=True)
+            begin = bounds[found.row] + found.start
             twice = found.low != found.high
-            keys = np.stack([left, right], 1).reshape(-1)
-            keep = keys != 0
-            sizes = keep.reshape(-1, 2).sum(1)
-            flat = keys[keep]
-            if twice.any():
-                lists = np.split(flat, np.cumsum(sizes)[:-1])
-                for k in np.flatnonzero(twice):
-                    place = np.arange(found.low[k], found.high[k] + 1)
-                    place = place[spans.of(place, place + GRAM) == found.anchor[k]]
-                    value = np.repeat(found.anchor[k], len(place))
-                    both = np.concatenate(_side_keys(spans, value, place, np.repeat(a[k], len(place)), np.repeat(z[k], len(place))))
-                    lists[k] = np.unique(both[both != 0])
-                flat, sizes = np.concatenate(lists), np.array([len(x) for x in lists])
+            contents, keys, sizes = [], [], []
+            for k, (a, n, low, high) in enumerate(zip(begin.tolist(), found.windows.tolist(), found.low.tolist(), found.high.tolist(), strict=True)):
+                z = a + n - 1 + LENGTH
+                contents.append(hashlib.blake2b(data[a:z], digest_size=16).digest())
+                places = [low] if low == high else (low + np.flatnonzero(grams[low : high + 1] == found.anchor[k])).tolist()
+                own = _keys_at(data, places, a, z, sides)
+                keys += [key for key, _, _ in own]
+                sizes.append(len(own))
             edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             yield pa.record_batch(
                 [
-                    pa.array(found.anchor.view(np.int64)), pa.array(found.content.view(np.int64)), ids.slice(at, end - at).take(pa.array(found.row)),
+                    pa.array(found.anchor.view(np.int64)), pa.array(contents, pa.binary()), ids.slice(at, end - at).take(pa.array(found.row)),
                     pa.array(found.start.astype(np.int32)), pa.array(found.windows.astype(np.int32)), pa.array(twice),
-                    pa.ListArray.from_arrays(pa.array(edges), pa.array(flat.astype(np.uint64).view(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(edges), pa.array(keys, pa.int64())),
                 ],
                 ["anchor", "content", "uid", "start", "windows", "twice", "keys"],
             )
@@ -139,9 +177,9 @@ def long_prefixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
     return order, undone[:n]
 
 
-def repeats(contents: list[bytes], place: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each content the window starts whose string also starts at another place; ``place`` identifies
-    each content's first byte in the corpus (contents may overlap in it)."""
+def repeats(contents: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
+    """For each content the window starts whose string also starts elsewhere in them. Every window of the
+    corpus is in one content at most."""
     m = len(contents)
     sizes = np.array([len(c) for c in contents])
     text = np.ones(sizes.sum() + m, np.int64)
@@ -155,124 +193,139 @@ def repeats(contents: list[bytes], place: np.ndarray, length: int = LENGTH) -> l
     text[-1] = 0
     begin = ends - sizes
     owner = np.repeat(np.arange(m), sizes + 1)
-    source = place[owner] + (np.arange(len(text)) - begin[owner]).astype(np.uint64)
     order, shared = long_prefixes(text, length)
-    group = np.cumsum(~shared) - 1
-    first = np.flatnonzero(~shared)
-    at = source[order]
-    several = np.minimum.reduceat(at, first) != np.maximum.reduceat(at, first)
-    found = np.sort(order[several[group]])
+    several = shared.copy()
+    several[:-1] |= shared[1:]
+    found = np.sort(order[several])
     found = found[found + length <= ends[owner[found]]]  # strings within one content
     cut = np.searchsorted(found, np.append(begin, len(text)))
     return [found[a:b] - begin[k] for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False))]
 
 
+def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
+
+
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Buckets, sorted by key, packed into blocks."""
-    names = ["anchor", "content", "uid", "start"]
 
-    def block(rows: dict) -> pa.RecordBatch:
-        keys = list(rows)
-        place = mix(np.array([k[2] for k in keys], np.int64).view(np.uint64)) + np.array([k[3] for k in keys], np.uint64)
-        found = repeats([rows[k] for k in keys], place)
-        hit = [(k, f) for k, f in zip(keys, found, strict=True) if len(f)]
+    def block(rows: dict[tuple[int, bytes], bytes]) -> pa.RecordBatch:
+        hit = [(k, f) for k, f in zip(rows, repeats(list(rows.values())), strict=True) if len(f)]
         return pa.record_batch(
-            [pa.array([k[0] for k, _ in hit], pa.int64()), pa.array([k[1] for k, _ in hit], pa.int64()), pa.array([f.astype(np.int32) for _, f in hit], pa.list_(pa.int32()))],
+            [pa.array([k[0] for k, _ in hit], pa.int64()), pa.array([k[1] for k, _ in hit], pa.binary()), pa.array([f.astype(np.int32) for _, f in hit], pa.list_(pa.int32()))],
             ["anchor", "content", "places"],
         )
 
-    rows: dict[tuple, bytes] = {}
+    rows: dict[tuple[int, bytes], bytes] = {}
     size, last = 0, None
     for batch in batches:
-        cols = {k: batch.column(batch.schema.get_field_index(k)).to_pylist() for k in (*names, "key", "data")}
-        for a, c, u, s, key, data in zip(*(cols[k] for k in (*names, "key", "data")), strict=True):
+        for key, anchor, content, data in zip(*(_column(batch, k).to_pylist() for k in ("key", "anchor", "content", "data")), strict=True):
             if key != last and size > BLOCK:
                 yield block(rows)
                 rows, size = {}, 0
             last = key
-            if (a, c, u, s) not in rows:
-                rows[a, c, u, s] = data
+            if (anchor, content) not in rows:
+                rows[anchor, content] = data
                 size += len(data)
     if rows:
         yield block(rows)
 
 
-def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
-    return batch.column(batch.schema.get_field_index(name))
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The contents of a text's runs."""
     for batch in batches:
-        texts, parts, uids = _column(batch, "text"), _column(batch, "runs").to_pylist(), _column(batch, "uid").to_pylist()
+        texts, parts = _column(batch, "text"), _column(batch, "runs").to_pylist()
         for k, own in enumerate(parts):
             raw = texts[k].as_buffer().to_pybytes()
-            own = [r for r in own if r["start"] + r["windows"] - 1 + LENGTH <= len(raw)]
             yield pa.record_batch(
-                [pa.array([r["anchor"] for r in own], pa.int64()), pa.array([r["content"] for r in own], pa.int64()), pa.array([uids[k]] * len(own), pa.int64()),
-                 pa.array([r["start"] for r in own], pa.int32()), pa.array([r["keys"] for r in own], pa.list_(pa.int64())),
+                [pa.array([r["anchor"] for r in own], pa.int64()), pa.array([r["content"] for r in own], pa.binary()), pa.array([r["single"] for r in own], pa.bool_()),
+                 pa.array([r["deal"] for r in own], pa.list_(pa.struct([("key", pa.int64()), ("large", pa.bool_())]))),
                  pa.array([raw[r["start"] : r["start"] + r["windows"] - 1 + LENGTH] for r in own], pa.binary())],
-                ["anchor", "content", "uid", "start", "keys", "data"],
+                ["anchor", "content", "single", "deal", "data"],
             )
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of a content: its hash, and its source as one number."""
+_LEVEL = "key long, wide int, narrow int, anchor long, content binary, single boolean, places array<int>, data binary"
+
+
+def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contents under a context dealt by longer ones: a row for each, with the places it would start windows at."""
+    names = ["key", "wide", "narrow", "anchor", "content", "single", "places", "data"]
     for batch in batches:
-        data = _column(batch, "data")
-        cols = [_column(batch, k) for k in ("key", "anchor", "content", "uid", "start")]
-        for k in range(batch.num_rows):
-            raw = np.frombuffer(data[k].as_buffer(), np.uint8)
-            at = np.arange(len(raw) - LENGTH + 1)
-            spans = RangeHash(raw.astype(np.uint64) + np.uint64(1))
-            key, anchor, content, uid, start = (c[k].as_py() for c in cols)
-            source = mix(np.array([uid], np.int64).view(np.uint64)) + (at + start).astype(np.uint64)
-            fixed = [pa.array(np.full(len(at), v, np.int64)) for v in (key, anchor, content)]
-            yield pa.record_batch(
-                [*fixed, pa.array(spans.of(at, at + LENGTH).view(np.int64)), pa.array(source.view(np.int64)), pa.array(at.astype(np.int32))],
-                ["key", "anchor", "content", "window", "source", "place"],
-            )
+        out: list[list] = [[] for _ in names]
+        for key, left, right, anchor, content, single, data in zip(*(_column(batch, k).to_pylist() for k in names if k != "places"), strict=True):
+            there = np.flatnonzero(gram_hashes(np.frombuffer(data, np.uint8)).view(np.int64) == anchor).tolist()
+            places = [p for (k, _, _), at in _keys_at(data, there, 0, len(data), [(left, right)]).items() if k == key for p in at]
+            for (k, a, b), at in _keys_at(data, [p + left for p in places], 0, len(data), contexts(left, right, PARTS)).items():
+                for column, value in zip(out, (k, a, b, anchor, content, single, at, data), strict=True):
+                    column.append(value)
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.bool_(), pa.list_(pa.int32()), pa.binary())
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
+
+
+def _dealt_longer(large: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(small, whole): contents of large buckets in buckets of longer contexts that fit a block, and those whose context is a whole window."""
+    small, whole = [], []
+    for _ in range(SPARE):
+        level = written(large.mapInArrow(_longer, _LEVEL), "longer")
+        size = level.groupBy("key").agg(F.sum(F.size("places")).alias("n"), F.max("single").alias("single"), F.sum(F.length("data")).alias("bytes"))
+        size = written(size.where("single and n > 1").select("key", (F.col("bytes") > BUCKET).alias("large")), "sizes")
+        kept = level.join(size, "key")
+        whole.append(kept.where(f"wide + narrow = {SPARE}").select("anchor", "content", "places"))
+        open_ = kept.where(f"wide + narrow < {SPARE}")
+        small.append(open_.where("not large").select("key", "anchor", "content", "data"))
+        large = open_.where("large")
+        if not size.where("large").head(1):
+            break
+    return small, whole
 
 
 def marked_runs(docs: DataFrame) -> DataFrame:
     """(uid, marks): each text's runs with repeats (start, windows, places); null ``places`` means all their windows."""
-    found = docs.mapInArrow(_runs, _RUNS)
-    repeated = found.select("anchor", "twice").groupBy("anchor").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("n")).where("n > 1").select("anchor")
-    shared = written(found.join(repeated, "anchor"), "runs")
+    counts = docs.select("text").mapInArrow(_anchor_counts, "anchor long, n int")
+    repeated = counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    shared = written(docs.mapInArrow(_runs, _RUNS).join(repeated, "anchor"), "runs")
     grouped = written(
         shared.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("uid", "start", "windows", "twice", "keys")).alias("run")), "contents"
     )
     # buckets that hold a content met once, and another content or an anchor met twice in it
-    keyed = grouped.select("anchor", "content", F.expr("run.windows + 199").alias("bytes"), (F.col("n") == 1).alias("single"), "run.twice", F.explode("run.keys").alias("key"))
+    keyed = grouped.select("anchor", "content", F.expr(f"run.windows - 1 + {LENGTH}").alias("bytes"), (F.col("n") == 1).alias("single"), "run.twice", F.explode("run.keys").alias("key"))
     buckets = written(
         keyed.groupBy("key").agg(F.count("*").alias("n"), F.max("single").alias("single"), F.max("twice").alias("twice"), F.sum("bytes").alias("bytes"))
         .where("single and (n > 1 or twice)").select("key", (F.col("bytes") > BUCKET).alias("large")), "buckets",
     )
-    wanted = keyed.join(buckets, "key").groupBy("anchor", "content", "bytes").agg(F.collect_set("key").alias("open_keys"))
+    wanted = keyed.join(buckets, "key").groupBy("anchor", "content", "bytes", "single").agg(F.collect_set(F.struct("key", "large")).alias("open"))
     # an anchor whose contents fit one bucket is one: a content then isn't met under both of its sides
     total = wanted.groupBy("anchor").agg(F.sum("bytes").alias("total"))
-    keys = F.when(F.col("total") <= BUCKET, F.array("anchor")).otherwise(F.col("open_keys"))
+    deal = F.when(F.col("total") <= BUCKET, F.array(F.struct(F.col("anchor").alias("key"), F.lit(False).alias("large")))).otherwise(F.col("open"))
     by_text = (
-        grouped.join(wanted.join(total, "anchor").select("anchor", "content", keys.alias("deal")), ["anchor", "content"])
-        .groupBy("run.uid").agg(F.collect_list(F.struct("anchor", "content", "run.start", "run.windows", F.col("deal").alias("keys"))).alias("runs"))
+        grouped.join(wanted.join(total, "anchor").select("anchor", "content", "single", deal.alias("deal")), ["anchor", "content"])
+        .groupBy("run.uid").agg(F.collect_list(F.struct("anchor", "content", "single", "run.start", "run.windows", "deal")).alias("runs"))
     )
-    cut = docs.join(by_text, "uid").select("uid", F.col("text").cast("binary").alias("text"), "runs").mapInArrow(
-        _cut, "anchor long, content long, uid long, start int, keys array<long>, data binary"
+    cut = docs.join(by_text, "uid").select(F.col("text").cast("binary").alias("text"), "runs").mapInArrow(
+        _cut, "anchor long, content binary, single boolean, deal array<struct<key:long,large:boolean>>, data binary"
     )
-    dealt = cut.withColumn("key", F.explode("keys")).drop("keys").join(buckets, "key", "left").withColumn("large", F.coalesce("large", F.lit(False)))
-    dealt = written(dealt, "dealt")
-    small = dealt.where("not large").repartition("key").sortWithinPartitions("key")
-    settled = small.mapInArrow(_settle, "anchor long, content long, places array<int>")
-    windows = dealt.where("large").mapInArrow(_windows, "key long, anchor long, content long, window long, source long, place int")
-    twice = windows.groupBy("key", "window").agg(F.min("source").alias("a"), F.max("source").alias("z")).where("a <> z").select("key", "window")
-    counted = windows.join(twice, ["key", "window"]).groupBy("anchor", "content").agg(F.collect_set("place").alias("places"))
-    partly = settled.unionByName(counted).groupBy("anchor", "content").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    dealt = written(cut.withColumn("deal", F.explode("deal")).select("anchor", "content", "single", "deal.*", "data"), "dealt")
+    side = SPARE // 2
+    large = dealt.where("large").withColumns({"wide": F.expr(f"if(key % 2 = 0, {side}, 0)"), "narrow": F.expr(f"if(key % 2 = 0, 0, {side})")})
+    small, whole = [dealt.where("not large").select("key", "anchor", "content", "data")], []
+    if large.head(1):
+        more, whole = _dealt_longer(large)
+        small += more
+    small = union(small)
+    tasks = 1 + int(small.agg(F.sum(F.length("data"))).first()[0] or 0) // TASK_BYTES
+    settled = small.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(_settle, "anchor long, content binary, places array<int>")
+    partly = union([settled, *whole]).groupBy("anchor", "content").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
     judged = grouped.select("anchor", "content", "n").join(partly, ["anchor", "content"], "left").where("n > 1 or places is not null")
     met = shared.join(judged, ["anchor", "content"])
     marks = met.select("uid", F.struct("start", "windows", F.expr("if(n > 1, null, places)").alias("places")).alias("mark"))
     return written(marks.groupBy("uid").agg(F.collect_set("mark").alias("marks")), "marks")
 
 
+def union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _kept(texts_too: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         marks = _column(batch, "marks")
@@ -301,9 +354,10 @@ def suffix_dedup(docs: DataFrame, texts: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``texts``, kept (the bytes that stay) per row of ``docs``.
 
     A byte goes if a 200-byte string over it also starts anywhere else. Null texts are empty; rows that
-    repeat, id and all, are other places, so texts of 200 bytes in them go; null ids are documents as any.
+    repeat, id and all, are other places, so texts of 200 bytes in them go; null ids are documents as any; an empty
+    table gives an empty table; other columns are ignored. A text is never split: the longest bounds a task's memory.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("uid", F.xxhash64("doc_id", "text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("uid", row_key("doc_id", "text"))
     joined = own.join(marked_runs(own.select("uid", "text")), "uid", "left").select("doc_id", F.col("text").cast("binary").alias("text"), "marks")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
     return joined.mapInArrow(partial(_kept, texts), schema)

@@ -1,4 +1,4 @@
-"""Vectorised words, lines and rolling hashes over Arrow batches of texts.
+"""Vectorised words, lines and range hashes over Arrow batches of texts.
 
 Everything works on the UTF-8 bytes of a slice of rows at a time, so a task holds a few megabytes
 whatever the batch holds; one document is never split here.
@@ -14,9 +14,10 @@ import pyarrow as pa
 #: Bytes of text handled at once; a longer document makes a slice of its own.
 SLICE_BYTES = 1 << 18
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers = {"p": np.ones(1, np.uint64), "q": np.ones(1, np.uint64)}
+#: Two primes' worth of one: arithmetic modulo 2^31 - 1 in two lanes with bases of their own.
+_PRIME, _BITS = np.uint64((1 << 31) - 1), np.uint64(31)
+_BASES = (1_171_520_617, 1_894_369_053)
+_powers: list[list[np.ndarray]] = []
 
 
 def byte_table(members: str) -> np.ndarray:
@@ -34,15 +35,31 @@ NOT_ALNUM = np.array([not (48 <= b <= 57 or 97 <= b <= 122 or b >= 128) for b in
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the rolling hash's base and of its inverse modulo 2^64, at least ``n`` of each."""
-    if len(_powers["p"]) < n:
+def _fold(x: np.ndarray, times: int = 2) -> np.ndarray:
+    """``x`` modulo the prime in place, but for a multiple of it: once leaves less than 2^33, twice at most the prime and 4."""
+    for _ in range(times):
+        high = x >> _BITS
+        x &= _PRIME
+        x += high
+    return x
+
+
+def _series(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base`` modulo the prime, by doubling."""
+    out, size = np.ones(n, np.uint64), 1
+    while size < n:
+        step = out[: min(size, n - size)] * np.uint64(pow(base, size, int(_PRIME)))
+        out[size : size + len(step)] = _canonical(step)
+        size *= 2
+    return out
+
+
+def powers(n: int) -> list[list[np.ndarray]]:
+    """For each lane the powers of its base and of the base's inverse, at least ``n`` of each."""
+    if not _powers or len(_powers[0][0]) < n:
         size = 1 << max(16, (n - 1).bit_length())
-        for key, base in (("p", _BASE), ("q", _BASE_INV)):
-            row = np.full(size, base, np.uint64)
-            row[0] = 1
-            _powers[key] = np.multiply.accumulate(row)
-    return _powers["p"], _powers["q"]
+        _powers[:] = [[_series(b, size), _series(pow(b, -1, int(_PRIME)), size)] for b in _BASES]
+    return _powers
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -57,21 +74,81 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class RangeHash:
-    """64-bit polynomial hashes of any ranges of a sequence of 64-bit units, from prefix sums."""
+    """62-bit polynomial hashes of any ranges of a sequence of 64-bit units, from prefix sums.
 
-    def __init__(self, units: np.ndarray):
-        self.power, self.inverse = powers(len(units) + 1)
-        self.prefix = np.zeros(len(units) + 1, np.uint64)
-        np.cumsum(units * self.power[: len(units)], out=self.prefix[1:])
+    Two lanes modulo a prime, one from each half of a unit. Modulo a power of two an odd base gives ordinary
+    sequences of two symbols one hash (Thue-Morse); a prime has no such family. Equal hashes are still only
+    likely equal: what counts or removes by them compares the bytes, or their digests.
+    """
+
+    def __init__(self, units: np.ndarray, small: bool = False):
+        """``small``: all units are below 2^31, and either lane takes them whole."""
+        n = len(units)
+        self.lanes = []
+        for k, (power, inverse) in enumerate(powers(n + 1)):
+            prefix = np.zeros(n + 1, np.uint64)
+            own = units * power[:n] if small else (units >> _BITS if k else units) & _PRIME
+            if not small:
+                own += np.uint64(1)
+                own *= power[:n]
+            np.cumsum(_fold(own, 1), out=prefix[1:])
+            self.lanes.append((prefix, inverse))
+        self.n = n
+
+    def _joined(self, parts: list[np.ndarray], size: np.ndarray | np.uint64) -> np.ndarray:
+        one, two = parts
+        two <<= _BITS
+        two ^= one
+        return mix(two ^ (size << np.uint64(40)))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        value = (self.prefix[end] - self.prefix[start]) * self.inverse[start]
-        return mix(value ^ ((end - start).astype(np.uint64) << np.uint64(40)))
+        parts = [_canonical(_fold(p[end] - p[start]) * q[start]) for p, q in self.lanes]
+        return self._joined(parts, (end - start).astype(np.uint64))
 
     def grams(self, size: int) -> np.ndarray:
         """``of`` for every range of ``size`` units."""
-        n = len(self.prefix) - size
-        return mix((self.prefix[size:] - self.prefix[:n]) * self.inverse[:n] ^ (np.uint64(size) << np.uint64(40)))
+        n = self.n + 1 - size
+        parts = [_canonical(_fold(p[size:] - p[:n]) * q[:n]) for p, q in self.lanes]
+        return self._joined(parts, np.uint64(size))
+
+
+def _canonical(x: np.ndarray) -> np.ndarray:
+    _fold(x)
+    x -= _PRIME * (x >= _PRIME)
+    return x
+
+
+def byte_hash(raw: np.ndarray) -> RangeHash:
+    return RangeHash(raw.astype(np.uint64) + np.uint64(1), small=True)
+
+
+def equal_ranges(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which ranges of ``size`` bytes from ``a`` and from ``b`` hold the same bytes."""
+    out = np.ones(len(a), bool)
+    full = np.flatnonzero((size > 0) & (a != b))
+    if len(full):
+        n = size[full]
+        begin = np.cumsum(n) - n
+        step = np.arange(n.sum()) - np.repeat(begin, n)
+        out[full] = np.logical_and.reduceat(raw[np.repeat(a[full], n) + step] == raw[np.repeat(b[full], n) + step], begin)
+    return out
+
+
+def interned(raw: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Numbers from 0 that are equal exactly where the byte ranges are: the hashes propose, the bytes decide."""
+    _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    lead = first[number]
+    if ((end - start) == (end - start)[lead]).all() and equal_ranges(raw, start, start[lead], end - start).all():
+        return number
+    names: dict[bytes, int] = {}
+    return np.array([names.setdefault(raw[a:b].tobytes(), len(names)) for a, b in zip(start, end, strict=True)], np.int64)
+
+
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers from 0 that are equal exactly where the pairs of numbers (from 0, below 2^31) are."""
+    if not len(a):
+        return np.zeros(0, np.int64)
+    return np.unique(a.astype(np.int64) * (int(b.max()) + 1) + b, return_inverse=True)[1]
 
 
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int, bytes, np.ndarray]]:
@@ -135,7 +212,7 @@ class Words:
     def ranges(self) -> RangeHash:
         """Hashes of any ranges of the slice's bytes."""
         if not hasattr(self, "_ranges"):
-            self._ranges = RangeHash(self.bytes.astype(np.uint64) + np.uint64(1))
+            self._ranges = byte_hash(self.bytes)
         return self._ranges
 
     def hashes(self) -> np.ndarray:

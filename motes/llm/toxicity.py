@@ -28,12 +28,13 @@ PARTS, HELD_OUT = 5, 0
 LEET = {"0": "o", "1": "li", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c"}
 #: Costs in nats of a substituted sign, a dropped gap and a dropped repetition.
 COST_SIGN, COST_GAP, COST_REPEAT = 1.0, 0.3, 0.7
-#: Beginnings of words that count as features, in bytes; features kept at most; association
-#: (log-likelihood ratio) and log-odds they need.
-BEGINNINGS, MARKS, ASSOCIATION, ODDS = (4, 5, 6), 20_000, 20.0, 2.5
-#: Longest disguised span whose reading is remembered; a longer one is decoded each time, whole as well.
-SPAN = 40
-REMEMBER = 200_000
+#: Beginnings of words that count as features, in bytes; association (log-likelihood ratio) and log-odds that a mark
+#: needs, and the share of the toxic rows that hold it (three rows at least). A toxic row holds some keys and no more,
+#: so the share bounds the number of marks by that number over ``SUPPORT``, however many rows there are.
+BEGINNINGS, ASSOCIATION, ODDS, SUPPORT = (4, 5, 6), 20.0, 2.5, 5e-4
+#: Longest disguised span whose reading is remembered (a longer one is decoded each time, whole as well), and
+#: readings of each of two generations that a worker remembers.
+REMEMBERED_SPAN, REMEMBER = 40, 100_000
 _GAPS = " .-_*~,/\\'"
 _SIGN = byte_table("".join(LEET))
 _LETTER = np.array([97 <= b <= 122 or b >= 0x80 for b in range(256)])
@@ -56,72 +57,95 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Language:
-    """log P(third byte | first two), interpolated with the shorter contexts' frequencies."""
-
-    def __init__(self, counts: dict[int, int]):
-        self.three = counts
-        self.two: dict[int, int] = {}
-        self.pair: dict[int, int] = {}
-        self.one = np.ones(256)
-        for code, n in counts.items():
-            self.two[code >> 8] = self.two.get(code >> 8, 0) + n
-            self.pair[code & 0xFFFF] = self.pair.get(code & 0xFFFF, 0) + n
-            self.one[code & 0xFF] += n
-        self.begin: dict[int, int] = {}
-        for code, n in self.pair.items():
-            self.begin[code >> 8] = self.begin.get(code >> 8, 0) + n
+    """log P(third byte | first two), interpolated with the shorter contexts' frequencies.
+
+    ``codes`` (three bytes as one number, distinct) and their counts ``n``: at most 256^3, in UTF-8 texts far fewer.
+    """
+
+    def __init__(self, codes: np.ndarray, n: np.ndarray):
+        order = np.argsort(codes)
+        self.codes, self.n = codes[order].astype(np.int32), n[order].astype(np.int64)
+        self.two = np.bincount(self.codes >> 8, self.n, 1 << 16)
+        self.pair = np.bincount(self.codes & 0xFFFF, self.n, 1 << 16)
+        self.begin = self.pair.reshape(256, 256).sum(1)
+        self.one = np.bincount(self.codes & 0xFF, self.n, 256) + 1
         self.total = float(self.one.sum())
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties what this worker remembers: logarithms, and readings in two generations."""
         self.known: dict[int, float] = {}
+        self.recent: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
-    def log(self, a: int, b: int, c: int) -> float:
-        code = (a << 16) | (b << 8) | c
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "recent", "older")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.forget()
+
+    def code_log(self, code: int) -> float:
+        """The logarithm for three bytes as one number."""
         value = self.known.get(code)
         if value is None:
-            p1 = self.one[c] / self.total
-            p2 = (self.pair.get(code & 0xFFFF, 0) + 8 * p1) / (self.begin.get(b, 0) + 8)
-            p3 = (self.three.get(code, 0) + 8 * p2) / (self.two.get(code >> 8, 0) + 8)
-            value = self.known[code] = math.log(p3)
+            at = int(np.searchsorted(self.codes, code))
+            three = float(self.n[at]) if at < len(self.codes) and self.codes[at] == code else 0.0
+            p1 = self.one[code & 0xFF] / self.total
+            p2 = (self.pair[code & 0xFFFF] + 8 * p1) / (self.begin[(code >> 8) & 0xFF] + 8)
+            value = math.log((three + 8 * p2) / (self.two[code >> 8] + 8))
+            if len(self.known) >= 1 << 20:
+                self.known.clear()
+            self.known[code] = value
         return value
 
+    def log(self, a: int, b: int, c: int) -> float:
+        return self.code_log((a << 16) | (b << 8) | c)
+
+
+_OPTIONS = [[(b if _LETTER[b] or 48 <= b <= 57 else 32, 0.0), *((ord(c), COST_SIGN) for c in LEET.get(chr(b), ""))] for b in range(256)]
+_GAP = [chr(b) in _GAPS for b in range(256)]
+#: Signs that may close a word and mean nothing.
+_CLOSING = [chr(b) in LEET and not 48 <= b <= 57 for b in range(256)]
+
 
 def lattice(span: bytes, gaps: bool = True) -> list[list[tuple[int, float]]]:
     """For each written byte what it may stand for (-1: nothing) and at what cost; without ``gaps`` every
     gap stands for nothing."""
-    out = []
+    out, before, last = [], -1, len(span) - 1
     for k, b in enumerate(span):
-        sign = chr(b)
-        options = [(b if _LETTER[b] or 48 <= b <= 57 else 32, 0.0)]
-        options += [(ord(c), COST_SIGN) for c in LEET.get(sign, "")]
-        if sign in _GAPS:
-            options = [*options * gaps, (-1, COST_GAP)]
-        elif k and span[k - 1] == b:
-            options.append((-1, COST_REPEAT))
-        elif sign in LEET and k and sign not in "0123456789" and k + 1 == len(span):
-            options.append((-1, COST_GAP))
+        options = _OPTIONS[b]
+        if _GAP[b]:
+            options = [*options, (-1, COST_GAP)] if gaps else [(-1, COST_GAP)]
+        elif before == b:
+            options = [*options, (-1, COST_REPEAT)]
+        elif k == last and k and _CLOSING[b]:
+            options = [*options, (-1, COST_GAP)]
         out.append(options)
+        before = b
     return out
 
 
 def decode(span: bytes, model: Language, gaps: bool = True) -> bytes:
-    """The likeliest reading of a disguised span: Viterbi over its lattice; states are the last two bytes read."""
+    """The likeliest reading of a disguised span: Viterbi over its lattice; a state is the last two bytes read, as one number."""
     # what is read is a chain (before, byte), so that a long span costs no copies
-    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(32, 32): (0.0, None)}
+    known, log = model.known, model.code_log
+    best: dict[int, tuple[float, tuple | None]] = {(32 << 8) | 32: (0.0, None)}
     for options in lattice(span, gaps):
-        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-        for (a, b), (score, read) in best.items():
+        after: dict[int, tuple[float, tuple | None]] = {}
+        for state, (score, read) in best.items():
             for c, cost in options:
-                if c < 0:
-                    state, value, text = (a, b), score - cost, read
-                elif c == 32 and b == 32:
-                    state, value, text = (a, b), score - cost, read
+                if c < 0 or (c == 32 and state & 0xFF == 32):
+                    new, value, text = state, score - cost, read
                 else:
-                    state, value, text = (b, c), score - cost + model.log(a, b, c), (read, c)
-                old = after.get(state)
+                    code = (state << 8) | c
+                    gain = known.get(code)
+                    new, value, text = code & 0xFFFF, score - cost + (log(code) if gain is None else gain), (read, c)
+                old = after.get(new)
                 if old is None or value > old[0]:
-                    after[state] = (value, text)
+                    after[new] = (value, text)
         best = after
-    ends = ((score + model.log(a, b, 32), _bytes(read)) for (a, b), (score, read) in best.items())
-    return max(ends)[1]
+    return max((score + log((state << 8) | 32), _bytes(read)) for state, (score, read) in best.items())[1]
 
 
 def _bytes(read: tuple | None) -> bytes:
@@ -164,21 +188,19 @@ def disguised(words: Words) -> list[tuple[int, int, int]]:
     return sorted(set(out))
 
 
-_decoded: dict[int, dict[bytes, bytes]] = {}
-
-
 def restored(span: bytes, model: Language) -> bytes:
-    """The readings of a span of any length, remembered a worker: the likeliest and, if it has gaps, the likeliest as one word."""
-    known = _decoded.setdefault(id(model), {})
-    if len(known) > REMEMBER:
-        known.clear()
-    read = known.get(span)
+    """The readings of a span of any length, remembered with the model: the likeliest and, if it has gaps, the likeliest as one word."""
+    read = model.recent.get(span)
     if read is None:
-        read = decode(span, model)
-        if any(chr(b) in _GAPS for b in span):
-            read += b" " + decode(span, model, False)
-        if len(span) <= SPAN:
-            known[span] = read
+        read = model.older.get(span)
+        if read is None:
+            read = decode(span, model)
+            if any(_GAP[b] for b in span):
+                read += b" " + decode(span, model, False)
+        if len(span) <= REMEMBERED_SPAN:
+            if len(model.recent) >= REMEMBER:
+                model.older, model.recent = model.recent, {}
+            model.recent[span] = read
     return read
 
 
@@ -271,7 +293,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Language, Model]:
     """Both models. The language model counts all of ``docs``; marks and logistic count all labelled rows."""
     spark = docs.sparkSession
     grams = docs.select("text").mapInArrow(_trigrams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    language = Language({r[0]: r[1] for r in grams.collect()})  # at most 256^3 codes, in texts some ten thousand
+    counted = grams.toArrow()  # at most 256^3 codes, in texts of few scripts some ten thousand
+    language = Language(counted.column("code").to_numpy(), counted.column("n").to_numpy())
     shared = spark.sparkContext.broadcast(language)
     own = labelled(docs, labels)
     counts = own.mapInArrow(_class_counts(shared), "key long, toxic long, n long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
@@ -284,9 +307,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Language, Model]:
     clean, negative = "(n - toxic)", rows - positive
     ratio = f"2 * ({cell.format('toxic', positive, rows)} + {cell.format(clean, negative, rows)})"
     odds = f"ln((toxic + 0.5) / ({positive} + 1)) - ln(({clean} + 0.5) / ({negative} + 1))"
-    marked = counts.where("toxic >= 3").selectExpr("key", f"{ratio} as association", f"{odds} as odds").where(f"odds > {ODDS} and association >= {ASSOCIATION}")
-    best = marked.orderBy(F.desc("association"), "key").limit(MARKS).collect()
-    model = Model(np.array([r.key for r in best], np.int64).view(np.uint64), np.array([r.odds for r in best]), np.zeros(3))
+    marked = counts.where(f"toxic >= {max(3.0, SUPPORT * positive)}").selectExpr("key", f"{ratio} as association", f"{odds} as odds").where(f"odds > {ODDS} and association >= {ASSOCIATION}")
+    best = marked.select("key", "odds").toArrow()
+    model = Model(best.column("key").to_numpy().view(np.uint64), best.column("odds").to_numpy(), np.zeros(3))
     bound = spark.sparkContext.broadcast(model)
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,15 @@ ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 LONG = " ".join(f"w{k % 997} Ünïcode {k}" for k in range(40_000))
+# Thue-Morse sequences of two letters, words and lines with their complements: equal under a polynomial modulo 2^64
+SIGNS = [bin(k).count("1") % 2 for k in range(2048)]
+TWINS = [
+    (100 + 10 * k + flip, "begin " + between.join((one, two)[s ^ flip] for s in SIGNS[:n]) + " and two words")
+    for k, (one, two, between) in enumerate([("a", "b", ""), ("yes", "no", " "), ("a line", "one more", "\n"), ("b", "c", " ")])
+    for n in (1024, 2048)
+    for flip in (0, 1)
+]
+TWINS += [(200, TWINS[0][1] + "\n" + TWINS[1][1]), (201, " ".join((TWINS[0][1].split()[1], "same", "two", TWINS[1][1].split()[1], "same", "two")))]
 TEXTS = [
     (1, "the quick brown fox jumps over the lazy dog " * 6 + "\nthe end\nthe end\n"),
     (2, None),

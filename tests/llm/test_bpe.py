@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -64,14 +65,38 @@ def test_long_words_in_several_recursions(raw, library, monkeypatch):
 
 def test_forgetting_changes_nothing(raw, library, monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBER", 50)
-    monkeypatch.setattr(bpe, "OUTLAST", 20)
     own = bpe.Codec(raw, public_tokenizers.PATTERN)
     texts = [LONG[k : k + 600] for k in range(0, 6000, 600)]
     for t in texts:
         assert own.encode([t])[0].tolist() == library.encode_ordinary(t)
         assert own.decode(own.encode([t])) == [t.encode()]
         own.rest()
-        assert max(map(len, (own.chunks, own.words, own.groups))) <= 20
+        assert max(map(len, (own.recent, own.older))) <= 50 + 600
+
+
+def test_sequences_that_a_product_hash_confuses(raw, library):
+    """Thue-Morse words over two letters, and over two tokens, are told apart."""
+    for one, two in (("\x01", "\x02"), ("a", "b"), (" a", "\n")):
+        for n in (1024, 2048):
+            signs = [bin(k).count("1") % 2 for k in range(n)]
+            texts = ["".join((one, two)[s ^ flip] for s in signs) for flip in (0, 1)]
+            own = bpe.Codec(raw, public_tokenizers.PATTERN)
+            coded = own.encode(texts)
+            assert [x.tolist() for x in coded] == [library.encode_ordinary(t) for t in texts]
+            assert own.decode(coded) == [t.encode() for t in texts]
+
+
+def test_another_pattern_is_kept_to(raw):
+    pattern = r"[a-z ]+|[^a-z ]"
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
+    other = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    text = "the quick brown fox, 12 times\nover the lazy dog"
+    assert bpe.Codec(raw, pattern).encode([text])[0].tolist() == other.encode_ordinary(text)
+
+
+def test_unknown_ids_raise(raw):
+    with pytest.raises(ValueError):
+        bpe.Codec(raw, public_tokenizers.PATTERN).decode([np.array([1, 60_000])])
 
 
 def test_empty(spark):

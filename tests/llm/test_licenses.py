@@ -1,6 +1,9 @@
+import random
+
+import numpy as np
 from helpers import ALNUM, TEXTS, UPPER, frame, keyed, real
 
-from motes.llm.licenses import BASE, NOTICES, license_scan
+from motes.llm.licenses import _PATTERNS, BASE, NOTICES, _Slice, license_scan
 
 
 def plain(doc_id, text):
@@ -52,5 +55,45 @@ def test_bounded_errors(spark):
                 assert distance(" ".join(words[m.first_word : m.last_word + 1]), by[m.label].text) == m.edits
 
 
+def whole(text):
+    """The patterns over all of a normalised text."""
+    flat = " ".join(ALNUM.findall(text.translate(UPPER)))
+    found = set()
+    for n in NOTICES:
+        for m in _PATTERNS[n].finditer(flat):
+            start, errors = flat.count(" ", 0, m.start()), sum(m.fuzzy_counts)
+            found.add((n.label, start, start + m.group().count(" "), errors, 1 - errors / len(n.text)))
+    return sorted(found)
+
+
+def scanned(texts):
+    raws = [t.encode() for t in texts]
+    got = _Slice(b"".join(raws), np.cumsum([0, *map(len, raws)])).fuzzy
+    return [got.get(k, []) for k in range(len(texts))]
+
+
+def test_seeds_lose_no_match_of_the_patterns():
+    rng = random.Random(11)
+    letters = "aeiglnrstu cmb-\n.éß日🙂😀𝔊"
+    texts = ["see the 😀😀😀 general public license", "the gnu general public 𝔩𝔦𝔠ense", "mit licens" + "e" * 300, "", " mit license", "x" * 90 + " mit license"]
+    for _ in range(400):
+        parts = []
+        for _ in range(rng.randint(1, 5)):
+            t = list(rng.choice(NOTICES).text)
+            for _ in range(rng.randint(0, 6)):
+                at = rng.randrange(len(t))
+                t[at : at + rng.randint(0, 1)] = rng.choice(["", rng.choice(letters), rng.choice(letters) * 2])
+            parts += ["".join(t), "".join(rng.choice(letters) for _ in range(rng.randint(0, 12)))]
+        texts.append(rng.choice(["", " ", "\n"]).join(parts))
+    expected = [whole(t) for t in texts]
+    assert scanned(texts) == expected
+    assert expected[0] and expected[1] and sum(map(bool, expected)) > 200
+
+
+def test_given_rows_against_the_patterns(spark):
+    texts = [r.text or "" for r in real(spark, "0.01").collect()]
+    assert scanned(texts) == [whole(t) for t in texts]
+
+
 def test_empty(spark):
     assert license_scan(frame(spark).limit(0)).count() == 0

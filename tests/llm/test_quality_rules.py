@@ -1,6 +1,6 @@
 from collections import Counter
 
-from helpers import TEXTS, WORDS, frame, keyed, real
+from helpers import TEXTS, TWINS, WORDS, frame, keyed, real
 
 from motes.llm.quality_rules import fit, judged
 
@@ -28,6 +28,20 @@ def test_base_counts(spark):
     assert keyed(judged(docs).select(COLUMNS).collect()) == keyed(plain(r.doc_id, r.text) for r in docs.collect())
 
 
+def test_sequences_that_a_product_hash_confuses(spark):
+    assert keyed(judged(frame(spark, TWINS)).select(COLUMNS).collect()) == keyed(plain(*r) for r in TWINS)
+
+
+def test_words_under_one_hash_are_told_apart():
+    import numpy as np
+
+    from motes.llm.textops import interned
+
+    raw = np.frombuffer(b"aabbaacc", np.uint8)
+    at = np.arange(0, 8, 2)
+    assert interned(raw, at, at + 2, np.zeros(4, np.uint64)).tolist() == [0, 1, 0, 2]
+
+
 def test_verdict_follows_base_and_posterior(spark):
     for r in judged(real(spark, "0.01")).collect():
         assert r.kept == (not r.base_failed and r.posterior >= 0.5)

@@ -16,7 +16,7 @@ def language():
         for k in range(len(raw) - 2):
             code = (raw[k] << 16) | (raw[k + 1] << 8) | raw[k + 2]
             counts[code] = counts.get(code, 0) + 1
-    return T.Language(counts)
+    return T.Language(np.array(list(counts)), np.array(list(counts.values())))
 
 
 def test_viterbi_finds_the_best_path(language):
