@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rows import own_name, row_key
 from .scratch import written
 from .textops import LOWER, NOT_ALNUM, RangeHash, Words, mix, slices
 
@@ -71,6 +72,10 @@ def _hits_of(words: Words, raw: bytes, rows: np.ndarray, at: np.ndarray, shingle
     return found
 
 
+def _hit_schema(docs: DataFrame) -> str:
+    return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, hits {HITS}"
+
+
 def _broadcast_hits(docs: DataFrame, wanted: dict[int, np.ndarray]) -> DataFrame:
     """doc_id, n_words and the hits of each row, looked up in a broadcast of the benchmark's shingles."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
@@ -93,7 +98,7 @@ def _broadcast_hits(docs: DataFrame, wanted: dict[int, np.ndarray]) -> DataFrame
                             hits[at + row] += found
             yield pa.record_batch([batch.column(0), pa.array(counts), pa.array(hits, kind)], ["doc_id", "n_words", "hits"])
 
-    return docs.mapInArrow(look, f"doc_id long, n_words long, hits {HITS}")
+    return docs.mapInArrow(look, _hit_schema(docs))
 
 
 def _all_shingles(sizes: list[int]):
@@ -134,7 +139,7 @@ def _shuffled_hits(docs: DataFrame, wanted: DataFrame, sizes: list[int]) -> Data
     keyed = docs.withColumn("key", F.sha2(F.concat_ws("\x00", F.col("doc_id").cast("string"), "text"), 256))
     rows = keyed.select("key", "text").mapInArrow(_all_shingles(sizes), "key string, shingle long, pos int").join(wanted, "shingle", "left_semi")
     found = rows.distinct().groupBy("key").agg(F.collect_list(F.struct("shingle", "pos")).alias("found"))
-    return keyed.join(found, "key", "left").select("doc_id", "text", "found").mapInArrow(_attach, f"doc_id long, n_words long, hits {HITS}")
+    return keyed.join(found, "key", "left").select("doc_id", "text", "found").mapInArrow(_attach, _hit_schema(docs))
 
 
 def contamination(docs: DataFrame, items: DataFrame, broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
@@ -143,19 +148,22 @@ def contamination(docs: DataFrame, items: DataFrame, broadcast_shingles: int = B
     A null text has no words; an item without words has no window; an item whose id is null can be hit but
     is not listed; repeated rows are judged each for itself; empty tables give no rows or no hits.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), items, broadcast_shingles)
+
+
+def _judged(docs: DataFrame, items: DataFrame, broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
+    """As ``contamination`` for (doc_id, text) with ids of any type."""
     windows = written(benchmark_windows(items), "windows")
     wanted = windows.select("width", "shingle").distinct()
     n, sizes = wanted.count(), sorted(r[0] for r in wanted.select("width").distinct().collect())
     if n <= broadcast_shingles:
-        by: dict[int, list[int]] = {s: [] for s in sizes}
-        for width, shingle in wanted.collect():
-            by[width].append(shingle)
-        hits = _broadcast_hits(docs, {s: np.sort(np.array(v, np.int64)) for s, v in by.items()})
+        table = wanted.toArrow()
+        width, shingle = (table.column(k).to_numpy() for k in ("width", "shingle"))
+        hits = _broadcast_hits(docs, {s: np.sort(shingle[width == s]) for s in sizes})
     else:
         hits = _shuffled_hits(docs, wanted.select("shingle"), sizes)
-    table = written(hits.withColumn("row", F.monotonically_increasing_id()), "hits")
-    each = table.where(F.size("hits") > 0).select("row", F.explode("hits").alias("h")).select("row", "h.*")
+    judged = written(hits.withColumn("row", F.monotonically_increasing_id()), "hits")
+    each = judged.where(F.size("hits") > 0).select("row", F.explode("hits").alias("h")).select("row", "h.*")
     rarity = each.groupBy("shingle").agg(F.count("*").alias("seen"))
     distinct = windows.select("window", "size", "offset", "shingle").distinct()
     # a window with a shingle that no document holds cannot occur: it stays without a prefix
@@ -180,7 +188,7 @@ def contamination(docs: DataFrame, items: DataFrame, broadcast_shingles: int = B
     )
     none = F.array().cast("array<string>")
     return (
-        table.select("row", "doc_id", "n_words").join(hit, "row", "left").join(listed, "row", "left")
+        judged.select("row", "doc_id", "n_words").join(hit, "row", "left").join(listed, "row", "left")
         .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"))
         .withColumns({
             "n_items": F.size("items").cast("long"),
@@ -192,12 +200,12 @@ def contamination(docs: DataFrame, items: DataFrame, broadcast_shingles: int = B
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their columns."""
-    uid = F.xxhash64(F.col("doc_id").cast("long"), "text")
-    judged = contamination(docs.select(uid.alias("doc_id"), "text"), items)
-    bad = written(judged.where("contaminated").select(F.col("doc_id").alias("bad_uid")).distinct(), "contaminated")
+    mine = own_name(docs, "own_uid")
+    keyed = docs.withColumn(mine, row_key("doc_id", "text"))
+    judged = _judged(keyed.select(F.col(mine).alias("doc_id"), "text"), items)
+    bad = written(judged.where("contaminated").select(F.col("doc_id").alias(mine)).distinct(), "contaminated")
     small = bad.limit(BROADCAST_SHINGLES + 1).count() <= BROADCAST_SHINGLES
-    rest = docs.withColumn("own_uid", uid).join(F.broadcast(bad) if small else bad, F.col("own_uid") == F.col("bad_uid"), "left_anti")
-    return rest.select(docs.columns)
+    return keyed.join(F.broadcast(bad) if small else bad, mine, "left_anti").select(docs.columns)
 
 
 #: Fixed SQL of the contract over the same tables: every window compared as text.

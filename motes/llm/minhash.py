@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .rows import own_name, row_key
 from .scratch import written
 from .textops import LOWER, SPACE, RangeHash, Words, mix, run_starts, slices
 
@@ -110,14 +111,13 @@ def near_links(nodes: DataFrame, texts: DataFrame, size: int, similarity: float)
 def near_duplicates_removed(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each class that links of at least ``similarity`` of ``size``-word shingles
     connect: the smallest doc_id, null last. Of rows equal in id and text one stays; texts without words are one class."""
-    uid = F.xxhash64(F.col("doc_id").cast("long"), "text")
+    uid, mine = row_key("doc_id", "text"), own_name(docs, "own_uid")
     own = docs.select(uid.alias("own_uid"), F.col("doc_id").cast("long").alias("id"), "text")
-    sketches = own.mapInArrow(_sketches(size), "own_uid long, id long, node long, n int, cells array<long>")
+    sketches = own.mapInArrow(_sketches(size), "own_uid binary, id long, node long, n int, cells array<long>")
     head = F.struct(F.col("id").isNull().alias("last"), "id", "own_uid")
     nodes = written(sketches.groupBy("node").agg(F.min(head).alias("head"), F.first("n").alias("n"), F.first("cells").alias("cells")), "nodes")
     texts = own.join(nodes.select("node", F.col("head.own_uid").alias("own_uid")), "own_uid").select("node", "text")
     roots = components(near_links(nodes, texts, size, similarity)).withColumnRenamed("node", "own")
     rooted = nodes.join(roots, F.col("node") == F.col("own"), "left").select("head", F.coalesce("root", "node").alias("root"))
-    kept = rooted.groupBy("root").agg(F.min("head").alias("head")).select(F.col("head.own_uid").alias("kept_uid"))
-    single = docs.withColumn("own_uid", uid).dropDuplicates(["own_uid"])
-    return single.join(kept, F.col("own_uid") == F.col("kept_uid"), "left_semi").select(docs.columns)
+    kept = rooted.groupBy("root").agg(F.min("head").alias("head")).select(F.col("head.own_uid").alias(mine))
+    return docs.withColumn(mine, uid).dropDuplicates([mine]).join(kept, mine, "left_semi").select(docs.columns)

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .rows import own_name, row_key
 from .scratch import written
 from .textops import LOWER, slices
 
@@ -61,6 +62,12 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.record_batch([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
 
 
+def _keyed_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        prints = next(_fingerprints(iter([batch])))
+        yield pa.record_batch([batch.column(0), batch.column(1), prints.column(1)], ["own_uid", "id", "fp"])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp long) of every row of ``docs`` (doc_id long, text string; null text: empty)."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
@@ -130,11 +137,10 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 def near_duplicates_removed(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each class: the smallest doc_id, null last. Of rows equal in id and text one stays."""
-    uid = F.xxhash64(F.col("doc_id").cast("long"), "text")
-    prints = written(fingerprints(docs.select(uid.alias("doc_id"), "text")).withColumnRenamed("doc_id", "own_uid"), "fingerprints")
-    ids = docs.select(uid.alias("own_uid"), F.col("doc_id").cast("long").alias("id")).dropDuplicates(["own_uid"])
+    uid, mine = row_key("doc_id", "text"), own_name(docs, "own_uid")
+    own = docs.select(uid.alias("own_uid"), F.col("doc_id").cast("long").alias("id"), "text").dropDuplicates(["own_uid"])
+    prints = written(own.mapInArrow(_keyed_fingerprints, "own_uid binary, id long, fp long"), "fingerprints")
     head = F.struct(F.col("id").isNull().alias("last"), "id", "own_uid")
-    classes = _classes(prints.join(ids, "own_uid").select("fp", head.alias("head")))
-    kept = classes.select(F.col("head.own_uid").alias("kept_uid")).distinct()
-    single = docs.withColumn("own_uid", uid).dropDuplicates(["own_uid"])
-    return single.join(kept, F.col("own_uid") == F.col("kept_uid"), "left_semi").select(docs.columns)
+    classes = _classes(prints.select("fp", head.alias("head")))
+    kept = classes.select(F.col("head.own_uid").alias(mine)).distinct()
+    return docs.withColumn(mine, uid).dropDuplicates([mine]).join(kept, mine, "left_semi").select(docs.columns)

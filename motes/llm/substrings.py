@@ -8,7 +8,8 @@ several contents the path branches there, and only those pieces are opened into
 gives each the smallest document that has it. Joined to the pieces by coordinate, neighbouring pieces
 glue into the spans to remove, and each is verified against the text at its source coordinates.
 
-Shuffles carry hashes and coordinates, pre-aggregated where they count; texts move only in the joins by id.
+A piece is named by 128 bits, its anchor and another hash of its bytes; an edge by a 128-bit hash of its bytes.
+Shuffles carry these and coordinates, pre-aggregated where they count; texts move only in the joins by id.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,18 +28,46 @@ from .scratch import written
 from .textops import SPACE, RangeHash, Words, covered, slices
 
 WINDOW, GRAM = 13, 6
+#: An edge with more than one in so many of all rows is joined by broadcast; there are at most so many of them.
+HOT_EDGES = 1000
 _PIECES = "anchor long, content long, doc_id long, start int, windows int"
 
 
+class Spaced:
+    """The words of a slice with one space between: ``bytes(a, z)`` of words ``a`` to ``z`` (not included) of one row."""
+
+    def __init__(self, words: Words):
+        keep = words.inside.copy()
+        keep[1:] |= words.inside[:-1]
+        self.data = np.where(words.inside, words.bytes, 32).astype(np.uint8)[keep].tobytes()
+        place = np.concatenate([[0], np.cumsum(keep)])
+        self.start, self.end = place[words.start], place[words.end - 1] + 1
+
+    def names(self, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """64-bit hashes of ranges of words."""
+        data, name = self.data, xxhash.xxh3_64_intdigest
+        bounds = zip(self.start[a].tolist(), self.end[z - 1].tolist(), strict=True)
+        return np.fromiter((name(data[x:y]) for x, y in bounds), np.uint64, len(a)).view(np.int64)
+
+    def digests(self, a: np.ndarray, z: np.ndarray) -> list[bytes]:
+        """128-bit hashes of ranges of words."""
+        data, name = self.data, xxhash.xxh3_128_digest
+        return [name(data[x:y]) for x, y in zip(self.start[a].tolist(), self.end[z - 1].tolist(), strict=True)]
+
+
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
         for at, end, data, bounds in slices(batch):
             words = Words(data, bounds, SPACE)
-            found = runs(RangeHash(words.hashes()), len(words), words.first, GRAM, WINDOW)
+            if len(words) < WINDOW:
+                continue
+            found = runs(RangeHash(words.hashes()).grams(GRAM), words.first, GRAM, WINDOW)
+            begin = words.first[found.row] + found.start
+            content = Spaced(words).names(begin, begin + found.windows - 1 + WINDOW)
             own = ids.slice(at, end - at).take(pa.array(found.row))
             yield pa.record_batch(
-                [pa.array(found.anchor.view(np.int64)), pa.array(found.content.view(np.int64)), own, pa.array(found.start.astype(np.int32)), pa.array(found.windows.astype(np.int32))],
+                [pa.array(found.anchor.view(np.int64)), pa.array(content), own, pa.array(found.start.astype(np.int32)), pa.array(found.windows.astype(np.int32))],
                 ["anchor", "content", "doc_id", "start", "windows"],
             )
 
@@ -52,7 +82,7 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _column(batch, "pieces")
         for at, end, data, bounds in slices(batch):
             words = Words(data, bounds, SPACE)
-            spans = RangeHash(words.hashes())
+            spaced = Spaced(words)
             part = pieces.slice(at, end - at)
             flat, sizes = part.flatten(), np.diff(part.offsets.to_numpy())
             row = np.repeat(np.arange(end - at), sizes)
@@ -60,12 +90,12 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begin = words.first[row] + get["start"]
             stop = begin + get["windows"] - 1 + WINDOW
             fits = stop <= words.first[row + 1]
-            fits[fits] = spans.of(begin[fits], stop[fits]).view(np.int64) == get["content"][fits]
+            fits[fits] = spaced.names(begin[fits], stop[fits]) == get["content"][fits]
             n = get["windows"][fits]
             place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             edge = np.repeat(begin[fits], n) + place
-            cols = [spans.of(edge, edge + WINDOW).view(np.int64), *(np.repeat(get[k][fits], n) for k in ("anchor", "content", "first_id")), place.astype(np.int32)]
-            yield pa.record_batch([pa.array(c) for c in cols], ["edge", "anchor", "content", "first_id", "place"])
+            cols = [spaced.digests(edge, edge + WINDOW), *(np.repeat(get[k][fits], n) for k in ("anchor", "content", "first_id")), place.astype(np.int32)]
+            yield pa.record_batch([pa.array(cols[0], pa.binary()), *map(pa.array, cols[1:])], ["edge", "anchor", "content", "first_id", "place"])
 
 
 def marked_pieces(docs: DataFrame) -> DataFrame:
@@ -82,29 +112,32 @@ def marked_pieces(docs: DataFrame) -> DataFrame:
         F.collect_list(F.struct("anchor", "content", "source.start", "source.windows", "first_id")).alias("pieces")
     )
     edges = written(
-        docs.join(by_text, "doc_id").select("text", "pieces").mapInArrow(_edges, "edge long, anchor long, content long, first_id long, place int"), "edges"
+        docs.join(by_text, "doc_id").select("text", "pieces").mapInArrow(_edges, "edge binary, anchor long, content long, first_id long, place int"), "edges"
     )
-    earliest = edges.groupBy("edge").agg(F.min("first_id").alias("earliest"), F.max("first_id").alias("last")).where("earliest < last")
-    partly = (
-        edges.join(earliest, "edge").where("earliest < first_id").groupBy("anchor", "content").agg(F.collect_set("place").alias("places"))
+    met = edges.groupBy("edge").agg(F.min("first_id").alias("earliest"), F.max("first_id").alias("last"), F.count("*").alias("n"))
+    earliest = written(met.where("earliest < last").select("edge", "earliest", (F.col("n") > 1 + edges.count() // HOT_EDGES).alias("hot")), "earliest")
+    hot = F.broadcast(earliest.where("hot").select("edge", F.col("earliest").alias("known")))  # at most HOT_EDGES rows
+    dealt = edges.join(hot, "edge", "left")
+    later = dealt.where("known < first_id").select("anchor", "content", "place").unionByName(
+        dealt.where("known is null").join(earliest.where("not hot"), "edge").where("earliest < first_id").select("anchor", "content", "place")
     )
+    partly = later.groupBy("anchor", "content").agg(F.collect_set("place").alias("places"))
     firsts = paths.select("anchor", "content", "first_id").join(partly, ["anchor", "content"], "left")
     met = shared.join(firsts, ["anchor", "content"]).where("doc_id > first_id or (doc_id = first_id and places is not null)")
     marks = met.select("doc_id", F.struct("start", "windows", "content", F.expr("if(doc_id = first_id, places, null)").alias("places")).alias("mark"))
     return written(marks.groupBy("doc_id").agg(F.collect_list("mark").alias("marks")), "marks")
 
 
-def _removed(words: Words, hashes: np.ndarray, row: int, marks: list[dict] | None) -> np.ndarray:
+def _removed(words: Words, spaced: Spaced, row: int, marks: list[dict] | None) -> np.ndarray:
     """Which words of a row its marks cover; a mark whose content is not there (an id met twice) is passed by."""
     a, b = int(words.first[row]), int(words.first[row + 1])
     if not marks:
         return np.zeros(b - a, bool)
-    spans = RangeHash(hashes[a:b])
     start, n = np.array([m["start"] for m in marks]), np.array([m["windows"] for m in marks])
     content = np.array([m["content"] for m in marks])
     stop = start + n - 1 + WINDOW
     fits = stop <= b - a
-    fits[fits] = spans.of(start[fits], stop[fits]).view(np.int64) == content[fits]
+    fits[fits] = spaced.names(a + start[fits], a + stop[fits]) == content[fits]
     whole = fits & np.array([m["places"] is None for m in marks])
     first = [start[whole], *(start[k] + np.array(marks[k]["places"]) for k in np.flatnonzero(fits & ~whole))]
     length = [n[whole] - 1 + WINDOW, *(np.full(len(marks[k]["places"]), WINDOW) for k in np.flatnonzero(fits & ~whole))]
@@ -119,11 +152,11 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, end, data, bounds in slices(batch):
             words = Words(data, bounds, SPACE)
             n_words[at:end] = words.counts()
-            hashes = words.hashes() if any(marks[at + r].is_valid for r in range(end - at)) else None
+            spaced = Spaced(words) if any(marks[at + r].is_valid for r in range(end - at)) else None
             for row in range(end - at):
                 own = data[bounds[row] : bounds[row + 1]].split()
                 if marks[at + row].is_valid:
-                    gone = _removed(words, hashes, row, marks[at + row].as_py())
+                    gone = _removed(words, spaced, row, marks[at + row].as_py())
                     n_removed[at + row] = gone.sum()
                     own = [w for w, g in zip(own, gone.tolist(), strict=True) if not g]
                 kept.append(b" ".join(own))
@@ -139,7 +172,8 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 
     A word goes if a window over it also starts in a document of smaller id. A null text has no words; a
     null id is smaller than none and has no smaller one, so such rows neither lose words nor cost others any; rows
-    that repeat an id do not count against each other.
+    that repeat an id do not count against each other. An empty table gives an empty table; other columns are
+    ignored. A text is never split: the longest bounds a task's memory.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return own.join(marked_pieces(own), "doc_id", "left").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
@@ -149,8 +183,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages cut from their texts (the words that stay, joined by a space) and
     n_chars made to fit; a text that keeps all its words stays as it is."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marks = marked_pieces(own).withColumnRenamed("doc_id", "marked_id")
     names, schema = docs.columns, docs.schema
+    # the names of docs are not ours to choose: joined under numbers
+    plain = docs.toDF(*(f"c{k}" for k in range(len(names))))
+    marks = marked_pieces(own).select(F.col("doc_id").alias("marked_id"), "marks")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,7 +197,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 if found[row].is_valid and texts[row]:
                     data = texts[row].encode()
                     words = Words(data, np.array([0, len(data)]), SPACE)
-                    gone = _removed(words, words.hashes(), 0, found[row].as_py())
+                    gone = _removed(words, Spaced(words), 0, found[row].as_py())
                     if gone.any():
                         texts[row] = b" ".join(w for w, g in zip(data.split(), gone.tolist(), strict=True) if not g).decode()
                         if chars is not None:
@@ -172,7 +208,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 cols[names.index("n_chars")] = pa.array(chars, cols[names.index("n_chars")].type)
             yield pa.record_batch(cols, names)
 
-    joined = docs.join(marks, F.col("doc_id") == F.col("marked_id"), "left").select(*(docs[c] for c in names), "marks")
+    joined = plain.join(marks, F.col(f"c{names.index('doc_id')}").cast("long") == F.col("marked_id"), "left").drop("marked_id")
     return joined.mapInArrow(cut, schema)
 
 

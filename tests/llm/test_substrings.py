@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from helpers import TEXTS, WORDS, frame, keyed, real
+from helpers import TEXTS, TWINS, WORDS, frame, keyed, real
 
 from motes.llm import substrings as S
 
@@ -57,3 +57,15 @@ def test_documents_without_repeats_stay(spark):
     got = {r.doc_id: r.text for r in S.without_repeats(docs).collect()}
     assert got[1] == "a  b\nc" and got[3] == "x y" and len(got) == 3
     assert S.substring_dedup(frame(spark).limit(0)).count() == 0
+
+
+def test_two_signs_and_clashing_names(spark):
+    check(spark, TWINS)
+    rng = random.Random(5)
+    lead = [rng.choice(["a", "b"]) for _ in range(40)]
+    check(spark, [(k, " ".join(lead[: rng.randint(13, 40)] + [f"t{k}"] * 3 + lead[rng.randint(0, 20) :])) for k in range(60)])
+    text = " ".join(map(str, range(40)))
+    docs = frame(spark, [(1, text), (2, f"x {text} y")]).selectExpr("*", "'m' as marks", "7 as marked_id", "8 as c0", "9 as content")
+    got = S.without_repeats(docs)
+    assert got.columns == docs.columns
+    assert [(r.doc_id, r.text, r.marks, r.marked_id, r.n_chars) for r in got.orderBy("doc_id").collect()] == [(1, text, "m", 7, len(text)), (2, "x y", "m", 7, 3)]
