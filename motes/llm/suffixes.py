@@ -66,10 +66,10 @@ def context_key(data: bytes, place: int, left: int, right: int) -> int:
 
 
 def contexts(left: int, right: int, parts: int) -> list[tuple[int, int]]:
-    """Longer neighbourhoods of which every window has one that has (``left``, ``right``)."""
-    spare = SPARE - left - right
-    cuts = [spare * k // parts for k in range(parts + 1)]
-    return sorted({(left + a, right + spare - b) for a, b in zip(cuts, cuts[1:], strict=False)})
+    """Longer neighbourhoods of which every window has just one that has (``left``, ``right``): the windows' places are cut into ranges."""
+    places = SPARE - left - right + 1
+    cuts = [places * k // parts for k in range(parts + 1)]
+    return [(left + a, right + places - b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
 
 
 def _keys_at(data: bytes, places: list[int], a: int, z: int, sides: list[tuple[int, int]]) -> dict[tuple[int, int, int], list[int]]:
@@ -249,7 +249,8 @@ _LEVEL = "key long, wide int, narrow int, anchor long, content binary, single bo
 
 
 def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contents under a context dealt by longer ones: a row for each, with the places it would start windows at."""
+    """Contents under a context dealt by longer ones: a row for each, with the places it would start windows at; a context
+    that is a whole window needs no bytes."""
     names = ["key", "wide", "narrow", "anchor", "content", "single", "places", "data"]
     for batch in batches:
         out: list[list] = [[] for _ in names]
@@ -257,7 +258,8 @@ def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             there = np.flatnonzero(gram_hashes(np.frombuffer(data, np.uint8)).view(np.int64) == anchor).tolist()
             places = [p for (k, _, _), at in _keys_at(data, there, 0, len(data), [(left, right)]).items() if k == key for p in at]
             for (k, a, b), at in _keys_at(data, [p + left for p in places], 0, len(data), contexts(left, right, PARTS)).items():
-                for column, value in zip(out, (k, a, b, anchor, content, single, at, data), strict=True):
+                rest = data if a + b < SPARE else None
+                for column, value in zip(out, (k, a, b, anchor, content, single, at, rest), strict=True):
                     column.append(value)
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.bool_(), pa.list_(pa.int32()), pa.binary())
         yield pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
@@ -306,8 +308,8 @@ def marked_runs(docs: DataFrame) -> DataFrame:
         _cut, "anchor long, content binary, single boolean, deal array<struct<key:long,large:boolean>>, data binary"
     )
     dealt = written(cut.withColumn("deal", F.explode("deal")).select("anchor", "content", "single", "deal.*", "data"), "dealt")
-    side = SPARE // 2
-    large = dealt.where("large").withColumns({"wide": F.expr(f"if(key % 2 = 0, {side}, 0)"), "narrow": F.expr(f"if(key % 2 = 0, 0, {side})")})
+    (_, right), (left, _) = contexts(0, 0, 2)
+    large = dealt.where("large").withColumns({"wide": F.expr(f"if(key % 2 = 0, {left}, 0)"), "narrow": F.expr(f"if(key % 2 = 0, 0, {right})")})
     small, whole = [dealt.where("not large").select("key", "anchor", "content", "data")], []
     if large.head(1):
         more, whole = _dealt_longer(large)
