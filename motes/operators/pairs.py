@@ -119,7 +119,7 @@ def native_kernel(pairs: DataFrame, kernel, schema: str) -> DataFrame:
 
 
 class PairCache:
-    """Pair tables by cutoff, kept while the particles' version stays; a skin lets them outlive small moves."""
+    """Pair tables by cutoff and columns, kept while the particles' version stays: other positions, or another set, list anew."""
 
     def __init__(self):
         self.tables: dict[tuple, tuple[int, DataFrame]] = {}

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from contextlib import contextmanager
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,17 +12,20 @@ from pyspark.sql import functions as F
 from .domain import AXES, Domain
 
 
+_versions = count()
+
+
 @dataclass(frozen=True)
 class ParticleSet:
-    """``df`` has gid (bigint), x, y, z (double) and any numeric columns. ``version`` counts position changes,
-    so that pair tables know whether they still fit."""
+    """``df`` has gid (bigint), x, y, z (double) and any numeric columns. ``version`` names the positions: no two sets and
+    no two states of one share it, so that pair tables know whether they still fit."""
 
     df: DataFrame
     domain: Domain
-    version: int = 0
+    version: int = field(default_factory=lambda: next(_versions))
 
     def with_df(self, df: DataFrame, moved: bool = True) -> ParticleSet:
-        return replace(self, df=df, version=self.version + moved)
+        return replace(self, df=df, version=next(_versions) if moved else self.version)
 
     def count(self) -> int:
         return self.df.count()
@@ -86,10 +90,7 @@ class Edit:
 
 
 def wrapped_by_minimum(df: DataFrame, domain: Domain) -> DataFrame:
-    """Positions shifted by their minimum, folded into the box and centred on what they span.
-
-    Raises in the query if a folded position still lies outside.
-    """
+    """Positions shifted by their minimum, folded into the box and centred on what they span."""
     low = df.agg(*[F.min(a).alias(f"low_{a}") for a in AXES])
     out = df.crossJoin(F.broadcast(low))  # one row
     folded = out.withColumns({a: (F.col(a) - F.col(f"low_{a}")) % e for a, e in zip(AXES, domain.extent, strict=True)})

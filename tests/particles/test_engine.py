@@ -171,6 +171,15 @@ def test_symmetric_equals_ordered(spark):
     assert cache.get(s.wrapped(), 2.0) is not None and len(cache.tables) == 1
 
 
+def test_pair_cache_keeps_sets_apart(spark):
+    box, cache = Domain((6.0,) * 3), P.PairCache()
+    near = from_arrays(spark, box, x=[0.0, 0.5], y=[0.0, 0.0], z=[0.0, 0.0])
+    far = from_arrays(spark, box, x=[-2.0, 1.0], y=[0.0, 0.0], z=[0.0, 0.0])
+    assert [cache.get(s, 1.0).count() for s in (near, far, near)] == [2, 0, 2]
+    alone = near.removed(spark.createDataFrame([(1,)], "gid long"))
+    assert [cache.get(s, 1.0).count() for s in (alone, near.within((-1, -1, -1), (1, 1, 1)))] == [0, 2]
+
+
 def test_two_particles_conserve_energy(spark):
     s = from_arrays(spark, Domain((6.0,) * 3), x=[-0.6, 0.6], y=[0.0, 0.1], z=[2.9, 2.95], vx=[1.0, -1.0], vy=[0.0, 0.0], vz=[0.5, 0.5], mass=[40.0, 40.0])
     ticks = []
