@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motes.llm import bpe, decontaminate, minhash, quality_model, substrings
+from motes.llm import bpe, decontaminate, quality_model, simhash, substrings
 from motes.llm.queries import table
 from motes.llm.scratch import written
 
@@ -21,8 +21,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class that a Jaccard similarity of 0.8 or more over five-word shingles connects."""
-    return minhash.near_duplicates_removed(docs)
+    """One document of each class that fingerprints of at most two differing bits connect."""
+    return simhash.near_duplicates_removed(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
