@@ -22,21 +22,25 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import release
+
 #: Words of each of two generations that a worker remembers; rows that one recursion may produce; characters
 #: of texts coded at once (a longer text makes a slice of its own); DuckDB's memory in a worker.
-REMEMBER, STEP_ROWS, SLICE_CHARS, MEMORY = 200_000, 600_000, 1 << 20, "96MB"
+REMEMBER, STEP_ROWS, SLICE_CHARS, MEMORY = 160_000, 600_000, 1 << 19, "64MB"
 #: Words of up to so many bytes contract one pair a step; in longer ones a step contracts every
 #: occurrence of the least pair where that provably comes to the same.
 SHORT = 32
 
-#: A row's place g is 64 * word + position in the word.
+#: A row's place g is 64 * word + position in the word. Rows come in the order of their places, which one thread
+#: keeps from step to step, so neighbours are met without a sort; were they ever not, some row would precede a smaller one.
 _STEP = """
 WITH RECURSIVE s AS (
     SELECT 0 AS step, word * 64 + pos AS g, tok, false AS done FROM base
     UNION ALL (
         WITH p AS MATERIALIZED (
-            SELECT a.step, a.g, a.after, a.tok, m.rank, m.rank * 64 + (a.g & 63) AS key
-            FROM (SELECT *, lead(tok) OVER w AS next, lead(g) OVER w AS after FROM s WHERE NOT done WINDOW w AS (ORDER BY g)) a
+            SELECT a.step, a.g, a.tok, m.rank, m.rank * 64 + (a.g & 63) AS key,
+                   CASE WHEN a.after <= a.g THEN error('rows out of order') ELSE a.after END AS after
+            FROM (SELECT *, lead(tok) OVER () AS next, lead(g) OVER () AS after FROM s WHERE NOT done) a
             LEFT JOIN merges m ON a.tok = m.l AND a.next = m.r AND (a.g >> 6) = (a.after >> 6)
         ),
         b AS (SELECT g >> 6 AS word, min(key) AS best, arg_min(after, key) AS gone FROM p GROUP BY g >> 6)
@@ -103,7 +107,7 @@ class Codec:
         # safe: no pair with the merged token ranks below the merge that made it
         merges["safe"] = least[merges["rank"]] > merges["rank"]
         self.merges = pa.table(merges)
-        self.vocabulary = pa.table({"tok": list(self.ranks.values()), "hex": [t.hex() for t in self.ranks]})
+        self.vocabulary = pa.table({"tok": list(self.ranks.values()), "raw": [t.decode("latin-1") for t in self.ranks]})
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)])
         self.decimal = np.array([str(k) for k in range(size)], object)
         self.recent: dict[str, bytes] = {}
@@ -119,7 +123,7 @@ class Codec:
         """Lets go of what the database gathered, at a partition's end: other work follows in this worker."""
         self.db.close()
         self.open()
-        pa.default_memory_pool().release_unused()
+        release()
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.db.register("incoming", rows)
@@ -191,13 +195,13 @@ class Codec:
             rows = {"text": np.repeat(np.arange(len(ids)), sizes), "pos": np.arange(sizes.sum()), "tok": np.concatenate(ids).astype(np.int64)}
             self._table("coded", pa.table(rows))
             found = self.db.execute(
-                "SELECT text, unhex(string_agg(hex, '' ORDER BY pos)) AS raw, count(*) AS n FROM coded JOIN vocabulary USING (tok) GROUP BY text"
+                "SELECT text, string_agg(raw, '' ORDER BY pos) AS raw, count(*) AS n FROM coded JOIN vocabulary USING (tok) GROUP BY text"
             ).fetchall()
             self.db.execute("DROP TABLE coded")
             if sum(n for _, _, n in found) < sizes.sum():
                 raise ValueError("ids that are not in the vocabulary")
             for text, raw, _ in found:
-                out[text] = raw
+                out[text] = raw.encode("latin-1")
         return out
 
 
@@ -236,6 +240,7 @@ def encoded(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = True
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         own = codec(shared.value, pattern)
         for batch in batches:
             for at, texts in _slices(batch):
