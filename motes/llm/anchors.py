@@ -32,6 +32,15 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
+def _nearest(grams: np.ndarray, kept: np.ndarray, at: np.ndarray, value: np.ndarray, step: int) -> np.ndarray:
+    """The places in ``kept``, from number ``at`` on by ``step``, whose gram is ``value``."""
+    wrong = np.flatnonzero(grams[kept[at]] != value)
+    while len(wrong):
+        at[wrong] += step
+        wrong = wrong[grams[kept[at[wrong]]] != value[wrong]]
+    return kept[at]
+
+
 def runs(grams: np.ndarray, first: np.ndarray, gram: int, length: int, places: bool = False) -> Runs:
     """The runs of a slice whose rows ``first`` bounds; ``grams`` has the hash of the gram at each place. ``places``: also find the anchors."""
     none = np.zeros(0, np.int64)
@@ -48,11 +57,9 @@ def runs(grams: np.ndarray, first: np.ndarray, gram: int, length: int, places: b
     a, z = np.flatnonzero(begins), np.flatnonzero(ends)
     low = high = none
     if places:
-        low, high = np.empty(len(a), np.int64), np.empty(len(a), np.int64)
-        step = np.arange(width)
-        for part in range(0, len(a), 512):
-            own = slice(part, part + 512)
-            value = least[a[own]][:, None]
-            low[own] = a[own] + np.argmax(grams[a[own][:, None] + step] == value, axis=1)
-            high[own] = z[own] + width - 1 - np.argmax(grams[z[own][:, None] + step[::-1]] == value, axis=1)
+        # grams that are the least of some window, in order; an anchor's first and last one in a run are among its nearest
+        edge = np.zeros(width - 1, np.uint64)
+        kept = np.flatnonzero(grams == ~sliding_min(~np.concatenate([edge, least, edge]), width))
+        low = _nearest(grams, kept, np.searchsorted(kept, a), least[a], 1)
+        high = _nearest(grams, kept, np.searchsorted(kept, z + width - 1, side="right") - 1, least[z], -1)
     return Runs(row[a], a - first[row[a]], z - a + 1, least[a], low, high)

@@ -105,10 +105,15 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, (a, n, low, high) in enumerate(zip(begin.tolist(), found.windows.tolist(), found.low.tolist(), found.high.tolist(), strict=True)):
                 z = a + n - 1 + LENGTH
                 contents.append(hashlib.blake2b(data[a:z], digest_size=16).digest())
-                places = [low] if low == high else (low + np.flatnonzero(grams[low : high + 1] == found.anchor[k])).tolist()
-                own = _keys_at(data, places, a, z, sides)
-                keys += [key for key, _, _ in own]
-                sizes.append(len(own))
+                before = len(keys)
+                if low == high:
+                    for left, right in sides:
+                        if low - left >= a and low + GRAM + right <= z:
+                            keys.append(context_key(data, low, left, right))
+                else:
+                    places = (low + np.flatnonzero(grams[low : high + 1] == found.anchor[k])).tolist()
+                    keys += [key for key, _, _ in _keys_at(data, places, a, z, sides)]
+                sizes.append(len(keys) - before)
             edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             yield pa.record_batch(
                 [
@@ -156,6 +161,7 @@ def long_prefixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
     undone = np.ones(n + 1, bool)
     undone[[0, n]] = False
     low, high = np.array([0]), np.array([n])
+    first_symbol, mark = text[order], np.full(n, -1)
     step = 0
     while len(low) and step < length:
         size = high - low
@@ -163,8 +169,15 @@ def long_prefixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
         at = np.arange(len(owner)) + np.repeat(low - (np.cumsum(size) - size), size)
         # members of an interval with the same symbol before them lead to neighbouring places in the same order
         to = back[at]
-        by = np.argsort(to)
-        to, owner, symbol = to[by], owner[by], last[at[by]]
+        if len(to) * 16 < n:
+            by = np.argsort(to)
+            to, owner = to[by], owner[by]
+        else:
+            mark[to] = owner
+            to = np.flatnonzero(mark >= 0)
+            owner = mark[to]
+            mark[to] = -1
+        symbol = first_symbol[to]
         new = np.ones(len(to), bool)
         new[1:] = (owner[1:] != owner[:-1]) | (symbol[1:] != symbol[:-1]) | (to[1:] != to[:-1] + 1)
         first = np.flatnonzero(new)
