@@ -13,6 +13,7 @@ the place. What the fingerprint lets through is checked against the shard's dire
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -32,13 +33,22 @@ SHARD_BYTES = 16 << 20
 PART_KEYS = 1 << 16
 #: Bytes of text tokenised at once; a longer document is cut at white space, where no token crosses.
 PIECE_BYTES = 1 << 20
-#: Words and their bytes that a worker remembers before it forgets all of them.
+#: Words and their bytes that a worker remembers before it forgets most of them.
 MEMO_WORDS, MEMO_BYTES = 400_000, 24 << 20
+#: Words it keeps then.
+KEPT_WORDS = 100_000
 #: Bits a key of a level of the hash function, and levels before the rest is listed by name.
 SPREAD, LEVELS = 1.7, 48
+#: The letters that byte-level models write for those bytes of small Latin-1 letters that do not print.
+BYTE_LETTERS = {159: 321, 160: 322, 173: 323}
 #: Closes the directory.
 MAGIC = b"IDSHARD1"
 
+_MARKS = re.compile(rb"[\xcc-\xf7]")
+#: Small letters of ASCII and Latin-1, and signs behind them: two pre-tokens at most, each of them as it stands.
+_SIMPLE = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([.,;:!?]*)")
+#: Words that the model itself must split as the whole tokenizer does, or it is not asked alone.
+PROBE = ["the", "unquestionable", "d\u00e9j\u00e0", "ma\u00f1ana,", "\u00edndice...", "stra\u00dfenb\u00e4hnchen!", "xqzvt;"]
 _GAP = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 
@@ -60,34 +70,75 @@ class _Memo(dict):
         return number
 
 
+def _plain(text: bytes) -> bytes:
+    """Lower-cases A-Z, which the model does itself, where no mark could combine with them (no character from U+0300 on)."""
+    return text if _MARKS.search(text) else text.lower()
+
+
 class Encoder:
-    """Ids of texts by a ``tokenizers`` model whose tokens never cross ASCII white space; each word is encoded once."""
+    """Ids of texts by a ``tokenizers`` model that lower-cases and whose tokens never cross ASCII white space: each word is encoded once."""
 
     def __init__(self, model: str, special: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.encode_special_tokens = not special
-        self._forget()
+        # no k or i: other characters than A-Z become those in lower case
+        whole = sorted(t for t in self.tokenizer.get_vocab(with_added_tokens=False) if re.fullmatch(r"[a-hjl-z]{8,}</w>", t))
+        self.mark = whole[0].removesuffix("</w>")
+        (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+        self.tails: dict[bytes, list[int]] = {}
+        general = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in PROBE]
+        self.direct = all(self._direct(_SIMPLE.fullmatch(w.encode())) == ids for w, ids in zip(PROBE, general, strict=True))
+        self.memo, self.bounds = _Memo(), np.zeros(1 << 14, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _forget(self) -> None:
-        self.memo = _Memo()
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.bounds = np.zeros(1 << 14, np.int64)
+        """Keeps the first words, which tend to be the common ones."""
+        memo = _Memo()
+        for word in itertools.islice(self.memo, KEPT_WORDS):
+            memo[word] = len(memo)
+            memo.bytes += len(word)
+        if memo.bytes > MEMO_BYTES // 2:
+            memo = _Memo()
+        self.memo, self.used = memo, int(self.bounds[len(memo)])
+
+    def _direct(self, found: re.Match) -> list[int]:
+        """Letters, a word to the model as it stands, and signs behind them."""
+        word = found[1]
+        ids = [t.id for t in self.tokenizer.model.tokenize(word.decode() if word.isascii() else word.decode("latin-1").translate(BYTE_LETTERS))]
+        if tail := found[2]:
+            if tail not in self.tails:
+                self.tails[tail] = self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids
+            ids += self.tails[tail]
+        return ids
+
+    def _together(self, words: list[str]) -> list[list[int]]:
+        """The ids of each word, from one text of all words with ``mark``, a token that none of them holds, between."""
+        ids = self.tokenizer.encode(f" {self.mark} ".join(words), add_special_tokens=False).ids
+        cut = [k for k, i in enumerate(ids) if i == self.mark_id]
+        if len(cut) != len(words) - 1:  # a word spells the mark
+            return [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        return [ids[a + 1 : b] for a, b in zip([-1, *cut], [*cut, len(ids)], strict=True)]
 
     def _learn(self) -> None:
         fresh, self.memo.fresh = self.memo.fresh, []
         at = len(self.memo) - len(fresh)
-        for k in range(0, len(fresh), 1024):
-            part = [w.decode("utf-8", "replace") for w in fresh[k : k + 1024]]
-            lists = [e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
+        for k in range(0, len(fresh), 4096):
+            part = fresh[k : k + 4096]
+            simple = [_SIMPLE.fullmatch(w) if self.direct else None for w in part]
+            lists = [self._direct(m) if m else [] for m in simple]
+            others = [j for j, m in enumerate(simple) if not m]
+            if others:
+                for j, ids in zip(others, self._together([part[j].decode("utf-8", "replace") for j in others]), strict=True):
+                    lists[j] = ids
             sizes = np.fromiter(map(len, lists), np.int64, len(lists))
             total, end = int(sizes.sum()), at + len(lists)
             while self.used + total > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             while end >= len(self.bounds):
                 self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
-            self.flat[self.used : self.used + total] = np.fromiter((i for ids in lists for i in ids), np.uint32, total)
+            self.flat[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, total)
             self.bounds[at + 1 : end + 1] = self.used + np.cumsum(sizes)
             self.used, at = self.used + total, end
 
@@ -108,7 +159,7 @@ class Encoder:
         words: list[bytes] = []
         counts = np.zeros(len(texts) + 1, np.int64)
         for k, text in enumerate(texts):
-            own = text.split()
+            own = _plain(text).split()
             words += own
             counts[k + 1] = len(own)
         ids, size = self.words(words)
@@ -121,7 +172,7 @@ class Encoder:
         while at < len(text):
             gap = _GAP.search(text, at + PIECE_BYTES)
             end = gap.start() if gap else len(text)
-            out.append(self.words(text[at:end].split())[0])
+            out.append(self.words(_plain(text[at:end]).split())[0])
             at = end
         return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
