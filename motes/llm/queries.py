@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, bpe, decontaminate, licenses, negatives, quality_model, quality_rules, simhash, substrings, suffixes, token_shards, toxicity
+from . import archives, bpe, collocations, decontaminate, licenses, negatives, quality_model, quality_rules, simhash, substrings, suffixes, token_shards, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -88,8 +92,15 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_warc": op10_warc,
         "op11_token_shards": op11_token_shards,
         "op12_hard_negatives": op12_hard_negatives,
+        "op13_collocations": op13_collocations,
     }
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontaminate.SQL, "op8_substring_dedup": substrings.SQL, "op10_warc": archives.SQL, "op12_hard_negatives": negatives.SQL}
+    return {
+        "op5_decontamination": decontaminate.SQL,
+        "op8_substring_dedup": substrings.SQL,
+        "op10_warc": archives.SQL,
+        "op12_hard_negatives": negatives.SQL,
+        "op13_collocations": collocations.SQL,
+    }
