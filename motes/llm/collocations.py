@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import release, written
-from .textops import LOWER
+from .textops import LOWER, mix
 
 #: Occurrences a candidate needs, words it has at most, candidates a language returns.
 LEAST, LONGEST, FIRST = 30, 4, 2000
@@ -29,7 +29,9 @@ EXPLAINED = 80
 #: Scale of a score.
 SCALE = 2_000_000
 #: Words a shard takes; a longer text is cut between pieces, which no phrase crosses.
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 2_500_000
+#: Words of the corpus for each bucket in which pairs meet; there are fewer pairs than words.
+BUCKET_WORDS = 2_000_000
 #: Bytes of text turned into words at once.
 PART_BYTES = 1 << 20
 #: Scores of a bucket of the histogram that finds where a language's first rows end.
@@ -139,8 +141,9 @@ def _order(symbols: np.ndarray, depth: int) -> np.ndarray:
     for d in reversed(range(depth)):
         key = (symbols[(order + d) % n].astype(np.int64) << shift) | np.arange(n)
         key.sort()
-        order = order[key & ((1 << shift) - 1)]
-    return order
+        key &= (1 << shift) - 1
+        order = order[key]
+    return order.astype(np.int32)
 
 
 class WordIndex:
@@ -153,7 +156,7 @@ class WordIndex:
 
     def __init__(self, sequence: np.ndarray, depth: int):
         self.names, symbols = np.unique(np.append(sequence, 0), return_inverse=True)
-        self.symbols, self.depth = symbols[:-1].astype(np.int64), depth
+        self.symbols, self.depth = symbols[:-1].astype(np.int32), depth
         self.sides: list[tuple[np.ndarray, np.ndarray] | None] = [None, None]
 
     def _side(self, backwards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,14 +171,14 @@ class WordIndex:
         """[starts here, starts in the backward index, sizes, words] of all single words."""
         count = np.bincount(self.symbols, minlength=len(self.names))
         start = np.cumsum(count) - count
-        return [start[1:], start[1:], count[1:], np.arange(1, len(self.names))[:, None]]
+        return [start[1:], start[1:], count[1:], np.arange(1, len(self.names), dtype=np.int32)[:, None]]
 
     def _extended(self, level: list[np.ndarray], backwards: int) -> list[np.ndarray]:
         start, other, size, words = level
         if backwards:
             start, other = other, start
         before, by = self._side(backwards)
-        member = np.full(len(before), -1, np.int64)
+        member = np.full(len(before), -1, np.int32)
         rank = np.argsort(start)
         at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size[rank]) - size[rank], size[rank])
         member[np.repeat(start[rank], size[rank]) + at] = np.repeat(rank, size[rank])
@@ -219,57 +222,110 @@ def _array(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).combine_chunks().to_numpy(zero_copy_only=False)
 
 
-def _recoded(seqs: pa.Table, side: pa.Table) -> np.ndarray:
-    """The shard's sequence in ids of the corpus, words that are not frequent turned into ends of pieces."""
-    local = unpacked(seqs.column("seq")[0].as_py(), seqs.column("n")[0].as_py())
-    ids = np.zeros(int(local.max(initial=0)) + 1, np.int64)
-    words = side.filter(pa.compute.equal(side.column("kind"), 0))
-    ids[_array(words, "a")] = _array(words, "b")
-    return ids[local]
-
-
-PAIRS, GRAMS = "shard long, k1 long, n long", "k1 long, k2 long, n long"
-
-
-def _pairs(seqs: pa.Table, side: pa.Table) -> pa.Table:
-    schema = pa.schema([("shard", pa.int64()), ("k1", pa.int64()), ("n", pa.int64())])
-    if not seqs.num_rows or not side.num_rows:
-        return schema.empty_table()
-    sequence = _recoded(seqs, side)
-    sequence = sequence[np.append(True, (sequence[1:] != 0) | (sequence[:-1] != 0))]
-    index = WordIndex(sequence, 1)
-    words, n = index.counted(index.left(index.words()))
-    key = (words[:, 0] << 32) | words[:, 1]
-    return pa.table([pa.array(np.full(len(key), seqs.column("shard")[0].as_py())), pa.array(key), pa.array(n)], schema=schema)
-
-
-def _grams(seqs: pa.Table, side: pa.Table) -> pa.Table:
-    schema = pa.schema([(c, pa.int64()) for c in ("k1", "k2", "n")])
-    if not seqs.num_rows or not side.num_rows:
-        return schema.empty_table()
-    sequence = _recoded(seqs, side)
-    pairs = np.sort(_array(side.filter(pa.compute.equal(side.column("kind"), 1)), "a"))
-    key = (sequence[:-1] << 32) | sequence[1:]
-    at = np.minimum(np.searchsorted(pairs, key), max(0, len(pairs) - 1))
-    linked = pairs[at] == key if len(pairs) else np.zeros(len(key), bool)
-    # a word stays where a frequent pair holds it; an end follows where the next pair is none
-    before, after = np.append(False, linked), np.append(linked, False)
-    stays = before | after
-    out = np.zeros(2 * len(sequence) + 1, np.int64)
-    out[1::2] = np.where(stays, sequence, 0)
-    keep = np.zeros(len(out), bool)
-    keep[0] = True
-    keep[1::2] = stays
-    keep[2::2] = stays & ~after
-    index = WordIndex(out[keep], LONGEST - 1)
-    level = index.left(index.words())
-    found = []
-    for size in range(3, LONGEST + 1):
-        level = index.right(level) if size % 2 else index.left(level)
-        words, n = index.counted(level)
-        k2 = words[:, 2] if size == 3 else (words[:, 2] << 32) | words[:, 3]
-        found.append(pa.table([pa.array((words[:, 0] << 32) | words[:, 1]), pa.array(k2), pa.array(n)], schema=schema))
-    return pa.concat_tables(found)
+def _blob(numbers: np.ndarray) -> bytes:
+    """Ascending 64-bit numbers as the steps between them, plane by plane and compressed."""
+    planes = np.diff(numbers, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unblob(raw: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8").ravel())
+
+
+#: The sequence of a shard in ids of the corpus (bucket null), and its pairs by bucket with their counts.
+INDEXED = pa.schema([("shard", pa.int64()), ("bucket", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+#: Frequent pairs of a shard (keys), and each frequent pair with its count over all shards (k1, f).
+MERGED = pa.schema([("shard", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("k1", pa.int64()), ("f", pa.int64())])
+GRAMS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64())])
+
+
+def _ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {'binary' if pa.types.is_binary(f.type) else 'long'}" for f in schema)
+
+
+def _cells(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+
+
+def _paired(buckets: int, width: int):
+    def paired(seqs: pa.Table, words: pa.Table) -> pa.Table:
+        if not seqs.num_rows or not words.num_rows:
+            return INDEXED.empty_table()
+        shard, n = seqs.column("shard")[0].as_py(), seqs.column("n")[0].as_py()
+        local = unpacked(seqs.column("seq")[0].as_py(), n)
+        ids = np.zeros(int(local.max(initial=0)) + 1, np.int64)
+        ids[_array(words, "local")] = _array(words, "id")
+        sequence = ids[local]  # words that are not frequent end a piece
+        sequence = sequence[np.append(True, (sequence[1:] != 0) | (sequence[:-1] != 0))]
+        del local
+        rows = [(shard, None, len(sequence), packed(sequence), None)]
+        index = WordIndex(sequence, 1)
+        pairs, count = index.counted(index.left(index.words()))
+        key = pairs[:, 0] * width + pairs[:, 1]
+        bucket = (mix(key.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((key, bucket))
+        key, bucket, count = key[order], bucket[order], count[order]
+        first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(key) else np.zeros(0, np.int64)
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=False):
+            rows.append((shard, int(bucket[a]), b - a, _blob(key[a:b]), packed(count[a:b])))
+        return _cells(INDEXED, rows)
+
+    return paired
+
+
+def _merged(width: int):
+    def merged(table: pa.Table) -> pa.Table:
+        shards, sizes = table.column("shard").to_pylist(), table.column("n").to_pylist()
+        keys = np.concatenate([_unblob(k.as_py(), n) for k, n in zip(table.column("keys"), sizes, strict=True)])
+        counts = np.concatenate([unpacked(c.as_py(), n) for c, n in zip(table.column("counts"), sizes, strict=True)])
+        order = np.argsort(keys, kind="stable")
+        fresh = np.append(True, keys[order][1:] != keys[order][:-1])
+        total = np.add.reduceat(counts[order].astype(np.int64), np.flatnonzero(fresh))
+        often = np.empty(len(keys), bool)
+        often[order] = (total >= LEAST)[np.cumsum(fresh) - 1]
+        rows, at = [], 0
+        for shard, n in zip(shards, sizes, strict=True):
+            own = keys[at : at + n][often[at : at + n]]
+            if len(own):
+                rows.append((shard, len(own), _blob(own), None, None))
+            at += n
+        own = keys[order][fresh][total >= LEAST]
+        none = pa.nulls(len(own), pa.int64())
+        found = [none, none, pa.nulls(len(own), pa.binary()), pa.array((own // width << 32) | own % width), pa.array(total[total >= LEAST])]
+        return pa.concat_tables([_cells(MERGED, rows), pa.table(found, schema=MERGED)])
+
+    return merged
+
+
+def _grams(width: int):
+    def grams(seqs: pa.Table, side: pa.Table) -> pa.Table:
+        if not seqs.num_rows or not side.num_rows:
+            return GRAMS.empty_table()
+        sequence = unpacked(seqs.column("keys")[0].as_py(), seqs.column("n")[0].as_py()).astype(np.int64)
+        pairs = np.sort(np.concatenate([_unblob(k.as_py(), n) for k, n in zip(side.column("keys"), side.column("n").to_pylist(), strict=True)]))
+        key = sequence[:-1] * width + sequence[1:]
+        linked = (pairs[np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)] == key) & (sequence[:-1] != 0) & (sequence[1:] != 0)
+        # a word stays where a frequent pair holds it; an end follows where the next pair is none
+        before, after = np.append(False, linked), np.append(linked, False)
+        stays = before | after
+        out = np.zeros(2 * len(sequence) + 1, np.int64)
+        out[1::2] = np.where(stays, sequence, 0)
+        keep = np.zeros(len(out), bool)
+        keep[0] = True
+        keep[1::2] = stays
+        keep[2::2] = stays & ~after
+        index = WordIndex(out[keep], LONGEST - 1)
+        level = index.left(index.words())
+        found = []
+        for size in range(3, LONGEST + 1):
+            level = index.right(level) if size % 2 else index.left(level)
+            words, n = index.counted(level)
+            k2 = words[:, 2] if size == 3 else (words[:, 2] << 32) | words[:, 3]
+            found.append(pa.table([pa.array((words[:, 0] << 32) | words[:, 1]), pa.array(k2), pa.array(n)], schema=GRAMS))
+        return pa.concat_tables(found)
+
+    return grams
 
 
 def _numbered(words: DataFrame) -> DataFrame:
@@ -292,20 +348,20 @@ def _counts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     known = written(_numbered(words.where(F.col("f") >= LEAST)), "frequent")
     if known.count() >= (1 << 31) - 2:
         raise ValueError("more frequent words than 31 bits number")
-    maps = corpus.where("seq is null").join(known.select("lang", "word", "id"), ["lang", "word"])
-    maps = written(maps.select("shard", F.lit(0).alias("kind"), F.col("local").cast("long").alias("a"), F.col("id").alias("b")), "maps")
+    words_in_all = int(totals.agg(F.sum("n")).first()[0] or 0)
+    buckets, width = -(-words_in_all // BUCKET_WORDS) or 1, known.count() + 2
+    maps = corpus.where("seq is null").join(known.select("lang", "word", "id"), ["lang", "word"]).select(F.col("shard").alias("of"), "local", "id")
     sequences = corpus.where("seq is not null").select("shard", "n", "seq")
-    pairs = written(sequences.groupBy("shard").cogroup(maps.groupBy("shard")).applyInArrow(_pairs, PAIRS), "pairs")
-    # one shuffle serves the sum and the way back to the shards
-    dealt = pairs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k1")
-    frequent = dealt.groupBy("k1").agg(F.sum("n").alias("f")).where(F.col("f") >= LEAST)
-    back = written(dealt.join(frequent.hint("shuffle_hash"), "k1").select("shard", "k1", "f"), "back")
-    side = maps.unionByName(back.select("shard", F.lit(1).alias("kind"), F.col("k1").alias("a"), F.lit(0).cast("long").alias("b")))
-    grams = sequences.groupBy("shard").cogroup(side.groupBy("shard")).applyInArrow(_grams, GRAMS)
+    indexed = written(sequences.groupBy("shard").cogroup(maps.groupBy("of")).applyInArrow(_paired(buckets, width), _ddl(INDEXED)), "indexed")
+    # sums over shards by buckets of pairs; what is frequent goes back to each shard that has it
+    pairs = written(indexed.where("bucket is not null").groupBy("bucket").applyInArrow(_merged(width), _ddl(MERGED)), "pairs")
+    sequences = indexed.where("bucket is null").select("shard", "n", "keys")
+    side = pairs.where("keys is not null").select("shard", "n", "keys")
+    grams = sequences.groupBy("shard").cogroup(side.groupBy("shard")).applyInArrow(_grams(width), _ddl(GRAMS))
     longer = grams.groupBy("k1", "k2").agg(F.sum("n").alias("f")).where(F.col("f") >= LEAST)
     none = F.lit(0).cast("long").alias("k2")
     single = known.select(F.col("id").alias("k1"), none, "f")
-    double = back.groupBy("k1").agg(F.max("f").alias("f")).select("k1", none, "f")
+    double = pairs.where("keys is null").select("k1", none, "f")
     return written(single.unionByName(double).unionByName(longer), "counts"), known.select("id", "lang", "word"), totals
 
 
