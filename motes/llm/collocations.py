@@ -29,9 +29,9 @@ EXPLAINED = 80
 #: Scale of a score.
 SCALE = 2_000_000
 #: Words a shard takes; a longer text is cut between pieces, which no phrase crosses.
-SHARD_WORDS = 2_500_000
+SHARD_WORDS = 1_500_000
 #: Words of the corpus for each bucket in which pairs meet; there are fewer pairs than words.
-BUCKET_WORDS = 2_000_000
+BUCKET_WORDS = 1_000_000
 #: Bytes of text turned into words at once.
 PART_BYTES = 1 << 20
 #: Scores of a bucket of the histogram that finds where a language's first rows end.
@@ -269,6 +269,8 @@ def _paired(buckets: int, width: int):
         first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(key) else np.zeros(0, np.int64)
         for a, b in zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=False):
             rows.append((shard, int(bucket[a]), b - a, _blob(key[a:b]), packed(count[a:b])))
+        del index, pairs, key, count, order, sequence
+        release()
         return _cells(INDEXED, rows)
 
     return paired
@@ -323,6 +325,8 @@ def _grams(width: int):
             words, n = index.counted(level)
             k2 = words[:, 2] if size == 3 else (words[:, 2] << 32) | words[:, 3]
             found.append(pa.table([pa.array((words[:, 0] << 32) | words[:, 1]), pa.array(k2), pa.array(n)], schema=GRAMS))
+        del index, level, words, out, sequence, pairs, key
+        release()
         return pa.concat_tables(found)
 
     return grams
