@@ -16,7 +16,7 @@ import functools
 import itertools
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -28,7 +28,7 @@ from .scratch import new_path, release, written
 from .textops import mix
 
 #: Bytes of text a shard file takes on average.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: Keys a part of the index takes on average.
 PART_KEYS = 1 << 16
 #: Bytes of text tokenised at once; a longer document is cut at white space, where no token crosses.
@@ -182,7 +182,7 @@ def _encoder(model: str, special: bool) -> Encoder:
     return Encoder(model, special)
 
 
-def _groups(texts: list[bytes]) -> Iterator[list[bytes]]:
+def _groups(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
     """Runs of texts of about a piece together; a text beyond that stands alone."""
     held: list[bytes] = []
     size = 0
@@ -247,7 +247,7 @@ def write_shards(docs: DataFrame, model_file: str, folder: str, end_id: int = 1,
         counts: list[int] = []
         for batch in batches:
             ids += batch.column(0).to_pylist()
-            for group in _groups([t.as_buffer().to_pybytes() for t in batch.column(1)]):
+            for group in _groups(t.as_buffer().to_pybytes() for t in batch.column(1)):
                 found = encoder.texts(group) if len(group) > 1 else [encoder.text(group[0])]
                 counts += [len(x) + 1 for x in found]
                 yield pa.record_batch([pa.array([x.astype(_kind(width)).tobytes() for x in found], pa.binary())], ["value"])
