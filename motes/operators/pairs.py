@@ -29,7 +29,8 @@ def cell_key(domain: Domain, n: tuple[int, int, int], prefix: str = "c") -> Colu
 
 
 def with_cells(df: DataFrame, domain: Domain, n: tuple[int, int, int]) -> DataFrame:
-    return df.withColumns({f"c{a}": domain.cell(a, k) for a, k in zip(AXES, n, strict=True)})
+    """Rows with their cell; one outside the box raises, since it would be met from one side only."""
+    return df.withColumns({f"c{a}": domain.cell(a, k, strict=True) for a, k in zip(AXES, n, strict=True)})
 
 
 def listed(df: DataFrame, domain: Domain, n: tuple[int, int, int], offsets: Sequence[tuple[int, int, int]]) -> DataFrame:

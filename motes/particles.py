@@ -6,7 +6,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 from itertools import count
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .domain import AXES, Domain
@@ -35,17 +35,35 @@ class ParticleSet:
         return self.with_df(self.df.withColumns({a: self.domain.wrap(a) for a in AXES}))
 
     def inserted(self, rows: DataFrame) -> ParticleSet:
-        """Rows added; columns they lack are 0, unknown ones raise."""
+        """Rows added; columns they lack are 0, unknown ones raise. An id that is null, given twice or in the set already
+        raises when the result is computed."""
         if unknown := set(rows.columns) - set(self.df.columns):
             raise ValueError(f"no such columns: {sorted(unknown)}")
         if missing := {"gid", *AXES} - set(rows.columns):
             raise ValueError(f"rows to insert need {sorted(missing)}")
         lacking = [c for c in self.df.columns if c not in rows.columns]
-        return self.with_df(self.df.unionByName(rows, allowMissingColumns=True).fillna(0, lacking))
+        own = rows.select(F.col("gid").alias("new"), F.lit(1).alias("n"))
+        held = self.df.select(F.col("gid").alias("new"), F.lit(1).alias("n")).join(own.select("new").distinct(), "new", "left_semi")
+        bad = own.unionByName(held).groupBy("new").agg(F.sum("n").alias("n")).where("n > 1 or new is null")
+        out = self.df.unionByName(rows, allowMissingColumns=True).fillna(0, lacking)
+        return self.with_df(_unless(out, bad.select("new"), "ids that are there already, given twice or null"))
 
     def removed(self, gids: DataFrame) -> ParticleSet:
-        """Rows whose gid is in ``gids`` go."""
-        return self.with_df(self.df.join(gids.select("gid").distinct(), "gid", "left_anti"))
+        """Rows whose gid is in ``gids`` go; a gid that no row has raises when the result is computed."""
+        gone = gids.select("gid").distinct()
+        bad = gone.join(self.df.select("gid"), "gid", "left_anti").select(F.col("gid").alias("new"))
+        return self.with_df(_unless(self.df.join(gone, "gid", "left_anti"), bad, "ids to remove that no particle has"))
+
+    def edited(self, **columns: Column | str) -> ParticleSet:
+        """Columns set by expressions of the old ones, all at once; positions that leave the box raise."""
+        if unknown := set(columns) - set(self.df.columns):
+            raise ValueError(f"no such columns: {sorted(unknown)}")
+        out = self.df.withColumns({k: F.expr(v) if isinstance(v, str) else v for k, v in columns.items()})
+        moved = bool(set(columns) & set(AXES))
+        if moved:
+            where = F.concat(F.lit("outside the box: "), F.concat_ws(", ", *[F.col(a).cast("string") for a in AXES]))
+            out = out.where(F.when(self.domain.inside(), True).otherwise(F.raise_error(where).cast("boolean")))
+        return self.with_df(out, moved)
 
     def within(self, low, high) -> ParticleSet:
         return self.with_df(self.df.where(self.domain.inside(low, high)))
@@ -70,6 +88,14 @@ class ParticleSet:
         edit.apply()
 
 
+def _unless(df: DataFrame, bad: DataFrame, what: str) -> DataFrame:
+    """``df``, raising if ``bad`` (new) has rows: a branch of the plan that counts them, and has no row itself."""
+    seen = bad.agg(F.count("*").alias("bad_n"), F.min("new").alias("bad_id"))
+    text = F.concat(F.lit(f"{what}: "), F.col("bad_n").cast("string"), F.lit(", such as "), F.coalesce(F.col("bad_id").cast("string"), F.lit("null")))
+    none = seen.where(F.when(F.col("bad_n") == 0, False).otherwise(F.raise_error(text).cast("boolean")))
+    return df.unionByName(none.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema]))
+
+
 class Edit:
     def __init__(self, base: ParticleSet):
         self.base, self.added, self.gone, self.result = base, [], [], base

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .domain import AXES, shell
 from .functions import potentials
-from .operators import coulomb, dynamics, multipole
+from .operators import coulomb, dynamics, hierarchy, multipole
 from .operators import pairs as P
 from .particles import Edit, wrapped_by_minimum
 from .plans.tables import CUTOFF, SQL, part, particles
@@ -461,9 +461,16 @@ def coulomb_nearest_direct(spark, sf):
 _found["coulomb_nearest_direct"] = (coulomb_nearest_direct, SQL + ", t as (select unnest([-1, 0, 1]) as v) " + _found["coulomb_nearest_direct"][1].removeprefix(SQL))
 
 
-@query()
+#: Half the sum over ordered pairs of the box and its 26 nearest images.
+_IMAGES = (
+    "0.5e0 * sum(a.q * b.q / sqrt(pow(b.x - a.x + i * a.e, 2) + pow(b.y - a.y + j * a.e, 2) + pow(b.z - a.z + k * a.e, 2))) from p a, p b, "
+    "(select unnest([-1, 0, 1]) as i), (select unnest([-1, 0, 1]) as j), (select unnest([-1, 0, 1]) as k) where a.gid <> b.gid or i <> 0 or j <> 0 or k <> 0"
+)
+
+
+@query(f"select round(energy, 6) as energy from (select {_IMAGES.replace(' from p a', ' as energy from p a', 1)})")
 def coulomb_images_direct(spark, sf):
-    """Rows only: all 26 nearest images; tests hold it against brute force."""
+    """All 26 nearest images."""
     return rounded(coulomb.nearest_images(particles(spark, sf)), "energy")
 
 
@@ -584,6 +591,29 @@ def fast_multipole_energy(spark, sf):
     return multipole.fmm(particles(spark, sf), levels=3, order=6).agg(F.sum("u").alias("energy"))
 
 
+@query("select round(sum(a.q * b.q / sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))), 1) as energy from p a join p b on a.gid < b.gid")
+def tree_energy(spark, sf):
+    """Expansions of order 10 over three levels: some 1e-7 of the direct sum, so one digit after the point is compared."""
+    return hierarchy.tree_energy(particles(spark, sf), 3, 10).select(F.round("energy", 1).alias("energy"))
+
+
+@query(f"select round(energy, 1) as energy from (select {_IMAGES.replace(' from p a', ' as energy from p a', 1)})")
+def tree_energy_images(spark, sf):
+    return hierarchy.tree_energy(particles(spark, sf), 3, 10, "27").select(F.round("energy", 1).alias("energy"))
+
+
+@query()
+def tree_energy_periodic(spark, sf):
+    """Rows only: all images; tests hold it against Ewald's sum."""
+    return hierarchy.tree_energy(particles(spark, sf), 3, 10, "pbc")
+
+
+@query()
+def periodic_direct_energy(spark, sf):
+    """Rows only: near images pair by pair, all further ones through the lattice sums; tests hold it against Ewald's sum."""
+    return hierarchy.periodic_direct(particles(spark, sf), 10)
+
+
 @query(
     "select gid, round(sqrt(x * x + y * y + z * z), 9) as r, round(atan2(sqrt(x * x + y * y), z), 9) as theta, round(atan2(y, x), 9) as phi from p"
 )

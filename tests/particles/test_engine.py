@@ -128,6 +128,32 @@ def test_edits_follow_ids(spark):
         s.inserted(spark.range(1).selectExpr("id as gid", "0.0 as x"))
 
 
+def test_edits_that_cannot_be_meant_raise(spark):
+    s = from_arrays(spark, Domain((4.0,) * 3), x=[0.0, 1.0, -1.0], y=[0.0] * 3, z=[0.0] * 3)
+    row = lambda *gids: spark.createDataFrame([(g, 0.5, 0.0, 0.0) for g in gids], "gid long, x double, y double, z double")
+    for bad in (row(2), row(7, 7), row(None)):
+        with pytest.raises(Exception, match="already"):
+            s.inserted(bad).df.collect()
+    assert s.inserted(row(7, 8)).count() == 5
+    for gone in ([1, 9], [0, 1, 2, 9]):
+        with pytest.raises(Exception, match="no particle has: 1, such as 9"):
+            s.removed(spark.createDataFrame([(g,) for g in gone], "gid long")).df.collect()
+    assert s.removed(s.df.select("gid")).df.collect() == []
+    moved = s.edited(x="x + 0.5", y=F.lit(0.25))
+    assert [(r.x, r.y) for r in moved.df.orderBy("gid").collect()] == [(0.5, 0.25), (1.5, 0.25), (-0.5, 0.25)] and moved.version > s.version
+    with pytest.raises(Exception, match="outside the box"):
+        s.edited(x="x + 1.5").df.collect()
+    with pytest.raises(ValueError):
+        s.edited(w="1")
+
+
+def test_pairs_of_particles_outside_the_box_raise(spark):
+    s = from_arrays(spark, Domain((4.0,) * 3), x=[1.95, 2.05], y=[0.0] * 2, z=[0.0] * 2)
+    with pytest.raises(Exception, match="outside the box"):
+        P.pair_table(s, 1.0).collect()
+    assert P.pair_table(s.wrapped(), 1.0).count() == 2
+
+
 def test_planes_re_enter_at_the_opposite_face(spark):
     domain = Domain((8.0,) * 3)
     for k, axis in enumerate(AXES):
