@@ -27,6 +27,8 @@ from .scratch import release
 #: Words of each of two generations that a worker remembers; rows that one recursion may produce; characters
 #: of texts coded at once (a longer text makes a slice of its own); DuckDB's memory in a worker.
 REMEMBER, STEP_ROWS, SLICE_CHARS, MEMORY = 160_000, 600_000, 1 << 19, "64MB"
+#: Tokens that one query decodes; a longer text is decoded in parts, joined in their order.
+DECODE_ROWS = 100_000
 #: Words of up to so many bytes contract one pair a step; in longer ones a step contracts every
 #: occurrence of the least pair where that provably comes to the same.
 SHORT = 32
@@ -115,7 +117,7 @@ class Codec:
         self.open()
 
     def open(self) -> None:
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
         self._table("merges", self.merges)
         self._table("vocabulary", self.vocabulary)
 
@@ -190,19 +192,22 @@ class Codec:
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each sequence of ids; an id that the vocabulary lacks raises ValueError."""
         sizes = np.array([len(x) for x in ids], np.int64)
-        out = [b""] * len(ids)
-        if sizes.sum():
-            rows = {"text": np.repeat(np.arange(len(ids)), sizes), "pos": np.arange(sizes.sum()), "tok": np.concatenate(ids).astype(np.int64)}
-            self._table("coded", pa.table(rows))
+        out: list[list[bytes]] = [[] for _ in ids]
+        if not sizes.sum():
+            return [b""] * len(ids)
+        tokens, text = np.concatenate(ids).astype(np.int64), np.repeat(np.arange(len(ids)), sizes)
+        for k in range(0, len(tokens), DECODE_ROWS):
+            part = slice(k, k + DECODE_ROWS)
+            self._table("coded", pa.table({"text": text[part], "pos": np.arange(len(tokens[part])), "tok": tokens[part]}))
             found = self.db.execute(
-                "SELECT text, string_agg(raw, '' ORDER BY pos) AS raw, count(*) AS n FROM coded JOIN vocabulary USING (tok) GROUP BY text"
+                "SELECT text, string_agg(raw, '' ORDER BY pos) AS raw, count(*) AS n FROM coded JOIN vocabulary USING (tok) GROUP BY text ORDER BY text"
             ).fetchall()
             self.db.execute("DROP TABLE coded")
-            if sum(n for _, _, n in found) < sizes.sum():
+            if sum(n for _, _, n in found) < len(tokens[part]):
                 raise ValueError("ids that are not in the vocabulary")
-            for text, raw, _ in found:
-                out[text] = raw.encode("latin-1")
-        return out
+            for own, raw, _ in found:
+                out[own].append(raw.encode("latin-1"))
+        return [b"".join(parts) for parts in out]
 
 
 _codecs: dict[tuple[str, str], Codec] = {}

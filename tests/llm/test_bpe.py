@@ -101,3 +101,11 @@ def test_unknown_ids_raise(raw):
 
 def test_empty(spark):
     assert bpe.encoded(frame(spark).limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_very_long_texts_are_decoded_in_parts():
+    """Millions of characters, many distinct words and numbers: more tokens than one query of bounded memory holds."""
+    own = bpe.codec(open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read(), public_tokenizers.PATTERN)
+    texts = ["".join(f" w{k % 4999} {k % 100_003}" for k in range(500_000)), "", " ".join(f"{k * 7919 % 1_000_003:x}é" for k in range(120_000))]
+    ids = own.encode(texts)
+    assert len(ids[0]) > 8 * bpe.DECODE_ROWS and [x.decode() for x in own.decode(ids)] == texts
