@@ -224,20 +224,30 @@ def _array(table: pa.Table, name: str) -> np.ndarray:
 
 def _blob(numbers: np.ndarray) -> bytes:
     """Ascending 64-bit numbers as the steps between them, plane by plane and compressed."""
-    planes = np.diff(numbers, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T
-    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+    return _wide(np.diff(numbers, prepend=0))
 
 
 def _unblob(raw: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_unwide(raw, n))
+
+
+def _wide(numbers: np.ndarray) -> bytes:
+    planes = numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unwide(raw: bytes, n: int) -> np.ndarray:
     planes = np.frombuffer(pa.decompress(raw, decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
-    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8").ravel())
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8").ravel()
 
 
 #: The sequence of a shard in ids of the corpus (bucket null), and its pairs by bucket with their counts.
 INDEXED = pa.schema([("shard", pa.int64()), ("bucket", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 #: Frequent pairs of a shard (keys), and each frequent pair with its count over all shards (k1, f).
 MERGED = pa.schema([("shard", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("k1", pa.int64()), ("f", pa.int64())])
-GRAMS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64())])
+#: Triples and quadruples of a shard by bucket, and each frequent one with its count over all shards.
+GRAMS = pa.schema([("bucket", pa.int64()), ("n", pa.int64()), ("k1", pa.binary()), ("k2", pa.binary()), ("counts", pa.binary())])
+LONGER = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("f", pa.int64())])
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -300,7 +310,7 @@ def _merged(width: int):
     return merged
 
 
-def _grams(width: int):
+def _grams(buckets: int, width: int):
     def grams(seqs: pa.Table, side: pa.Table) -> pa.Table:
         if not seqs.num_rows or not side.num_rows:
             return GRAMS.empty_table()
@@ -324,14 +334,36 @@ def _grams(width: int):
             level = index.right(level) if size % 2 else index.left(level)
             words, n = index.counted(level)
             k2 = words[:, 2] if size == 3 else (words[:, 2] << 32) | words[:, 3]
-            found.append(pa.table([pa.array((words[:, 0] << 32) | words[:, 1]), pa.array(k2), pa.array(n)], schema=GRAMS))
-        del index, level, words, out, sequence, pairs, key
+            found.append((words[:, 0] << 32 | words[:, 1], k2, n))
+        k1, k2, n = (np.concatenate(x) for x in zip(*found, strict=True))
+        del index, level, words, out, sequence, pairs, key, found
+        bucket = (mix(k1.view(np.uint64) ^ mix(k2.view(np.uint64))) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((k1, bucket))
+        k1, k2, n, bucket = k1[order], k2[order], n[order], bucket[order]
+        first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(k1) else np.zeros(0, np.int64)
+        ends = [*first[1:].tolist(), len(k1)]
+        rows = [(int(bucket[a]), b - a, _blob(k1[a:b]), _wide(k2[a:b]), packed(n[a:b])) for a, b in zip(first.tolist(), ends, strict=False)]
         release()
-        return pa.concat_tables(found)
+        return _cells(GRAMS, rows)
 
     return grams
 
 
+def _longer(table: pa.Table) -> pa.Table:
+    """The frequent ones of a bucket over all shards."""
+    sizes = table.column("n").to_pylist()
+    k1, k2, n = (
+        np.concatenate([read(c.as_py(), m) for c, m in zip(table.column(name), sizes, strict=True)])
+        for name, read in (("k1", _unblob), ("k2", _unwide), ("counts", unpacked))
+    )
+    order = np.lexsort((k2, k1))
+    k1, k2, n = k1[order], k2[order], n[order].astype(np.int64)
+    first = np.flatnonzero(np.append(True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])))
+    total = np.add.reduceat(n, first)
+    first, total = first[total >= LEAST], total[total >= LEAST]
+    return pa.table([pa.array(k1[first]), pa.array(k2[first]), pa.array(total)], schema=LONGER)
+
+
 def _numbered(words: DataFrame) -> DataFrame:
     """``words`` with ids from 2 on, dense: a place in its partition and the rows of the partitions before."""
     own = written(words.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("row")), "words")
@@ -361,8 +393,8 @@ def _counts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     pairs = written(indexed.where("bucket is not null").groupBy("bucket").applyInArrow(_merged(width), _ddl(MERGED)), "pairs")
     sequences = indexed.where("bucket is null").select("shard", "n", "keys")
     side = pairs.where("keys is not null").select("shard", "n", "keys")
-    grams = sequences.groupBy("shard").cogroup(side.groupBy("shard")).applyInArrow(_grams(width), _ddl(GRAMS))
-    longer = grams.groupBy("k1", "k2").agg(F.sum("n").alias("f")).where(F.col("f") >= LEAST)
+    grams = sequences.groupBy("shard").cogroup(side.groupBy("shard")).applyInArrow(_grams(buckets, width), _ddl(GRAMS))
+    longer = grams.groupBy("bucket").applyInArrow(_longer, _ddl(LONGER))
     none = F.lit(0).cast("long").alias("k2")
     single = known.select(F.col("id").alias("k1"), none, "f")
     double = pairs.where("keys is null").select("k1", none, "f")
