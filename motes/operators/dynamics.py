@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..domain import AXES
 from ..functions.potentials import Potential
+from ..functions.random import normal, uniforms
 from ..particles import ParticleSet
 from .pairs import accumulated, all_pairs, both_sides, pair_table
 
@@ -41,13 +42,16 @@ def verlet_second(df: DataFrame, dt: float) -> DataFrame:
     return df.withColumns(kick(dt))
 
 
-def thermostat(df: DataFrame, dt: float, rate: float, temperature: float, seed: int = 0) -> DataFrame:
-    """With probability dt * rate a velocity is drawn anew from the normal distribution of variance T / m."""
-    redraw = F.rand(seed) < dt * rate
-    out = df.withColumn("redraw", redraw)
-    return out.withColumns(
-        {f"v{a}": F.when(F.col("redraw"), F.randn(seed + 1 + k) * F.sqrt(temperature / F.col("mass"))).otherwise(F.col(f"v{a}")) for k, a in enumerate(AXES)}
-    ).drop("redraw")
+def thermostat(df: DataFrame, dt: float, rate: float, temperature: float, seed: int = 0, step: int = 0) -> DataFrame:
+    """With probability dt * rate a velocity is drawn anew from the normal distribution of variance T / m.
+
+    Draws are keyed by seed, step and gid, so a trajectory does not depend on partitions or on retries.
+    """
+    drawn = uniforms(df, 7, seed, step, "draw_")
+    width = F.sqrt(temperature / F.col("mass"))
+    redraw = F.col("draw_0") <= dt * rate
+    new = {f"v{a}": F.when(redraw, normal(F.col(f"draw_{2 * k + 1}"), F.col(f"draw_{2 * k + 2}")) * width).otherwise(F.col(f"v{a}")) for k, a in enumerate(AXES)}
+    return drawn.withColumns(new).drop(*[f"draw_{k}" for k in range(7)])
 
 
 def kinetic_energy(df: DataFrame) -> DataFrame:

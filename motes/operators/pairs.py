@@ -34,15 +34,26 @@ def with_cells(df: DataFrame, domain: Domain, n: tuple[int, int, int]) -> DataFr
 
 
 def listed(df: DataFrame, domain: Domain, n: tuple[int, int, int], offsets: Sequence[tuple[int, int, int]]) -> DataFrame:
-    """``df`` under every cell around its own: ``key``, positions shifted by whole boxes, and the shifts in boxes."""
+    """``df`` under every cell around its own: ``key``, positions shifted by whole boxes, the shifts in boxes, and ``home``
+    for the listing under the cell itself."""
     out = with_cells(df, domain, n).select("*", _offsets(offsets).alias("o"))
     shift = {f"s{a}": (-F.floor((F.col(f"c{a}") + F.col(f"o.o{a}")) / k)).cast("int") for a, k in zip(AXES, n, strict=True)}
-    out = out.withColumns(shift)
+    out = out.withColumns(shift).withColumn("home", F.expr("o.ox = 0 and o.oy = 0 and o.oz = 0"))
     moved = {f"c{a}": F.pmod(F.col(f"c{a}") + F.col(f"o.o{a}"), F.lit(k)) for a, k in zip(AXES, n, strict=True)}
     moved |= {a: F.col(a) + e * F.col(f"s{a}") for a, e in zip(AXES, domain.extent, strict=True)}
     return out.withColumns(moved).withColumn("key", cell_key(domain, n)).drop("o", "cx", "cy", "cz")
 
 
+def forward(offsets: Sequence[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The zero offset and one of each two opposite ones: 14 of 27.
+
+    A pair (i, j, shift) is met under one offset alone, cell(i) - cell(j) less the shift in cells, and its reverse under
+    the opposite one. So half of the offsets meets each pair once in boxes of any number of cells, images of a particle
+    by itself included; under the zero offset both orders meet, and i < j chooses.
+    """
+    return [o for o in offsets if o >= (0, 0, 0)]
+
+
 def pair_table(
     particles: ParticleSet, cutoff: float, columns: Sequence[str] = (), mode: str = "ordered", only: int | None = None, salt: int = 1, sub: int = 1,
     others: ParticleSet | None = None,
@@ -50,18 +61,24 @@ def pair_table(
     """Pairs (i, j, sx, sy, sz, dx, dy, dz, r2, and ``columns`` with _i and _j); R = r_j - r_i.
 
     ``ordered``: every i and image of j within the cutoff, inclusive, but the unshifted self pair.
-    ``half``: each of those pairs once. ``cells``: all of the 27 cells, without a distance filter.
+    ``half``: each of those pairs once, listed from the forward half of the stencil alone (``forward``); i is the one
+    that the other's cell is moved onto, or the smaller within a cell. ``cells``: all of the 27 cells, without a distance filter.
     ``only``: a single i. ``sub``: cells that many times finer than the cutoff. ``others``: where j comes
     from (probe rows against sources); no pair is then a self pair.
     """
     domain = particles.domain
     n = tuple(k * sub for k in domain.cell_counts(cutoff))
     offsets = stencil(tuple(e / k for e, k in zip(domain.extent, n, strict=True)), cutoff) if sub > 1 else [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
+    if mode == "half":
+        if only is not None or others is not None:
+            raise ValueError("half pairs have no side of their own: neither one particle nor other sources can be asked for")
+        offsets = forward(offsets)
     left = particles.df if only is None else particles.df.where(F.col("gid") == only)
     left = with_cells(left.select("gid", *AXES, *columns), domain, n).withColumn("key", cell_key(domain, n))
     left = left.select(F.col("gid").alias("i"), "key", *[F.col(a).alias(f"{a}_i") for a in AXES], *[F.col(c).alias(f"{c}_i") for c in columns])
     right = listed((others or particles).df.select("gid", *AXES, *columns), domain, n, offsets)
-    right = right.select(F.col("gid").alias("j"), "key", "sx", "sy", "sz", *[F.col(a).alias(f"{a}_j") for a in AXES], *[F.col(c).alias(f"{c}_j") for c in columns])
+    own = ["home"] if mode == "half" else []
+    right = right.select(F.col("gid").alias("j"), "key", *own, "sx", "sy", "sz", *[F.col(a).alias(f"{a}_j") for a in AXES], *[F.col(c).alias(f"{c}_j") for c in columns])
     keys = ["key"]
     if salt > 1:
         left = left.withColumn("salt", F.pmod(F.col("i"), F.lit(salt)).cast("int"))
@@ -73,7 +90,7 @@ def pair_table(
     if others is None:
         pairs = pairs.where("not (i = j and sx = 0 and sy = 0 and sz = 0)")
     if mode == "half":
-        pairs = pairs.where("i < j or (i = j and (sx > 0 or (sx = 0 and (sy > 0 or (sy = 0 and sz > 0)))))")
+        pairs = pairs.where("not home or i < j").drop("home")
     elif mode not in ("ordered", "cells"):
         raise ValueError(f"no such mode: {mode}")
     return pairs if mode == "cells" else pairs.where(F.col("r2") <= cutoff * cutoff)
@@ -107,7 +124,15 @@ def both_sides(pairs: DataFrame, values: dict[str, tuple[Column, Column]]) -> Da
 
 def neighbour_list(particles: ParticleSet, cutoff: float) -> DataFrame:
     """(gid, n, neighbours): each particle's partners sorted, a row for those without too."""
-    pairs = pair_table(particles, cutoff)
+    return _lists(particles, pair_table(particles, cutoff))
+
+
+def half_neighbour_list(particles: ParticleSet, cutoff: float) -> DataFrame:
+    """(gid, n, neighbours): each pair in the list of one of its two particles, as ``pair_table`` chooses it; sorted, a row for those without too."""
+    return _lists(particles, pair_table(particles, cutoff, mode="half"))
+
+
+def _lists(particles: ParticleSet, pairs: DataFrame) -> DataFrame:
     lists = pairs.groupBy("i").agg(F.array_sort(F.collect_list("j")).alias("found"))
     joined = particles.df.select("gid").join(lists, F.col("gid") == F.col("i"), "left")
     return joined.select("gid", F.coalesce(F.size("found"), F.lit(0)).alias("n"), F.coalesce("found", F.array().cast("array<bigint>")).alias("neighbours"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..domain import AXES
 from ..functions.potentials import Potential
-from ..operators.dynamics import energy_and_force, kinetic_energy, max_displacement, verlet_first, verlet_second
+from ..operators.dynamics import energy_and_force, kinetic_energy, max_displacement, thermostat, verlet_first, verlet_second
 from ..operators.pairs import pair_table
 from ..particles import ParticleSet
 
@@ -67,6 +67,15 @@ class RebuildPolicy:
         self.moved, self.steps = 0.0, 0
 
 
+@dataclass(frozen=True)
+class HeatBath:
+    """An Andersen thermostat: after a step a particle's velocity is drawn anew with probability ``rate`` times the step's length."""
+
+    temperature: float
+    rate: float
+    seed: int = 0
+
+
 @dataclass
 class Trajectory:
     """Energies by step, and the last state."""
@@ -94,9 +103,10 @@ def _forces(state: ParticleSet, potential: Potential, table: DataFrame) -> Parti
     return state.with_df(rest.join(found, "gid"), moved=False)
 
 
-def integrator_range(steps: int, state: ParticleSet, potential: Potential, dt: float, skin: float = 0.2, reuse: int = 10, keep: int = 5) -> Iterator[tuple[int, ParticleSet]]:
+def integrator_range(steps: int, state: ParticleSet, potential: Potential, dt: float, skin: float = 0.2, reuse: int = 10, keep: int = 5, bath: HeatBath | None = None) -> Iterator[tuple[int, ParticleSet]]:
     """Velocity Verlet, yielding (step, state) with forces and u; step 0 is the start. Positions leave the box
-    between rebuilds, when they are wrapped; a wrapped position and its pairs stay the same particle by gid."""
+    between rebuilds, when they are wrapped; a wrapped position and its pairs stay the same particle by gid. With a
+    ``bath``, the second half of a step ends with its redraws."""
     policy = RebuildPolicy(skin, reuse)
     state = state.wrapped()
     table = pair_table(state, potential.cutoff + skin).select("i", "j", "sx", "sy", "sz").persist()
@@ -113,6 +123,8 @@ def integrator_range(steps: int, state: ParticleSet, potential: Potential, dt: f
             table = pair_table(moved, potential.cutoff + skin).select("i", "j", "sx", "sy", "sz").persist()
         state = _forces(moved, potential, table)
         state = state.with_df(verlet_second(state.df, dt), moved=False)
+        if bath:
+            state = state.with_df(thermostat(state.df, dt, bath.rate, bath.temperature, bath.seed, step), moved=False)
         if step % keep == 0 or step == steps:
             state = state.with_df(cut(state.df), moved=False)
         yield step, state

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .domain import AXES, shell
 from .functions import potentials
+from .functions import random as RANDOM
 from .operators import coulomb, dynamics, hierarchy, multipole
 from .operators import pairs as P
 from .particles import Edit, wrapped_by_minimum
@@ -264,6 +265,23 @@ def half_pairs(spark, sf):
     return rounded(P.pair_table(particles(spark, sf), CUTOFF, mode="half").agg(F.count("*").alias("n"), F.sum("r2").alias("total")), "total")
 
 
+@query(
+    """select gid, count(j) as n, coalesce(string_agg(j, ',' order by j), '') as neighbours from p left join (select i, j from (
+    select i, j, a.cx - b.cx + a.m * round((bx - ax) / e) as ox, a.cy - b.cy + a.m * round((b_y - a_y) / e) as oy, a.cz - b.cz + a.m * round((bz - az) / e) as oz from pairs
+    join (select gid, cx, cy, cz, m, e, x as ax, y as a_y, z as az from g) a on a.gid = i join (select gid, cx, cy, cz, x as bx, y as b_y, z as bz from g) b on b.gid = j)
+    where ox > 0 or (ox = 0 and (oy > 0 or (oy = 0 and (oz > 0 or (oz = 0 and i < j)))))) on gid = i group by gid"""
+)
+def half_neighbour_list(spark, sf):
+    out = P.half_neighbour_list(particles(spark, sf), CUTOFF)
+    return out.select("gid", F.col("n").cast("long").alias("n"), F.array_join("neighbours", ",").alias("neighbours"))
+
+
+_found["half_neighbour_list"] = (
+    half_neighbour_list,
+    SQL + f", g as (select *, {_CELLS}, floor(e / 2e0)::int as m from p) " + _found["half_neighbour_list"][1].removeprefix(SQL),
+)
+
+
 @query("select count(*) as n, round(sum(r2), 6) as total from pairs")
 def sub_cell_pairs(spark, sf):
     return rounded(P.pair_table(particles(spark, sf), CUTOFF, sub=2).agg(F.count("*").alias("n"), F.sum("r2").alias("total")), "total")
@@ -426,6 +444,34 @@ def thermostat_frame(spark, sf):
     return out.agg(F.count("*").alias("n"), r6(F.sum("x")).alias("total"), (F.round(F.stddev_samp("vx"), 1) > 0.4).alias("moving"))
 
 
+def _mixed_sql(h: str) -> str:
+    """The mixer of ``functions.random`` around an expression, a lambda a step."""
+    out = f"[{h}]"
+    for shift, factor in zip(RANDOM.SHIFTS, (*RANDOM.FACTORS, 1), strict=True):
+        out = f"list_transform({out}, lambda h: (xor(h, h >> {shift}) * {factor}::bigint) & {RANDOM.MASK})"
+    return f"{out}[1]"
+
+
+def _lane_sql(lane: int) -> str:
+    return _mixed_sql(f"xor(gid & {RANDOM.MASK}, {RANDOM.start(lane, 3, 5)}::bigint)")
+
+
+@query(
+    f""", l0 as (select gid, {_lane_sql(0)} as a, {_lane_sql(1)} as b from p),
+    l1 as (select gid, {_mixed_sql("xor(a, gid >> 32)")} as a, {_mixed_sql("xor(b, gid >> 32)")} as b from l0),
+    l2 as (select gid, k, {_mixed_sql("xor(a, k)")} as a, {_mixed_sql("xor(b, k)")} as b from (select *, unnest(range(0, 7)) as k from l1)),
+    u as (select gid, {", ".join(f"max(case when k = {k} then (a * 2097152 + (b >> 11) + 1) / 9007199254740992e0 end) as u{k}" for k in range(7))} from l2 group by gid)
+    select gid, u0 <= 0.25e0 as redrawn, {", ".join(f"round(case when u0 <= 0.25e0 then sqrt(-2 * ln(u{2 * k + 1})) * cos(2 * pi() * u{2 * k + 2}) * sqrt(1.5e0 / mass) else v{a} end, 6) + 0e0 as v{a}" for k, a in enumerate(AXES))}
+    from u join p using (gid)"""
+)
+def thermostat_redraws(spark, sf):
+    before = particles(spark, sf).df
+    out = dynamics.thermostat(before, 0.5, 0.5, 1.5, seed=3, step=5)
+    old = before.select("gid", *[F.col(f"v{a}").alias(f"w{a}") for a in AXES])
+    redrawn = F.expr("not (vx = wx and vy = wy and vz = wz)")
+    return rounded(out.join(old, "gid").select("gid", redrawn.alias("redrawn"), "vx", "vy", "vz"), "vx", "vy", "vz")
+
+
 # --- electrostatics
 
 _ALPHA, _KMAX = 0.35, 2
