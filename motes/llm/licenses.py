@@ -56,7 +56,8 @@ def pieces(notice: Notice) -> list[tuple[int, bytes]]:
     return [(a, raw[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-_PATTERNS = {n: regex.compile(rf"(?<![^ ])(?:{regex.escape(n.text)}){{e<={n.edits}}}(?![^ ])", regex.ENHANCEMATCH) for n in NOTICES}
+#: Searched with a space in front: the library inserts nothing at the place where a search begins, and that is no place of a word then.
+_PATTERNS = {n: regex.compile(rf"(?<![^ ])(?=[^ ])(?:{regex.escape(n.text)}){{e<={n.edits}}}(?![^ ])", regex.ENHANCEMATCH) for n in NOTICES}
 #: Bytes that a character of the normalised text has at most: what an edit may add to a match.
 WIDEST = 4
 
@@ -81,8 +82,8 @@ def matches(text: bytes, windows: dict[Notice, list[tuple[int, int]]]) -> list[t
     found = []
     for notice, spans in windows.items():
         for a, b in _merged(spans):
-            part = text[a:b].decode()
-            before = text.count(b" ", 0, a)
+            part = " " + text[a:b].decode()
+            before = text.count(b" ", 0, a) - 1
             for m in _PATTERNS[notice].finditer(part):
                 start = before + part.count(" ", 0, m.start())
                 errors = sum(m.fuzzy_counts)
