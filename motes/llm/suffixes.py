@@ -258,23 +258,30 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-_LEVEL = "key long, wide int, narrow int, anchor long, content binary, single boolean, places array<int>, data binary"
+_LEVEL = "key long, string binary, wide int, narrow int, anchor long, content binary, single boolean, places array<int>, data binary"
 
 
 def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contents under a context dealt by longer ones: a row for each, with the places it would start windows at; a context
-    that is a whole window needs no bytes."""
-    names = ["key", "wide", "narrow", "anchor", "content", "single", "places", "data"]
+    that is a whole window needs no bytes, and its 128-bit digest (``string``, else empty) tells windows of one key apart."""
+    names = ["key", "string", "wide", "narrow", "anchor", "content", "single", "places", "data"]
     for batch in batches:
         out: list[list] = [[] for _ in names]
-        for key, left, right, anchor, content, single, data in zip(*(_column(batch, k).to_pylist() for k in names if k != "places"), strict=True):
+        for key, left, right, anchor, content, single, data in zip(*(_column(batch, k).to_pylist() for k in names if k not in ("string", "places")), strict=True):
             there = np.flatnonzero(gram_hashes(np.frombuffer(data, np.uint8)).view(np.int64) == anchor).tolist()
             places = [p for (k, _, _), at in _keys_at(data, there, 0, len(data), [(left, right)]).items() if k == key for p in at]
             for (k, a, b), at in _keys_at(data, [p + left for p in places], 0, len(data), contexts(left, right, PARTS)).items():
-                rest = data if a + b < SPARE else None
-                for column, value in zip(out, (k, a, b, anchor, content, single, at, rest), strict=True):
-                    column.append(value)
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.bool_(), pa.list_(pa.int32()), pa.binary())
+                if a + b < SPARE:
+                    level = [(b"", at, data)]
+                else:
+                    windows: dict[bytes, list[int]] = {}
+                    for p in at:
+                        windows.setdefault(hashlib.blake2b(data[p : p + LENGTH], digest_size=16).digest(), []).append(p)
+                    level = [(string, same, None) for string, same in windows.items()]
+                for string, same, rest in level:
+                    for column, value in zip(out, (k, string, a, b, anchor, content, single, same, rest), strict=True):
+                        column.append(value)
+        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.bool_(), pa.list_(pa.int32()), pa.binary())
         yield pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
 
 
@@ -283,9 +290,9 @@ def _dealt_longer(large: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
     small, whole = [], []
     for _ in range(SPARE):
         level = written(large.mapInArrow(_longer, _LEVEL), "longer")
-        size = level.groupBy("key").agg(F.sum(F.size("places")).alias("n"), F.max("single").alias("single"), F.sum(F.length("data")).alias("bytes"))
-        size = written(size.where("single and n > 1").select("key", (F.col("bytes") > BUCKET).alias("large")), "sizes")
-        kept = level.join(size, "key")
+        size = level.groupBy("key", "string").agg(F.sum(F.size("places")).alias("n"), F.max("single").alias("single"), F.sum(F.length("data")).alias("bytes"))
+        size = written(size.where("single and n > 1").select("key", "string", (F.col("bytes") > BUCKET).alias("large")), "sizes")
+        kept = level.join(size, ["key", "string"])
         whole.append(kept.where(f"wide + narrow = {SPARE}").select("anchor", "content", "places"))
         open_ = kept.where(f"wide + narrow < {SPARE}")
         small.append(open_.where("not large").select("key", "anchor", "content", "data"))

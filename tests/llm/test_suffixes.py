@@ -72,3 +72,25 @@ def test_passages_in_many_contexts(spark, monkeypatch):
 
 def test_empty(spark):
     assert S.suffix_dedup(frame(spark).limit(0)).count() == 0
+
+
+def test_windows_of_one_key_are_told_apart(monkeypatch):
+    """Keys of whole windows made to clash: the digest keeps different strings apart."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    gram = bytes(rng.choices(b"abcdefgh", k=S.GRAM))
+    texts = [bytes(rng.choices(b"abcdefgh", k=S.SPARE)) + gram for _ in range(3)]
+    texts.append(texts[0])
+    anchor = int(S.gram_hashes(np.frombuffer(gram, np.uint8)).view(np.int64)[0])
+    monkeypatch.setattr(S, "context_key", lambda data, place, left, right: left)
+    left = S.SPARE - 1
+    cols = {
+        "key": pa.array([left] * 4), "wide": pa.array([left] * 4, pa.int32()), "narrow": pa.array([0] * 4, pa.int32()), "anchor": pa.array([anchor] * 4),
+        "content": pa.array([bytes([k]) for k in range(4)]), "single": pa.array([True] * 4), "data": pa.array(texts, pa.binary()),
+    }
+    (out,) = S._longer(iter([pa.record_batch(list(cols.values()), list(cols))]))
+    rows = out.to_pylist()
+    assert {r["places"][0] for r in rows} == {0} and all(r["data"] is None and r["wide"] + r["narrow"] == S.SPARE for r in rows)
+    assert {r["key"] for r in rows} == {rows[0]["key"]}
+    assert rows[0]["string"] == rows[3]["string"] and len({r["string"] for r in rows}) == 3
