@@ -182,6 +182,13 @@ def _encoder(model: str, special: bool) -> Encoder:
     return Encoder(model, special)
 
 
+def _let_go() -> None:
+    """Drops the words that this worker remembers from writing, which later stages do not ask for, and gives the memory back."""
+    if _encoder.cache_info().currsize:
+        _encoder.cache_clear()
+        release()
+
+
 def _groups(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
     """Runs of texts of about a piece together; a text beyond that stands alone."""
     held: list[bytes] = []
@@ -268,6 +275,7 @@ def shard_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def _listed(width: int):
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _let_go()
         for batch in batches:
             for shard, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids, known, counts = directory(memoryview(raw.as_buffer()), width)
@@ -372,6 +380,7 @@ INDEX = "part long, sizes binary, bits binary, " + ", ".join(f"{c} binary" for c
 
 def _indexed(table: pa.Table) -> pa.Table:
     table = table.combine_chunks()
+    _let_go()
     keys = _column(table, "key", np.int64).view(np.uint64)
     function = PerfectHash.of(keys)
     slot = function.slots(keys)
@@ -403,6 +412,7 @@ LOCATED = "doc_id long, occurrence long, shard long, at long, n long, start long
 
 
 def _found(keys: pa.Table, part: pa.Table) -> pa.Table:
+    _let_go()
     keys = keys.combine_chunks()
     names = ["shard", "at", "n", "start"]
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "occurrence", *names)])
@@ -433,6 +443,7 @@ def locate(found: DataFrame, parts: int, keys: DataFrame) -> DataFrame:
 
 def _fetched(width: int):
     def fetched(places: pa.Table, files: pa.Table) -> pa.Table:
+        _let_go()
         schema = pa.schema([("doc_id", pa.int64()), ("occurrence", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
         if not places.num_rows or not files.num_rows:
             return schema.empty_table()
