@@ -441,10 +441,11 @@ def locate(found: DataFrame, parts: int, keys: DataFrame) -> DataFrame:
     return keys.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_found, LOCATED)
 
 
-def _fetched(width: int):
+def _fetched(width: int, digests: bool):
     def fetched(places: pa.Table, files: pa.Table) -> pa.Table:
         _let_go()
-        schema = pa.schema([("doc_id", pa.int64()), ("occurrence", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+        last = pa.field("ids_crc32", pa.int64()) if digests else pa.field("ids", pa.binary())
+        schema = pa.schema([*[(c, pa.int64()) for c in ("doc_id", "occurrence", "start", "n_tokens")], last])
         if not places.num_rows or not files.num_rows:
             return schema.empty_table()
         places = places.combine_chunks()
@@ -459,26 +460,22 @@ def _fetched(width: int):
         doc = np.minimum(doc, len(ids) - 1)
         right &= (begin[doc] == at) & (counts[doc] == n) & (known[doc] == ~absent) & (absent | (ids[doc] == own))
         places, at, n = places.filter(pa.array(right)), at[right], n[right]
-        cut = [bytes(raw[a * width : (a + m) * width]) for a, m in zip(at.tolist(), n.tolist(), strict=True)]
-        return pa.table([places.column("doc_id"), places.column("occurrence"), places.column("start"), pa.array(n), pa.array(cut, pa.binary())], schema=schema)
+        cut = (raw[a * width : (a + m) * width] for a, m in zip(at.tolist(), n.tolist(), strict=True))
+        if digests:
+            found = pa.array([zlib.crc32(np.frombuffer(x, _kind(width)).astype("<u4")) for x in cut], pa.int64())
+        else:
+            found = pa.array([bytes(x) for x in cut], pa.binary())
+        return pa.table([places.column("doc_id"), places.column("occurrence"), places.column("start"), pa.array(n), found], schema=schema)
 
     return fetched
 
 
-def fetch(spark: SparkSession, folder: str, width: int, places: DataFrame) -> DataFrame:
-    """(doc_id, occurrence, start, n_tokens, ids: bytes in the files' width) read from the shard files at ``places``."""
+def fetch(spark: SparkSession, folder: str, width: int, places: DataFrame, digests: bool = False) -> DataFrame:
+    """(doc_id, occurrence, start, n_tokens, ids: bytes in the files' width) read from the shard files at ``places``;
+    with ``digests`` ids_crc32 (of the ids as little-endian 32-bit integers) in place of the ids, taken where they are read."""
     files = shard_files(spark, folder)
-    schema = "doc_id long, occurrence long, start long, n_tokens long, ids binary"
-    return places.groupBy("shard").cogroup(files.groupBy("shard")).applyInArrow(_fetched(width), schema)
-
-
-def _crc(width: int):
-    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums = [zlib.crc32(np.frombuffer(x.as_buffer(), _kind(width)).astype("<u4")) for x in batch.column(3)]
-            yield pa.record_batch([*batch.columns[:3], pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return crc
+    schema = "doc_id long, occurrence long, start long, n_tokens long, " + ("ids_crc32 long" if digests else "ids binary")
+    return places.groupBy("shard").cogroup(files.groupBy("shard")).applyInArrow(_fetched(width, digests), schema)
 
 
 def token_shards(docs: DataFrame, model_file: str, end_id: int = 1, special: bool = False) -> DataFrame:
@@ -495,5 +492,5 @@ def token_shards(docs: DataFrame, model_file: str, end_id: int = 1, special: boo
     found, parts = index(written(listing(spark, folder, width), "entries"))
     keys = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count()
     keys = keys.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("occurrence"))
-    rows = fetch(spark, folder, width, locate(found, parts, keys))
-    return rows.select("doc_id", "start", "n_tokens", "ids").mapInArrow(_crc(width), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = fetch(spark, folder, width, locate(found, parts, keys), digests=True)
+    return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
