@@ -37,6 +37,8 @@ PIECE_BYTES = 1 << 20
 MEMO_WORDS, MEMO_BYTES = 400_000, 24 << 20
 #: Words it keeps then.
 KEPT_WORDS = 100_000
+#: Runs of signs behind words that it remembers.
+TAILS = 4096
 #: Bits a key of a level of the hash function, and levels before the rest is listed by name.
 SPREAD, LEVELS = 1.7, 48
 #: The letters that byte-level models write for those bytes of small Latin-1 letters that do not print.
@@ -45,10 +47,10 @@ BYTE_LETTERS = {159: 321, 160: 322, 173: 323}
 MAGIC = b"IDSHARD1"
 
 _MARKS = re.compile(rb"[\xcc-\xf7]")
-#: Small letters of ASCII and Latin-1, and signs behind them: two pre-tokens at most, each of them as it stands.
-_SIMPLE = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([.,;:!?]*)")
+#: Small letters of ASCII and Latin-1, and signs of ASCII behind them: two pre-tokens at most, each of them as it stands.
+_SIMPLE = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
 #: Words that the model itself must split as the whole tokenizer does, or it is not asked alone.
-PROBE = ["the", "unquestionable", "d\u00e9j\u00e0", "ma\u00f1ana,", "\u00edndice...", "stra\u00dfenb\u00e4hnchen!", "xqzvt;"]
+PROBE = ["the", "unquestionable", "d\u00e9j\u00e0", "ma\u00f1ana,", "\u00edndice...", "stra\u00dfenb\u00e4hnchen!", "xqzvt;", "it'", "word###", "n<|&"]
 _GAP = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 
@@ -83,6 +85,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.encode_special_tokens = not special
+        self.tokenize = self.tokenizer.model.tokenize
         # no k or i: other characters than A-Z become those in lower case
         whole = sorted(t for t in self.tokenizer.get_vocab(with_added_tokens=False) if re.fullmatch(r"[a-hjl-z]{8,}</w>", t))
         self.mark = whole[0].removesuffix("</w>")
@@ -106,9 +109,11 @@ class Encoder:
     def _direct(self, found: re.Match) -> list[int]:
         """Letters, a word to the model as it stands, and signs behind them."""
         word = found[1]
-        ids = [t.id for t in self.tokenizer.model.tokenize(word.decode() if word.isascii() else word.decode("latin-1").translate(BYTE_LETTERS))]
+        ids = [t.id for t in self.tokenize(word.decode() if word.isascii() else word.decode("latin-1").translate(BYTE_LETTERS))]
         if tail := found[2]:
             if tail not in self.tails:
+                if len(self.tails) >= TAILS:
+                    self.tails.clear()
                 self.tails[tail] = self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids
             ids += self.tails[tail]
         return ids
@@ -123,12 +128,19 @@ class Encoder:
 
     def _learn(self) -> None:
         fresh, self.memo.fresh = self.memo.fresh, []
-        at = len(self.memo) - len(fresh)
+        at, tokenize = len(self.memo) - len(fresh), self.tokenize
         for k in range(0, len(fresh), 4096):
             part = fresh[k : k + 4096]
-            simple = [_SIMPLE.fullmatch(w) if self.direct else None for w in part]
-            lists = [self._direct(m) if m else [] for m in simple]
-            others = [j for j, m in enumerate(simple) if not m]
+            lists: list[list[int]] = []
+            others: list[int] = []
+            for j, w in enumerate(part):
+                if self.direct and w.isalpha() and w.islower():  # of bytes: a-z alone
+                    lists.append([t.id for t in tokenize(w.decode())])
+                elif self.direct and (found := _SIMPLE.fullmatch(w)):
+                    lists.append(self._direct(found))
+                else:
+                    lists.append([])
+                    others.append(j)
             if others:
                 for j, ids in zip(others, self._together([part[j].decode("utf-8", "replace") for j in others]), strict=True):
                     lists[j] = ids

@@ -31,6 +31,18 @@ def plain(rows):
     return seen
 
 
+def test_signs_behind_words():
+    encoder = S.Encoder(Path(MODEL).read_text(), False)
+    assert encoder.direct
+    signs = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    tails = [a + b for a in signs for b in ["", *signs]] + ["'''", "%%%,", "<|endoftext|>", "<||>", "'s'", "'" * 40]
+    texts = [f"{w}{t}" for w in ("word", "it", "été", "ßa", "a") for t in tails]
+    t = Tokenizer.from_file(MODEL)
+    t.encode_special_tokens = True
+    for text, ids in zip(texts, encoder.texts([x.encode() for x in texts]), strict=True):
+        assert ids.tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
 def check(rows, got):
     """Rows equal but for ``start``; starts fill the whole range in ascending order of ids."""
     want = plain(rows)
