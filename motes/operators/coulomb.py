@@ -1,20 +1,20 @@
-"""Electrostatics: direct sums, and Ewald sums as two aggregations over a table of wave vectors."""
+"""Electrostatics: direct sums, and Ewald sums as screened pairs and two passes over the wave vectors."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import product
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..domain import AXES, Domain
 from ..particles import ParticleSet
+from . import waves
 from .pairs import accumulated, all_pairs, pair_table
 
 #: Fixed values of the physical constants: elementary charge (C) and vacuum permittivity (F/m).
@@ -79,28 +79,26 @@ class EwaldParameters:
     def k_cut(self) -> float:
         return min(2 * math.pi * n / e for n, e in zip(self.n_max, self.domain.extent, strict=True))
 
-    def table(self, half: bool = False) -> pd.DataFrame:
-        """k, kx, ky, kz, coefficient 4 pi / V e^(-k^2 / 4 alpha) / k^2 and weight. Of the full table all k; of
-        the half one of each pair (k, -k), with weight 2. Its size is fixed by accuracy and box, not by the particles."""
-        rows = []
-        for n in product(*(range(-m, m + 1) for m in self.n_max)):
-            k = [2 * math.pi * a / e for a, e in zip(n, self.domain.extent, strict=True)]
-            square = sum(x * x for x in k)
-            if not 0 < square <= self.k_cut**2 * (1 + 1e-12) or (half and (n[2], n[1], n[0]) < (0, 0, 0)):
-                continue
-            rows.append((*k, 4 * math.pi / self.domain.volume * math.exp(-square / (4 * self.alpha)) / square, 2.0 if half else 1.0))
-        out = pd.DataFrame(rows, columns=["kx", "ky", "kz", "coefficient", "weight"])
-        out.insert(0, "k", range(len(out)))
-        return out
+    @classmethod
+    def balanced(cls, domain: Domain, particles: int, eps: float = 1e-6, pair_cost: float = 100.0) -> EwaldParameters:
+        """The cutoff that gives the real and the reciprocal part of so many particles like work, ``pair_cost`` being a pair's
+        against that of a particle and wave vector: both then grow by the power 3/2 of the particles, wave vectors by 1/2."""
+        ss = math.sqrt(lambert_w(1 / eps))
+        cutoff = ss * domain.volume ** (1 / 3) / (2 * math.pi**3 * pair_cost * max(1, particles)) ** (1 / 6)
+        return cls.of(domain, min(cutoff, *domain.extent), eps)
 
 
 def structure_factor(df: DataFrame, params: EwaldParameters, half: bool = False) -> DataFrame:
-    """(k, kx, ky, kz, coefficient, weight, re, im): S(k) = sum q e^(-i k.r), aggregated before any shuffle."""
-    table = df.sparkSession.createDataFrame(params.table(half))
-    phase = F.expr("kx * x + ky * y + kz * z")
-    every = df.select(*AXES, "q").crossJoin(F.broadcast(table))  # the table's size is bounded by the accuracy
-    sums = every.groupBy("k").agg(F.sum(F.col("q") * F.cos(phase)).alias("re"), F.sum(-F.col("q") * F.sin(phase)).alias("im"))
-    return table.join(sums, "k")
+    """(nx, ny, nz, kx, ky, kz, coefficient, weight, re, im): S(k) = sum q e^(-i k.r), summed in a task before any shuffle.
+
+    Of the full table all k; of the half one of each pair (k, -k), with weight 2. The coefficient is 4 pi / V e^(-k^2 / 4 alpha) / k^2.
+    """
+    sums = waves.structure(df, params, half)
+    k = {f"k{a}": 2 * math.pi / e * F.col(f"n{a}") for a, e in zip(AXES, params.domain.extent, strict=True)}
+    square = F.expr("kx * kx + ky * ky + kz * kz")
+    coefficient = 4 * math.pi / params.domain.volume * F.exp(-square / (4 * params.alpha)) / square
+    out = sums.withColumns(k).withColumn("coefficient", coefficient).withColumn("weight", F.lit(2.0 if half else 1.0))
+    return out.select("nx", "ny", "nz", "kx", "ky", "kz", "coefficient", "weight", "re", "im")
 
 
 def reciprocal_energy(df: DataFrame, params: EwaldParameters, half: bool = False) -> DataFrame:
@@ -109,27 +107,38 @@ def reciprocal_energy(df: DataFrame, params: EwaldParameters, half: bool = False
 
 
 def reciprocal_rows(df: DataFrame, params: EwaldParameters, half: bool = True) -> DataFrame:
-    """(gid, u, potential, fx, fy, fz): each particle's half energy, potential and force of the reciprocal part."""
-    s = structure_factor(df, params, half)
-    every = df.select("gid", *AXES, "q").crossJoin(F.broadcast(s))
-    phase = F.expr("kx * x + ky * y + kz * z")
-    # Re(S e^(ikr)) and Im(S e^(ikr))
-    cos, sin = F.cos(phase), F.sin(phase)
-    real, imag = F.col("re") * cos - F.col("im") * sin, F.col("re") * sin + F.col("im") * cos
-    weight = F.col("weight") * F.col("coefficient")
-    sums = {"potential": F.sum(weight * real)} | {f"f{a}": F.sum(weight * F.col(f"k{a}") * imag) for a in AXES}
-    out = every.groupBy("gid", "q").agg(*[v.alias(k) for k, v in sums.items()])
-    return out.select("gid", (0.5 * F.col("q") * F.col("potential")).alias("u"), "potential", *[(F.col("q") * F.col(f"f{a}")).alias(f"f{a}") for a in AXES])
+    """(gid, u, potential, fx, fy, fz): each particle's half energy, potential and force of the reciprocal part; gid is a key."""
+    field = waves.field(df, waves.structure(df, params, half), params, half)
+    out = df.select("gid", "q").join(field, "gid")
+    return out.select("gid", (0.5 * F.col("q") * F.col("potential")).alias("u"), "potential", *[(F.col("q") * F.col(f"g{a}")).alias(f"f{a}") for a in AXES])
+
 
+#: How far the polynomial is fitted; beyond it erfc is next to the least double, and the exponential goes to 0.
+ERFC_FIT = 26.0
 
-@F.pandas_udf(DoubleType())
-def _erfc(x: pd.Series) -> pd.Series:
-    return pd.Series(np.fromiter(map(math.erfc, x), float, len(x)))
+
+@lru_cache(maxsize=1)
+def _erfc_polynomial() -> list[float]:
+    """Coefficients by powers of u, t = 2 / (2 + x) brought to -1..1, of log(erfc(x) / t) + x^2, which is smooth."""
+    low = 2 / (2 + ERFC_FIT)
+
+    def smooth(u: np.ndarray) -> np.ndarray:
+        t = low + (u + 1) / 2 * (1 - low)
+        x = 2 / t - 2
+        return np.array([math.log(math.erfc(v) / w) + v * v for v, w in zip(x, t, strict=True)])
+
+    return np.polynomial.chebyshev.cheb2poly(np.polynomial.chebyshev.chebinterpolate(smooth, 26)).tolist()
 
 
 def erfc(x: Column) -> Column:
-    """The complementary error function, which Spark lacks; Arrow batches of the C library's."""
-    return _erfc(x)
+    """The complementary error function of x >= 0, which Spark lacks, to twelve digits up to x = 6: a polynomial in 2 / (2 + x) under the exponential."""
+    low = 2 / (2 + ERFC_FIT)
+    t = 2 / (2 + x)
+    u = (t - low) * (2 / (1 - low)) - 1
+    value = F.lit(0.0)
+    for c in reversed(_erfc_polynomial()):
+        value = value * u + c
+    return t * F.exp(value - x * x)
 
 
 def real_rows(particles: ParticleSet, params: EwaldParameters) -> DataFrame:
@@ -164,9 +173,5 @@ def potential_field(sources: ParticleSet, probes: DataFrame, params: EwaldParame
     probe_set = ParticleSet(probes.withColumn("q", F.lit(0.0)), sources.domain)
     pairs = pair_table(probe_set, params.cutoff, ["q"], others=sources).where(F.col("r2") < params.cutoff**2)
     near = accumulated(probes, pairs, {"near": F.col("q_j") * erfc(root * F.sqrt("r2")) / F.sqrt("r2")})
-    s = structure_factor(sources.df, params, True)
-    phase = F.expr("kx * x + ky * y + kz * z")
-    far = probes.select("gid", *AXES).crossJoin(F.broadcast(s)).groupBy("gid").agg(
-        F.sum(F.col("weight") * F.col("coefficient") * (F.col("re") * F.cos(phase) - F.col("im") * F.sin(phase))).alias("far")
-    )
+    far = waves.field(probes, waves.structure(sources.df, params, True), params, True).select("gid", F.col("potential").alias("far"))
     return near.join(far, "gid").select("gid", (F.col("near") + F.col("far")).alias("potential"))

@@ -523,8 +523,7 @@ def coulomb_images_direct(spark, sf):
 @query(_K + "select nx, ny, nz, round(re, 6) + 0e0 as re, round(im, 6) + 0e0 as im from sk")
 def ewald_structure_factor(spark, sf):
     s = particles(spark, sf)
-    n = {f"n{a}": F.round(F.col(f"k{a}") * s.domain.extent[0] / (2 * math.pi)).cast("long") for a in AXES}
-    return coulomb.structure_factor(s.df, _ewald(s)).select(*[v.alias(k) for k, v in n.items()], r6("re").alias("re"), r6("im").alias("im"))
+    return coulomb.structure_factor(s.df, _ewald(s)).select("nx", "ny", "nz", r6("re").alias("re"), r6("im").alias("im"))
 
 
 @query(_K + "select round(sum(0.5e0 * c * (re * re + im * im)), 6) as energy from sc")
@@ -560,45 +559,98 @@ def _whole(s):
     return coulomb.EwaldParameters.of(s.domain, CUTOFF, 1e-4)
 
 
-@query()
+#: Root of W(1 / eps), which fixes alpha and how many wave vectors there are.
+_SS = math.sqrt(coulomb.lambert_w(1e4))
+
+
+def _split(cutoff: str) -> str:
+    """The splitting at eps 1e-4 and a cutoff in SQL: rc, al, m (wave vectors an axis) in ``sp``; then ``kt``, ``sk`` and ``sc`` as in ``_K``, of all wave vectors."""
+    return _K.replace(
+        f", r as (select unnest(range({-_KMAX}, {_KMAX + 1})) as v)",
+        f", s0 as (select e, {cutoff} as rc from b), s1 as (select e, rc, pow({_SS!r}e0 / rc, 2) as al from s0), "
+        f"sp as (select e, rc, al, cast(greatest(1, round({_SS!r}e0 * e * sqrt(al) / pi())) as bigint) as m from s1), r as (select unnest(range(-m, m + 1)) as v from sp)",
+    ).replace(f"between 1 and {_KMAX * _KMAX}", "between 1 and (select m * m from sp)").replace(f"4 * {_ALPHA}e0", "4 * (select al from sp)")
+
+
+_WHOLE = _split(f"{CUTOFF!r}e0")
+_BALANCED = _split(f"{_SS!r}e0 * e / pow(2 * pow(pi(), 3) * 100 * (select count(*) from part), 1e0 / 6)")
+
+
+def _erf_sql(x: str) -> str:
+    """The power series of erf, whose 45 terms do up to x = 3."""
+    text = "0e0"
+    for k in reversed(range(45)):
+        text = f"({(-1) ** k / (math.factorial(k) * (2 * k + 1)):.17e} + x2 * {text})"
+    return f"2 / sqrt(pi()) * {x} * {text}"
+
+
+@query(_WHOLE + "select nx, ny, nz, round(re, 6) + 0e0 as re, round(im, 6) + 0e0 as im from sk")
 def ewald_structure_factor_whole(spark, sf):
-    """Rows only, as the next three: too many wave vectors for SQL over whole tables; tests hold them against brute force."""
     s = particles(spark, sf)
-    n = {f"n{a}": F.round(F.col(f"k{a}") * s.domain.extent[0] / (2 * math.pi)).cast("long") for a in AXES}
-    return coulomb.structure_factor(s.df, _whole(s)).select(*[v.alias(k) for k, v in n.items()], r6("re").alias("re"), r6("im").alias("im"))
+    return coulomb.structure_factor(s.df, _whole(s)).select("nx", "ny", "nz", r6("re").alias("re"), r6("im").alias("im"))
 
 
-@query()
+@query(_WHOLE + "select round(sum(0.5e0 * c * (re * re + im * im)), 6) as energy from sc")
 def ewald_recip_energy_whole(spark, sf):
     s = particles(spark, sf)
     return rounded(coulomb.reciprocal_energy(s.df, _whole(s)), "energy")
 
 
-@query()
+@query(_WHOLE + "select round(sum(0.5e0 * c * (re * re + im * im)), 6) as energy from sc")
 def ewald_half_energy_whole(spark, sf):
     s = particles(spark, sf)
     return rounded(coulomb.reciprocal_energy(s.df, _whole(s), half=True), "energy")
 
 
-@query()
+@query(
+    _WHOLE + "select gid, round(sum(c * (re * cos(ph) - im * sin(ph))), 6) + 0e0 as potential, round(0.5e0 * any_value(q) * sum(c * (re * cos(ph) - im * sin(ph))), 6) + 0e0 as u, "
+    + ", ".join(f"round(any_value(q) * sum(c * k{a} * (re * sin(ph) + im * cos(ph))), 6) + 0e0 as f{a}" for a in AXES)
+    + " from (select gid, q, sc.*, kx * x + ky * y + kz * z as ph from p, sc) group by gid"
+)
 def ewald_recip_rows_whole(spark, sf):
     s = particles(spark, sf)
     return rounded(coulomb.reciprocal_rows(s.df, _whole(s)), "u", "potential", "fx", "fy", "fz")
 
 
-@query()
+#: Real and reciprocal part by particle; the real one by nearest images, the cutoff being below half an edge.
+_BOTH_SQL = (
+    ", near as (select i, r, dx, dy, dz, q_i, q_j, al, 1 - ERF as ec from (select *, al * r * r as x2 from (select *, sqrt(dx * dx + dy * dy + dz * dz) as r from d), sp where r < rc)), "
+    "nr as (select i, sum(0.5e0 * q_i * q_j * ec / r) as u, sum(q_j * ec / r) as potential, "
+    + ", ".join(f"sum(-q_i * q_j / (r * r) * (ec / r + 2 * sqrt(al / pi()) * exp(-x2)) * d{a}) as f{a}" for a in AXES)
+    + " from near group by i), "
+    "fr as (select gid, any_value(q) as q, sum(c * (re * cos(ph) - im * sin(ph))) as potential, "
+    + ", ".join(f"any_value(q) * sum(c * k{a} * (re * sin(ph) + im * cos(ph))) as f{a}" for a in AXES)
+    + " from (select gid, q, sc.*, kx * x + ky * y + kz * z as ph from p, sc) group by gid) "
+).replace("al, 1 - ERF", "al, x2, 1 - ERF").replace("ERF", _erf_sql("sqrt(x2)"))
+
+
+@query(
+    _BALANCED + _BOTH_SQL
+    + "select gid, round(coalesce(nr.u, 0) + 0.5e0 * q * fr.potential - sqrt(al / pi()) * q * q, 6) + 0e0 as u, "
+    "round(coalesce(nr.potential, 0) + fr.potential - 2 * sqrt(al / pi()) * q, 6) + 0e0 as potential, "
+    + ", ".join(f"round(coalesce(nr.f{a}, 0) + fr.f{a}, 6) + 0e0 as f{a}" for a in AXES)
+    + " from fr left join nr on gid = i, sp"
+)
 def ewald_total(spark, sf):
-    """Rows only: the complementary error function is in neither SQL; tests hold it against direct sums."""
+    """The cutoff follows the particles, so that work grows by the power 3/2."""
     s = particles(spark, sf)
-    return coulomb.ewald(s, coulomb.EwaldParameters.of(s.domain, CUTOFF, 1e-4))
+    return rounded(coulomb.ewald(s, coulomb.EwaldParameters.balanced(s.domain, s.count(), 1e-4)), "u", "potential", "fx", "fy", "fz")
 
 
-@query()
+_PROBE = (
+    ", pr as (select gid as g, " + ", ".join(f"{a} + 0.5e0 - e * floor(({a} + 0.5e0 + e / 2) / e) as {a}" for a in AXES) + " from p), "
+    "pd as (select g, q, al, " + ", ".join(f"p.{a} - pr.{a} - p.e * round((p.{a} - pr.{a}) / p.e) as d{a}" for a in AXES) + " from pr, p, sp), "
+    "pn as (select g, sum(q * (1 - ERF) / r) as near from (select *, al * r * r as x2 from (select *, sqrt(dx * dx + dy * dy + dz * dz) as r from pd) where r < 2e0) group by g), "
+    "pf as (select g, sum(c * (re * cos(kx * x + ky * y + kz * z) - im * sin(kx * x + ky * y + kz * z))) as far from pr, sc group by g) "
+).replace("ERF", _erf_sql("sqrt(x2)"))
+
+
+@query(_WHOLE + _PROBE + "select pf.g as gid, round(coalesce(near, 0) + far, 6) + 0e0 as potential from pf left join pn on pf.g = pn.g")
 def potential_field_probe(spark, sf):
-    """Rows only, for the same reason: the potential at every particle's place moved by half a cell."""
+    """The potential at every particle's place moved by half a cell."""
     s = particles(spark, sf)
     probes = s.wrapped().df.select("gid", *[s.domain.wrap(a, F.col(a) + 0.5).alias(a) for a in AXES])
-    return coulomb.potential_field(s, probes, coulomb.EwaldParameters.of(s.domain, CUTOFF, 1e-4))
+    return rounded(coulomb.potential_field(s, probes, coulomb.EwaldParameters.of(s.domain, CUTOFF, 1e-4)), "potential")
 
 
 # --- multipoles
