@@ -22,6 +22,7 @@ from ..domain import AXES, Domain
 from ..functions.harmonics import degrees, irregular, local_shift, multipole_shift, multipole_to_local, place, regular, regular_columns, to_normalised
 from ..particles import ParticleSet
 from .coulomb import nearest_images
+from .pairs import forward, spread
 
 CELL = ("cx", "cy", "cz")
 
@@ -124,12 +125,13 @@ def _irregular_columns(order: int) -> dict[tuple[int, int], tuple[Column, Column
 
 def near_energy(particles: ParticleSet, level: int) -> DataFrame:
     """(energy) of pairs in the same or neighbouring cells, each once, without images."""
-    df = _in_cells(particles, level)
+    df = _in_cells(particles.with_df(spread(particles.df), False), level)
     left = df.select(F.col("gid").alias("i"), *CELL, *[F.col(a).alias(f"{a}_i") for a in AXES], F.col("q").alias("q_i"))
-    right = _listed(df.select("gid", *CELL, *AXES, "q"), level, exclusion_list(), False)
-    right = right.select(F.col("gid").alias("j"), *[F.col(f"t{a}").alias(f"c{a}") for a in AXES], *[F.col(a).alias(f"{a}_j") for a in AXES], F.col("q").alias("q_j"))
+    right = _listed(df.select("gid", *CELL, *AXES, "q"), level, forward(exclusion_list()), False)
+    home = F.expr("tx = cx and ty = cy and tz = cz").alias("home")
+    right = right.select(F.col("gid").alias("j"), home, *[F.col(f"t{a}").alias(f"c{a}") for a in AXES], *[F.col(a).alias(f"{a}_j") for a in AXES], F.col("q").alias("q_j"))
     r = F.sqrt(F.expr(" + ".join(f"({a}_j - {a}_i) * ({a}_j - {a}_i)" for a in AXES)))
-    return left.join(right, list(CELL)).where("i < j").agg(F.coalesce(F.sum(F.col("q_i") * F.col("q_j") / r), F.lit(0.0)).alias("energy"))
+    return left.join(right.hint("merge"), list(CELL)).where("not home or i < j").agg(F.coalesce(F.sum(F.col("q_i") * F.col("q_j") / r), F.lit(0.0)).alias("energy"))
 
 
 def multilevel_energy(particles: ParticleSet, levels: int, order: int, local: bool = False) -> DataFrame:
@@ -138,7 +140,7 @@ def multilevel_energy(particles: ParticleSet, levels: int, order: int, local: bo
     own one, instead of laid down in the own one and evaluated over the list."""
     total = near_energy(particles, levels - 1)
     for level in range(2, levels):
-        cells = _in_cells(particles, level).select("gid", *AXES, "q", *CELL)
+        cells = _in_cells(particles.with_df(spread(particles.df), False), level).select("gid", *AXES, "q", *CELL)
         target = [F.col(f"c{a}").alias(f"t{a}") for a in AXES]
         if local:
             laid = _listed(cells, level, interaction_offsets(), True).withColumns(_from_centre(particles.domain, level, "t"))
@@ -146,8 +148,10 @@ def multilevel_energy(particles: ParticleSet, levels: int, order: int, local: bo
             met = cells.select("gid", *AXES, "q", *target).join(found, ["tx", "ty", "tz"]).withColumns(_from_centre(particles.domain, level, "t"))
             value = _product(order, regular_columns(order, F.col("dx"), F.col("dy"), F.col("dz")), True)
         else:
-            found = multipoles(particles, level, order).select(*target, "re", "im")
-            met = _listed(cells, level, interaction_offsets(), True).join(found, ["tx", "ty", "tz"]).withColumns(_from_centre(particles.domain, level, "t"))
+            # expansions are listed, not particles: lists are symmetric, and cells are fewer
+            found = _listed(multipoles(particles, level, order), level, interaction_offsets(), True)
+            found = found.select(*[F.col(f"t{a}").alias(f"c{a}") for a in AXES], *[F.col(f"c{a}").alias(f"t{a}") for a in AXES], "re", "im")
+            met = cells.join(found.hint("merge"), list(CELL)).withColumns(_from_centre(particles.domain, level, "t"))
             value = _product(order, _irregular_columns(order), False)
         far = met.agg(F.coalesce(F.sum(0.5 * F.col("q") * value), F.lit(0.0)).alias("far"))
         total = total.crossJoin(far).select((F.col("energy") + F.col("far")).alias("energy"))  # one row each
@@ -347,7 +351,7 @@ def fmm(particles: ParticleSet, levels: int = 3, order: int = 8, boundary: str =
             own = own.withColumns({c: F.lit(None).cast("array<double>") for c in ("re", "im")})
         own = own.withColumns({f"p{c[1]}": F.floor(F.col(c) / 2).cast("int") for c in CELL})
         local = own.join(parents, ["px", "py", "pz"]).mapInPandas(_down(order, width(level)), _EXPANSION)
-    cells = _in_cells(particles, finest).select("gid", "q", *CELL, "dx", "dy", "dz").join(local, list(CELL), "left")
+    cells = _in_cells(particles, finest).select("gid", "q", *CELL, "dx", "dy", "dz").join(local.hint("merge"), list(CELL), "left")
     far_rows = cells.mapInPandas(_evaluate(order), "gid long, q double, fp double, ex double, ey double, ez double")
     near = _near_rows(particles, finest, periodic)
     out = far_rows.join(near, "gid", "left")
@@ -382,14 +386,14 @@ def _evaluate(order: int):
 def _near_rows(particles: ParticleSet, level: int, periodic: bool) -> DataFrame:
     """(gid, np, nx, ny, nz): potential and field at each particle from the neighbouring finest cells."""
     d, n = particles.domain, 2**level
-    df = _in_cells(particles, level)
+    df = _in_cells(particles.with_df(spread(particles.df), False), level)
     left = df.select("gid", *CELL, *[F.col(a).alias(f"{a}_i") for a in AXES])
     right = df.select(F.col("gid").alias("j"), *CELL, *AXES, "q", F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("abc", o, strict=True)]) for o in exclusion_list()])).alias("o"))
     seen = {f"c{a}": F.col(f"c{a}") + F.col(f"o.{k}") for a, k in zip(AXES, "abc", strict=True)}
     moved = {f"{a}_j": F.col(a) - (e * F.floor(seen[f"c{a}"] / n) if periodic else 0.0) for a, e in zip(AXES, d.extent, strict=True)}
     image = sum((F.abs(F.floor(v / n)) for v in seen.values()), F.lit(0)) > 0
     right = right.select("j", "q", *[v.alias(k) for k, v in moved.items()], image.alias("image"), *[(F.pmod(v, F.lit(n)) if periodic else v).alias(k) for k, v in seen.items()])
-    pairs = left.join(right, list(CELL)).where("gid <> j or image")
+    pairs = left.join(right.hint("merge"), list(CELL)).where("gid <> j or image")
     pairs = pairs.withColumns({f"d{a}": F.col(f"{a}_i") - F.col(f"{a}_j") for a in AXES}).withColumn("r2", F.expr("dx * dx + dy * dy + dz * dz"))
     field = F.col("q") / (F.col("r2") * F.sqrt("r2"))
     return pairs.groupBy("gid").agg(F.sum(F.col("q") / F.sqrt("r2")).alias("np"), *[F.sum(field * F.col(f"d{a}")).alias(f"n{a}") for a in AXES])

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from motes.operators import pairs as P
+from motes.operators.hierarchy import levels_for
 from motes.queries import queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -50,3 +51,15 @@ def test_removals_leave_rows_of_the_same_transaction(spark, tmp_path):
     """1000005 is removed, and added again under the id of 5."""
     rows = queries()["modify_transaction"](spark, beyond_a_million(spark, tmp_path)).collect()
     assert sorted((r.gid, r.q) for r in rows) == [(1, -1), (2, 1), (5, -1), (1000005, -1), (1000009, -1), (1000010, 1), (2000005, -1), (2000010, 1)]
+
+
+def test_levels_follow_the_particles():
+    assert [levels_for(n) for n in (0, 20_000, 120_000, 1_200_000, 7_200_000)] == [3, 3, 4, 5, 6]
+    assert levels_for(10**6, (1, 1, 1)) == 3
+
+
+@pytest.mark.parametrize("name", ["multilevel_energy", "fast_multipole_energy"])
+def test_near_particles_are_not_sent_to_every_task(spark, name):
+    """Broadcasts are one row or a list of offsets: no side of a join on cells is one."""
+    joins = [line for line in plan(queries()[name](spark, SMALL)).splitlines() if "BroadcastHashJoin" in line]
+    assert not [line for line in joins if "cx#" in line]
