@@ -3,7 +3,7 @@
 e^(i k.r) is a product of three factors, one an axis, so a batch of particles meets all wave vectors in a matrix
 product of (particles x (nx, ny)) and (particles x nz), without a row for each of them and without a join. Sums are
 added up in a task before they are shuffled. Wave vectors come in slabs of nx of at most ``SLAB`` places of the grid,
-whose sums a task can hold, however many there are.
+whose sums a task can hold, however many there are. Rows are dealt over all tasks first, the work on each being large.
 
 Rows with a null or non-finite position or charge take no part in sums and read null.
 """
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..domain import AXES
+from .pairs import spread
 
 #: Places of the grid of wave vectors whose sums a task holds (16 bytes each), and factors of particles and (nx, ny) at once.
 SLAB, BATCH = 1 << 22, 1 << 20
@@ -62,9 +63,9 @@ def _numbers(batch: pa.RecordBatch, names: tuple[str, ...]) -> list[np.ndarray]:
 
 def structure(df: DataFrame, params, half: bool) -> DataFrame:
     """(nx, ny, nz, re, im) of S(k) = sum q e^(-i k.r); no rows of an empty table."""
-    found = None
+    found, source = None, spread(df.select("gid", *[F.col(c).cast("double").alias(c) for c in (*AXES, "q")])).drop("gid")
     for grid in slabs(params, half):
-        one = df.select(*[F.col(c).cast("double").alias(c) for c in (*AXES, "q")]).mapInArrow(_summed(grid), "nx long, ny long, nz long, re double, im double")
+        one = source.mapInArrow(_summed(grid), "nx long, ny long, nz long, re double, im double")
         found = one if found is None else found.unionByName(one)
     return found.groupBy("nx", "ny", "nz").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 
@@ -95,7 +96,7 @@ def field(points: DataFrame, sums: DataFrame, params, half: bool) -> DataFrame:
     The sums of a slab are fetched when this is called, and travel with the tasks that read them.
     """
     schema = "gid long, potential double, gx double, gy double, gz double"
-    source = points.select(F.col("gid").cast("long").alias("gid"), *[F.col(a).cast("double").alias(a) for a in AXES])
+    source = spread(points.select(F.col("gid").cast("long").alias("gid"), *[F.col(a).cast("double").alias(a) for a in AXES]))
     sums, grids, found = sums.persist(), slabs(params, half), None
     for grid in grids:
         low, high = int(grid.ranges[0][0]), int(grid.ranges[0][-1])

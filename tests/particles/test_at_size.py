@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from motes.operators import coulomb, waves
 from motes.operators import pairs as P
 from motes.operators.hierarchy import levels_for
+from motes.plans.tables import particles
 from motes.queries import queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -63,3 +65,10 @@ def test_near_particles_are_not_sent_to_every_task(spark, name):
     """Broadcasts are one row or a list of offsets: no side of a join on cells is one."""
     joins = [line for line in plan(queries()[name](spark, SMALL)).splitlines() if "BroadcastHashJoin" in line]
     assert not [line for line in joins if "cx#" in line]
+
+
+def test_wave_sums_run_in_all_tasks(spark):
+    """A table of one file is read by one task; the sums over wave vectors are not left to it."""
+    df = particles(spark, SMALL).df
+    params = coulomb.EwaldParameters(particles(spark, SMALL).domain, 0.35, 2.0, (2, 2, 2))
+    assert "REPARTITION_BY_NUM" in plan(waves.structure(df, params, True))
