@@ -1,11 +1,14 @@
 """What keeps queries going on large tables: plans, work that follows the input, ids beyond those of the small tables."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from motes.domain import Domain
 from motes.operators import coulomb, waves
 from motes.operators import pairs as P
 from motes.operators.hierarchy import levels_for
+from motes.particles import from_arrays
 from motes.plans.tables import particles
 from motes.queries import queries
 
@@ -72,3 +75,50 @@ def test_wave_sums_run_in_all_tasks(spark):
     df = particles(spark, SMALL).df
     params = coulomb.EwaldParameters(particles(spark, SMALL).domain, 0.35, 2.0, (2, 2, 2))
     assert "REPARTITION_BY_NUM" in plan(waves.structure(df, params, True))
+
+
+@pytest.mark.parametrize("name", ["coulomb_free_direct", "coulomb_nearest_direct", "coulomb_images_direct", "periodic_direct_energy"])
+def test_direct_sums_make_no_rows_of_pairs(spark, name):
+    shown = plan(queries()[name](spark, SMALL))
+    assert "Join" not in shown and "FlatMapGroupsInArrow" in shown
+
+
+def drawn(n, shift=0.0, spread=1.0):
+    rng = np.random.default_rng(7)
+    return rng.uniform(-0.5, 0.5, (n, 3)) * spread + shift, rng.uniform(-1, 1, n)
+
+
+@pytest.mark.parametrize(("shift", "spread"), [(0.0, 10.0), (1e6, 1.0), (0.0, 1e-6)])
+def test_tiles_keep_their_digits(shift, spread):
+    """Near and far from the origin, with a crowd of charges in a large box, and over several tiles."""
+    xyz, q = drawn(1500, shift, spread)
+    xyz = np.concatenate([xyz, [[shift + 40, shift, shift - 30], [shift, shift + 50, shift]]])
+    q, ids = np.append(q, [1, -0.5]), np.arange(1502)
+    d = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    got, terms = coulomb.inverse_distances(xyz, xyz, q, q, (ids, ids)), q[:, None] * q[None] / d
+    assert abs(got - terms.sum()) < 1e-12 * np.abs(terms).sum()
+
+
+def test_blocks_and_offsets_of_direct_sums(spark):
+    """Any blocks, offsets without their opposites, and a null charge, against a plain sum."""
+    xyz, q = drawn(90, 0.0, 4.0)
+    s = from_arrays(spark, Domain((4.0, 5.0, 6.0)), x=xyz[:, 0], y=xyz[:, 1], z=xyz[:, 2], q=q)
+    s = s.with_df(s.df.union(spark.sql("select 90L, 0D, 0D, 0D, cast(null as double)")))
+    d = xyz[None] - xyz[:, None]
+    own = np.sqrt((d**2).sum(-1))
+    np.fill_diagonal(own, np.inf)
+    want = 0.5 * (q[:, None] * q / own).sum()
+    for o in ((1, 0, 0), (0, -1, 1)):
+        want += 0.5 * (q[:, None] * q / np.sqrt(((d + np.array(o) * [4, 5, 6]) ** 2).sum(-1))).sum()
+    for blocks in (None, 1, 5):
+        assert coulomb.nearest_images(s, [(1, 0, 0), (0, -1, 1)], blocks).first().energy == pytest.approx(want, rel=1e-12)
+    with pytest.raises(ValueError, match="no image"):
+        coulomb.nearest_images(s, [(0, 0, 0)])
+
+
+def test_charges_at_one_place_raise(spark):
+    s = from_arrays(spark, Domain((4.0,) * 3), x=[1.0, 1.0, 0.0], y=[1.0, 1.0, 0.0], z=[0.5, 0.5, 0.0], q=[1.0, 1.0, -1.0])
+    with pytest.raises(Exception, match="at one place"):
+        coulomb.free_space(s.df).first()
+    assert coulomb.free_space(s.df.limit(0)).first().energy == 0
