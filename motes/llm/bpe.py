@@ -3,7 +3,7 @@
 A text is split into matches of the vocabulary's pattern; each distinct match becomes token-position
 rows, one a byte. A recursive query joins neighbouring rows with the merge table and contracts, in every
 step and word, the leftmost pair of least rank, until no pair is left. Decoding joins the token positions of
-whole texts with the vocabulary and concatenates by an ordered aggregation.
+texts with the vocabulary and concatenates by an ordered aggregation, cut at the texts' lengths.
 
 A worker remembers the ids of the words it met lately, so the recursion sees the new words of a partition
 rather than its running text. The merge table follows from the rank file.
@@ -89,18 +89,32 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines()) if token}
 
 
+def last_pair(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | None:
+    """The pair that the contraction of a token's own bytes ends with; none if it ends in more tokens."""
+    parts = [token[k : k + 1] for k in range(len(token))]
+    while len(parts) > 2:
+        found = [ranks.get(a + b, len(ranks) << 32) for a, b in zip(parts, parts[1:], strict=False)]
+        k = min(range(len(found)), key=found.__getitem__)
+        if found[k] == len(ranks) << 32:
+            return None
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+    return parts[0], parts[1]
+
+
 class Codec:
     """Encoder and decoder of one vocabulary, with a DuckDB database of its own in memory."""
 
     def __init__(self, raw: bytes, pattern: str):
         self.ranks = read_ranks(raw)
         self.pattern = regex.compile(pattern)
-        left, right, merged = [], [], []
+        left, right, merged, met = [], [], [], []
         for token, rank in self.ranks.items():
-            for cut in range(1, len(token)):
-                a, b = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
-                if a is not None and b is not None:
-                    left.append(a), right.append(b), merged.append(rank)
+            cuts = [cut for cut in range(1, len(token)) if token[:cut] in self.ranks and token[cut:] in self.ranks]
+            # within a word the bytes of a pair were contracted as they are alone, so of several pairs of a token one is ever met
+            last = last_pair(token, self.ranks) if len(cuts) > 1 else None
+            for cut in cuts:
+                left.append(self.ranks[token[:cut]]), right.append(self.ranks[token[cut:]]), merged.append(rank)
+                met.append(len(cuts) == 1 or (last is not None and len(last[0]) == cut))
         merges = {"l": np.array(left), "r": np.array(right), "rank": np.array(merged)}
         size = max(self.ranks.values(), default=0) + 1
         least = np.full(size, np.iinfo(np.int64).max)
@@ -108,9 +122,13 @@ class Codec:
             np.minimum.at(least, merges[side], merges["rank"])
         # safe: no pair with the merged token ranks below the merge that made it
         merges["safe"] = least[merges["rank"]] > merges["rank"]
-        self.merges = pa.table(merges)
-        self.vocabulary = pa.table({"tok": list(self.ranks.values()), "raw": [t.decode("latin-1") for t in self.ranks]})
+        self.merges = pa.table(merges).filter(pa.array(met, pa.bool_()))
+        self.vocabulary = pa.table({"tok": pa.array(self.ranks.values(), pa.int32()), "raw": [t.decode("latin-1") for t in self.ranks]})
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)])
+        self.sizes = np.zeros(size, np.int64)
+        self.sizes[list(self.ranks.values())] = list(map(len, self.ranks))
+        self.heads = np.zeros(size, np.uint8)
+        self.heads[list(self.ranks.values())] = [token[0] for token in self.ranks]
         self.decimal = np.array([str(k) for k in range(size)], object)
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -196,17 +214,24 @@ class Codec:
         if not sizes.sum():
             return [b""] * len(ids)
         tokens, text = np.concatenate(ids).astype(np.int64), np.repeat(np.arange(len(ids)), sizes)
+        if tokens.min() < 0 or tokens.max() >= len(self.sizes):
+            raise ValueError("ids that are not in the vocabulary")
         for k in range(0, len(tokens), DECODE_ROWS):
-            part = slice(k, k + DECODE_ROWS)
-            self._table("coded", pa.table({"text": text[part], "pos": np.arange(len(tokens[part])), "tok": tokens[part]}))
-            found = self.db.execute(
-                "SELECT text, string_agg(raw, '' ORDER BY pos) AS raw, count(*) AS n FROM coded JOIN vocabulary USING (tok) GROUP BY text ORDER BY text"
-            ).fetchall()
+            own, whose = tokens[k : k + DECODE_ROWS], text[k : k + DECODE_ROWS]
+            self._table("coded", pa.table({"pos": np.arange(len(own), dtype=np.int32), "tok": own.astype(np.int32)}))
+            raw, n = self.db.execute(
+                "SELECT string_agg(raw, ''), count(*) FROM (SELECT raw FROM coded JOIN vocabulary USING (tok) ORDER BY pos)"
+            ).fetchall()[0]
             self.db.execute("DROP TABLE coded")
-            if sum(n for _, _, n in found) < len(tokens[part]):
+            if n < len(own):
                 raise ValueError("ids that are not in the vocabulary")
-            for own, raw, _ in found:
-                out[own].append(raw.encode("latin-1"))
+            whole, end = raw.encode("latin-1"), np.cumsum(self.sizes[own])
+            # one thread hands the sorted rows on in their order; were it ever not so, tokens would not begin where they have to
+            if (np.frombuffer(whole, np.uint8)[end - self.sizes[own]] != self.heads[own]).any():
+                raise RuntimeError("rows out of order")
+            last = np.append(np.flatnonzero(np.diff(whose)), len(own) - 1)
+            for row, a, z in zip(whose[last].tolist(), [0, *end[last[:-1]].tolist()], end[last].tolist(), strict=True):
+                out[row].append(whole[a:z])
         return [b"".join(parts) for parts in out]
 
 

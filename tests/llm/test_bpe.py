@@ -109,3 +109,26 @@ def test_very_long_texts_are_decoded_in_parts():
     texts = ["".join(f" w{k % 4999} {k % 100_003}" for k in range(500_000)), "", " ".join(f"{k * 7919 % 1_000_003:x}é" for k in range(120_000))]
     ids = own.encode(texts)
     assert len(ids[0]) > 8 * bpe.DECODE_ROWS and [x.decode() for x in own.decode(ids)] == texts
+
+
+def test_pairs_that_are_never_met_are_left_out(raw, library):
+    """One pair a token at most, with which the contraction of its own bytes ends; the ids stay those of the library."""
+    own = bpe.Codec(raw, public_tokenizers.PATTERN)
+    assert len(set(own.merges["rank"].to_pylist())) == own.merges.num_rows
+    rng = random.Random(9)
+    names = [t.decode("utf-8", "ignore") for t in own.ranks]
+    texts = ["".join(rng.choice(names) for _ in range(40)) for _ in range(500)]
+    assert [x.tolist() for x in own.encode(texts)] == [library.encode_ordinary(t) for t in texts]
+
+
+def test_texts_of_a_part_are_decoded_together(raw, monkeypatch):
+    """One aggregation a part, cut at the texts; parts that end anywhere and empty texts change nothing."""
+    own, seen = bpe.Codec(raw, public_tokenizers.PATTERN), []
+    texts = ["", "a" * 300, "", " x  y\n z", "日本語テキスト" * 20, LONG[:500], ""]
+    ids, put = own.encode(texts), own._table
+    monkeypatch.setattr(own, "_table", lambda name, rows: (seen.append(rows.column_names), put(name, rows)))
+    assert own.decode(ids) == [t.encode() for t in texts] and seen == [["pos", "tok"]]
+    monkeypatch.setattr(bpe, "DECODE_ROWS", 7)
+    assert own.decode(ids) == [t.encode() for t in texts]
+    with pytest.raises(ValueError):
+        own.decode([np.array([-1])])
