@@ -23,6 +23,7 @@ from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -348,20 +349,29 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The values of all lists, and where each list's begin and the last one's end; null holds none."""
+    sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+    return lists.flatten(), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+
+
 def _kept(texts_too: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        marks = _column(batch, "marks")
         texts = _column(batch, "text")
+        marks, own = _flat(_column(batch, "marks"))
+        start, windows = (marks.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "windows"))
+        whole = marks.field("places").is_null().to_numpy(zero_copy_only=False)
+        places, at = _flat(marks.field("places"))
+        places = places.to_numpy(zero_copy_only=False) + np.repeat(start, np.diff(at))
         sizes, gone, spans, sha, kept = [], [], [], [], []
         for k in range(batch.num_rows):
             raw = texts[k].as_buffer().to_pybytes() if texts[k].is_valid else b""
-            removed, n = np.zeros(len(raw), bool), 0
-            if marks[k].is_valid:
-                own = marks[k].as_py()
-                whole = [m for m in own if m["places"] is None]
-                start = [np.array([m["start"] for m in whole], np.int64)] + [m["start"] + np.array(m["places"], np.int64) for m in own if m["places"] is not None]
-                width = [np.array([m["windows"] - 1 + LENGTH for m in whole], np.int64)] + [np.full(len(m["places"]), LENGTH) for m in own if m["places"] is not None]
-                removed = covered(len(raw), np.concatenate(start), np.concatenate(width))
+            removed, n, a, z = None, 0, own[k], own[k + 1]
+            if a < z:
+                some, parts = whole[a:z], places[at[a] : at[z]]
+                begin = np.concatenate([start[a:z][some], parts])
+                width = np.concatenate([windows[a:z][some] - 1 + LENGTH, np.full(len(parts), LENGTH)])
+                removed = covered(len(raw), begin, width)
                 n = int((removed & ~np.concatenate([[False], removed[:-1]])).sum())
             rest = np.frombuffer(raw, np.uint8)[~removed].tobytes() if n else raw
             sizes.append(len(raw)), gone.append(int(removed.sum()) if n else 0), spans.append(n), sha.append(hashlib.sha256(rest).hexdigest())

@@ -94,3 +94,18 @@ def test_windows_of_one_key_are_told_apart(monkeypatch):
     assert {r["places"][0] for r in rows} == {0} and all(r["data"] is None and r["wide"] + r["narrow"] == S.SPARE for r in rows)
     assert {r["key"] for r in rows} == {rows[0]["key"]}
     assert rows[0]["string"] == rows[3]["string"] and len({r["string"] for r in rows}) == 3
+
+
+def test_marks_are_read_as_columns():
+    """Marks of sliced batches, null, empty, whole and by places, and no Python value a mark."""
+    import pyarrow as pa
+
+    kinds = pa.list_(pa.struct([("start", pa.int32()), ("windows", pa.int32()), ("places", pa.list_(pa.int32()))]))
+    marks = [None, [], [{"start": 3, "windows": 2, "places": None}], None, [{"start": 10, "windows": 90, "places": [0, 50]}, {"start": 300, "windows": 1, "places": None}], None]
+    texts = [b"x" * 250, None, bytes(range(250)), b"", bytes(range(250)) * 3, b"abc"]
+    batch = pa.record_batch([pa.array(range(6)), pa.array(texts, pa.binary()), pa.array(marks, kinds)], ["doc_id", "text", "marks"])
+    out = pa.Table.from_batches(S._kept(True, iter([batch.slice(0, 1), batch.slice(1, 0), batch.slice(1, 3), batch.slice(4)]))).to_pydict()
+    assert out["n_removed"] == [0, 0, 201, 0, 450, 0] and out["n_spans"] == [0, 0, 1, 0, 2, 0]
+    assert out["kept"][2] == bytes([0, 1, 2]) + bytes(range(204, 250)) and out["kept"][4] == texts[4][:10] + texts[4][260:300] + texts[4][500:]
+    values, ends = S._flat(batch.column(2).slice(4))
+    assert len(values) == 2 and ends.tolist() == [0, 2, 2]
