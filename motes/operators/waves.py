@@ -4,6 +4,8 @@ e^(i k.r) is a product of three factors, one an axis, so a batch of particles me
 product of (particles x (nx, ny)) and (particles x nz), without a row for each of them and without a join. Sums are
 added up in a task before they are shuffled. Wave vectors come in slabs of nx of at most ``SLAB`` places of the grid,
 whose sums a task can hold, however many there are. Rows are dealt over all tasks first, the work on each being large.
+Where the grid has over ``MESH`` places, that work (particles times wave vectors) and the sums that each task hands on
+outgrow the input, and the sums go through ``mesh`` instead.
 
 Rows with a null or non-finite position or charge take no part in sums and read null.
 """
@@ -19,10 +21,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..domain import AXES
+from . import mesh
 from .pairs import spread
 
 #: Places of the grid of wave vectors whose sums a task holds (16 bytes each), and factors of particles and (nx, ny) at once.
 SLAB, BATCH = 1 << 22, 1 << 20
+#: Places of the grid with nz >= 0 beyond which sums go through the mesh.
+MESH = 1 << 18
+
+
+def meshed(params) -> bool:
+    mx, my, mz = params.n_max
+    return (2 * mx + 1) * (2 * my + 1) * (mz + 1) > MESH
 
 
 class Grid:
@@ -63,7 +73,10 @@ def _numbers(batch: pa.RecordBatch, names: tuple[str, ...]) -> list[np.ndarray]:
 
 def structure(df: DataFrame, params, half: bool) -> DataFrame:
     """(nx, ny, nz, re, im) of S(k) = sum q e^(-i k.r); no rows of an empty table."""
-    found, source = None, spread(df.select("gid", *[F.col(c).cast("double").alias(c) for c in (*AXES, "q")])).drop("gid")
+    rows = df.select("gid", *[F.col(c).cast("double").alias(c) for c in (*AXES, "q")])
+    if meshed(params):
+        return mesh.structure(rows, params, half)
+    found, source = None, spread(rows).drop("gid")
     for grid in slabs(params, half):
         one = source.mapInArrow(_summed(grid), "nx long, ny long, nz long, re double, im double")
         found = one if found is None else found.unionByName(one)
@@ -93,10 +106,13 @@ def _summed(grid: Grid):
 def field(points: DataFrame, sums: DataFrame, params, half: bool) -> DataFrame:
     """(gid, potential, gx, gy, gz) at ``points`` (gid, x, y, z) of the sums of ``structure``; g is the field, the force on a unit charge.
 
-    The sums of a slab are fetched when this is called, and travel with the tasks that read them.
+    Without a mesh the sums of a slab are fetched when this is called, and travel with the tasks that read them.
     """
     schema = "gid long, potential double, gx double, gy double, gz double"
-    source = spread(points.select(F.col("gid").cast("long").alias("gid"), *[F.col(a).cast("double").alias(a) for a in AXES]))
+    rows = points.select(F.col("gid").cast("long").alias("gid"), *[F.col(a).cast("double").alias(a) for a in AXES])
+    if meshed(params):
+        return mesh.field(rows, sums, params, half)
+    source = spread(rows)
     sums, grids, found = sums.persist(), slabs(params, half), None
     for grid in grids:
         low, high = int(grid.ranges[0][0]), int(grid.ranges[0][-1])

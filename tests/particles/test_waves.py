@@ -89,3 +89,35 @@ def test_no_join_with_wave_vectors(spark):
     for df in (coulomb.structure_factor(s.df, params), coulomb.reciprocal_rows(s.df, params), coulomb.potential_field(s, probes, params)):
         plan = df._jdf.queryExecution().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("half", [True, False])
+def test_mesh_equals_plain_sums(spark, monkeypatch, half):
+    """Crowded slabs in parts, places beyond the box and rows without a place included."""
+    s, *_ = random_set(spark, 300, 11)
+    more = spark.sql("select 900L as gid, 2D as x, -2.5D as y, 7D as z, 1D as q union all select 901L, null, 0D, 0D, 1D union all select 902L, 0D, double('nan'), 0D, 1D union all select 903L, 0D, 0D, 0D, null")
+    df = s.df.unionByName(more, allowMissingColumns=True)
+    params = coulomb.EwaldParameters.of(s.domain, 0.9, 1e-3)
+    both = []
+    for most in (1 << 40, 0):
+        monkeypatch.setattr(waves, "MESH", most)
+        monkeypatch.setattr(waves.mesh, "GROUP", 20)
+        monkeypatch.setattr(waves.mesh, "BATCH", 7)
+        sums = waves.structure(df, params, half).orderBy("nx", "ny", "nz").toPandas()
+        both.append((sums, waves.field(df, waves.structure(df, params, half), params, half).orderBy("gid").toPandas()))
+    (sums, rows), (meshed, read) = both
+    assert (sums[["nx", "ny", "nz"]] == meshed[["nx", "ny", "nz"]]).all(axis=None)
+    assert np.allclose(sums[["re", "im"]], meshed[["re", "im"]], rtol=0, atol=1e-11)
+    assert (rows["gid"] == read["gid"]).all() and len(read) == 304
+    assert np.allclose(rows.drop(columns="gid"), read.drop(columns="gid"), rtol=0, atol=1e-10, equal_nan=True)
+    empty = s.df.limit(0)
+    assert waves.structure(empty, params, half).count() == 0 and coulomb.reciprocal_rows(empty, params, half).count() == 0
+
+
+def test_sums_of_many_waves_do_not_multiply_by_tasks(spark):
+    """Each task used to hand on all wave vectors; now slabs of the mesh are handed on, and nothing is added up by wave vector."""
+    s, *_ = random_set(spark, 50, 2)
+    params = coulomb.EwaldParameters.of(s.domain, 0.2, 1e-4)
+    assert waves.meshed(params) and not waves.meshed(coulomb.EwaldParameters.of(s.domain, 2.0, 1e-4))
+    shown = waves.structure(s.df, params, True)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in shown and "HashAggregate" not in shown
