@@ -15,12 +15,14 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..domain import AXES, Domain
 from ..functions.harmonics import degrees, irregular, local_shift, multipole_shift, multipole_to_local, place, regular, regular_columns, to_normalised
 from ..particles import ParticleSet
+from . import blocks as meet
 from .coulomb import nearest_images
 from .pairs import forward, spread
 
@@ -124,38 +126,85 @@ def _irregular_columns(order: int) -> dict[tuple[int, int], tuple[Column, Column
 
 
 def near_energy(particles: ParticleSet, level: int) -> DataFrame:
-    """(energy) of pairs in the same or neighbouring cells, each once, without images."""
+    """(energy), partial sums of pairs in the same or neighbouring cells, each once, without images."""
     df = _in_cells(particles.with_df(spread(particles.df), False), level)
-    left = df.select(F.col("gid").alias("i"), *CELL, *[F.col(a).alias(f"{a}_i") for a in AXES], F.col("q").alias("q_i"))
-    right = _listed(df.select("gid", *CELL, *AXES, "q"), level, forward(exclusion_list()), False)
-    home = F.expr("tx = cx and ty = cy and tz = cz").alias("home")
-    right = right.select(F.col("gid").alias("j"), home, *[F.col(f"t{a}").alias(f"c{a}") for a in AXES], *[F.col(a).alias(f"{a}_j") for a in AXES], F.col("q").alias("q_j"))
-    r = F.sqrt(F.expr(" + ".join(f"({a}_j - {a}_i) * ({a}_j - {a}_i)" for a in AXES)))
-    return left.join(right.hint("merge"), list(CELL)).where("not home or i < j").agg(F.coalesce(F.sum(F.col("q_i") * F.col("q_j") / r), F.lit(0.0)).alias("energy"))
+    return meet.near_sum(df, (2**level,) * 3, particles.domain.extent, forward(exclusion_list()), "free")
+
+
+def _expanded(order: int, d: list[np.ndarray], re: np.ndarray, im: np.ndarray) -> np.ndarray:
+    """Expansions re, im (of m >= 0 by rows) at places (points, expansions) from their centres, by the recursion of I_lm in l."""
+    x, y, z = d
+    s = 1 / (x * x + y * y + z * z)
+    total, lead, a, b = 0.0, np.sqrt(s), 1.0, 0.0
+    at = {lm: k for k, lm in enumerate(_half(order))}
+    for m in range(order):
+        if m:
+            lead, a, b = lead * s * -(2 * m - 1), a * x - b * y, a * y + b * x
+        before, now = 0.0, lead
+        real, imaginary = re[:, at[m, m]] * now, im[:, at[m, m]] * now
+        for l in range(m + 1, order):
+            before, now = now, ((2 * l - 1) * z * now - ((l - 1) ** 2 - m * m) * before) * s
+            real += re[:, at[l, m]] * now
+            imaginary += im[:, at[l, m]] * now
+        total = total + (2.0 if m else 1.0) * (real * a - imaginary * b)
+    return total
+
+
+#: Particles of a group on average, and places (particle, expansion) evaluated at once.
+GROUP, PLACES = 1 << 16, 1 << 14
+
+
+def listed_energy(particles: ParticleSet, level: int, order: int, count: int) -> DataFrame:
+    """(energy), partial sums over particles of half of q times the expansions of the cells in their interaction lists."""
+    cells, width = (2**level,) * 3, np.array([e / 2**level for e in particles.domain.extent])
+    half, edge = np.array(particles.domain.extent) / 2, meet.edges(cells, 8)
+    blocks_there = np.prod([-(-n // e) for n, e in zip(cells, edge, strict=True)])
+    parts = max(1, -(-count // int(blocks_there * GROUP)))
+    terms = len(_half(order))
+
+    def met(rows: pa.Table, found: pa.Table) -> pa.Table:
+        total = 0.0
+        if len(rows) and len(found):
+            g, xyz, q = meet.Group(found, cells, edge), np.stack([rows[a].to_numpy() for a in AXES], 1), rows["q"].to_numpy()
+            re, im = (found[c].combine_chunks().flatten().to_numpy().reshape(-1, terms)[g.order] for c in ("re", "im"))
+            own, where = np.unique(meet.integers(rows, CELL), axis=0, return_inverse=True)
+            for k, cell in enumerate(own):
+                some = np.flatnonzero(where.ravel() == k)
+                steps = [tuple((cell + o).tolist()) for o in interaction_list(tuple((cell % 2).tolist()))]
+                at = [g.slices[c].start for c in steps if c in g.slices]
+                if at:
+                    centre, each = (g.seen[at] + 0.5) * width - half, max(1, PLACES // len(at))
+                    for s in range(0, len(some), each):
+                        d = [xyz[some[s : s + each], a, None] - centre[:, a] for a in range(3)]
+                        total += 0.5 * float(q[some[s : s + each]] @ _expanded(order, d, re[at], im[at]).sum(1))
+        return pa.table({"energy": [total]})
+
+    keys, tasks = [*meet.BLOCK, "part"], meet.tasks_for(particles.df, cells, edge, parts)
+    rows = _in_cells(particles, level).select("gid", *[F.col(a).cast("double").alias(a) for a in (*AXES, "q")], *CELL).dropna(subset=[*AXES, "q"])
+    rows = rows.withColumns({b: F.floor(F.col(c) / e).cast("int") for b, c, e in zip(meet.BLOCK, CELL, edge, strict=True)})
+    rows = rows.withColumn("part", F.pmod(F.hash("gid"), F.lit(parts))).drop("gid").repartition(tasks, *keys)
+    found = meet.blocked(multipoles(particles, level, order), cells, edge, interaction_offsets(), "free", 1000)
+    found = found.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(tasks, *keys)
+    return rows.groupBy(*keys).cogroup(found.groupBy(*keys)).applyInArrow(met, "energy double")
 
 
 def multilevel_energy(particles: ParticleSet, levels: int, order: int, local: bool = False) -> DataFrame:
     """(energy) in free space: pairs of neighbouring finest cells directly, and all others through expansions of the
     level whose interaction lists they are in. ``local``: expansions are laid down in the listed cells and evaluated in the
     own one, instead of laid down in the own one and evaluated over the list."""
-    total = near_energy(particles, levels - 1)
+    total, count = near_energy(particles, levels - 1), 0 if local else particles.df.count()
     for level in range(2, levels):
+        if not local:
+            total = total.unionByName(listed_energy(particles, level, order, count))
+            continue
         cells = _in_cells(particles.with_df(spread(particles.df), False), level).select("gid", *AXES, "q", *CELL)
         target = [F.col(f"c{a}").alias(f"t{a}") for a in AXES]
-        if local:
-            laid = _listed(cells, level, interaction_offsets(), True).withColumns(_from_centre(particles.domain, level, "t"))
-            found = _expansions(laid, ["tx", "ty", "tz"], {k: _irregular_columns(order)[k] for k in _half(order)}, 1.0)
-            met = cells.select("gid", *AXES, "q", *target).join(found, ["tx", "ty", "tz"]).withColumns(_from_centre(particles.domain, level, "t"))
-            value = _product(order, regular_columns(order, F.col("dx"), F.col("dy"), F.col("dz")), True)
-        else:
-            # expansions are listed, not particles: lists are symmetric, and cells are fewer
-            found = _listed(multipoles(particles, level, order), level, interaction_offsets(), True)
-            found = found.select(*[F.col(f"t{a}").alias(f"c{a}") for a in AXES], *[F.col(f"c{a}").alias(f"t{a}") for a in AXES], "re", "im")
-            met = cells.join(found.hint("merge"), list(CELL)).withColumns(_from_centre(particles.domain, level, "t"))
-            value = _product(order, _irregular_columns(order), False)
-        far = met.agg(F.coalesce(F.sum(0.5 * F.col("q") * value), F.lit(0.0)).alias("far"))
-        total = total.crossJoin(far).select((F.col("energy") + F.col("far")).alias("energy"))  # one row each
-    return total
+        laid = _listed(cells, level, interaction_offsets(), True).withColumns(_from_centre(particles.domain, level, "t"))
+        found = _expansions(laid, ["tx", "ty", "tz"], {k: _irregular_columns(order)[k] for k in _half(order)}, 1.0)
+        met = cells.select("gid", *AXES, "q", *target).join(found, ["tx", "ty", "tz"]).withColumns(_from_centre(particles.domain, level, "t"))
+        value = _product(order, regular_columns(order, F.col("dx"), F.col("dy"), F.col("dz")), True)
+        total = total.unionByName(met.agg(F.coalesce(F.sum(0.5 * F.col("q") * value), F.lit(0.0)).alias("energy")))
+    return total.agg(F.coalesce(F.sum("energy"), F.lit(0.0)).alias("energy"))
 
 
 # --- the fast multipole method

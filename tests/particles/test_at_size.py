@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from motes.domain import Domain
-from motes.operators import coulomb, waves
+from motes.functions.harmonics import irregular, place
+from motes.operators import coulomb, multipole, waves
 from motes.operators import pairs as P
 from motes.operators.hierarchy import levels_for
 from motes.particles import from_arrays
@@ -122,3 +123,23 @@ def test_charges_at_one_place_raise(spark):
     with pytest.raises(Exception, match="at one place"):
         coulomb.free_space(s.df).first()
     assert coulomb.free_space(s.df.limit(0)).first().energy == 0
+
+
+def test_expansions_at_particles_make_no_rows(spark, monkeypatch):
+    """A row a particle and listed cell was made; now cells with their lists are groups, in parts where they hold many particles."""
+    got = queries()["multilevel_energy"](spark, SMALL)
+    assert "Join" not in plan(got) and "FlatMapCoGroupsInArrow" in plan(got)
+    monkeypatch.setattr(multipole, "GROUP", 2)
+    monkeypatch.setattr(multipole, "PLACES", 100)
+    assert queries()["multilevel_energy"](spark, SMALL).first().energy == pytest.approx(got.first().energy, rel=1e-12)
+
+
+def test_expansions_at_places_equal_their_harmonics():
+    xyz, _ = drawn(40, 0.0, 6.0)
+    coefficient = np.random.default_rng(2).normal(size=(2, 5, 21))
+    half = [(l, m) for l in range(6) for m in range(l + 1)]
+    i = irregular(6, *xyz.T)[:, [place(l, m) for l, m in half]]
+    twice = np.array([2.0 if m else 1.0 for _, m in half])
+    want = (i[:, None] * (coefficient[0] + 1j * coefficient[1])).real @ twice
+    got = multipole._expanded(6, [np.repeat(v[:, None], 5, 1) for v in xyz.T], *coefficient)
+    assert np.allclose(got, want, rtol=1e-12, atol=1e-12 * abs(want).max())
