@@ -23,6 +23,7 @@ from ..domain import AXES, Domain
 from ..functions.harmonics import degrees, irregular, local_shift, multipole_shift, multipole_to_local, place, regular, regular_columns, to_normalised
 from ..particles import ParticleSet
 from . import blocks as meet
+from . import hierarchy
 from .coulomb import nearest_images
 from .pairs import forward, spread
 
@@ -183,7 +184,7 @@ def listed_energy(particles: ParticleSet, level: int, order: int, count: int) ->
     rows = _in_cells(particles, level).select("gid", *[F.col(a).cast("double").alias(a) for a in (*AXES, "q")], *CELL).dropna(subset=[*AXES, "q"])
     rows = rows.withColumns({b: F.floor(F.col(c) / e).cast("int") for b, c, e in zip(meet.BLOCK, CELL, edge, strict=True)})
     rows = rows.withColumn("part", F.pmod(F.hash("gid"), F.lit(parts))).drop("gid").repartition(tasks, *keys)
-    found = meet.blocked(multipoles(particles, level, order), cells, edge, interaction_offsets(), "free", 1000)
+    found = meet.blocked(hierarchy.multipoles(hierarchy.Tree(particles.domain, level + 1), particles, level, order), cells, edge, interaction_offsets(), "free", 1000)
     found = found.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(tasks, *keys)
     return rows.groupBy(*keys).cogroup(found.groupBy(*keys)).applyInArrow(met, "energy double")
 
