@@ -143,3 +143,10 @@ def test_expansions_at_places_equal_their_harmonics():
     want = (i[:, None] * (coefficient[0] + 1j * coefficient[1])).real @ twice
     got = multipole._expanded(6, [np.repeat(v[:, None], 5, 1) for v in xyz.T], *coefficient)
     assert np.allclose(got, want, rtol=1e-12, atol=1e-12 * abs(want).max())
+
+
+def test_tiles_hold_places_close_together():
+    """Near distances are looked for in tiles that hold one; rows in the order of their ids gave every tile some."""
+    xyz, _ = drawn(4096, 0.0, 10.0)
+    tiles = xyz[coulomb._along(xyz)].reshape(64, 64, 3)
+    assert np.ptp(tiles, axis=1)[:, 2].mean() < 1.5 < 8 < np.ptp(xyz.reshape(64, 64, 3), axis=1)[:, 2].mean()
